@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,6 +50,12 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucket_of(column: str, modulus: int) -> Column:
     """crc32 of the column as text, modulo ``modulus``; -1 for null."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus, F.lit(-1))

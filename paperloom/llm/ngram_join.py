@@ -22,14 +22,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, slices, stored, table, utf8
+from .common import dropped, released, slices, stored, table, utf8
 from .components import components
 
 WORDS = 5
+DEBUG = False
 #: Similarity of a link, as a fraction.
 NUM, DEN = 75, 100
 #: At most so many tokens are ordered by frequency; all others by hash alone. Any order is right.
 HOT_TOKENS = 1_000_000
+#: Stars at most before all pairs that are left are compared.
+MOST_TURNS = 6
+#: Tokens below are about a quarter of a set.
+CUT = np.uint64(1 << 62)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -178,9 +183,9 @@ def prefix_rows(docs: DataFrame, order) -> DataFrame:
         n = np.array([len(s) for s in sets])
         p = prefix_length(n)
         token = np.concatenate([s[:k] for s, k in zip(sets, p)]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(np.array(sigs, np.int64), p)), pa.array(np.repeat(n.astype(np.int32), p))], ["token", "sig", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(np.array(sigs, np.int64), p)), pa.array(np.repeat(n.astype(np.int32), p)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in p]))], ["token", "sig", "n", "pos"])
 
-    return each_set(docs, order, emit, "token long, sig long, n int")
+    return each_set(docs, order, emit, "token long, sig long, n int, pos int")
 
 
 def sorted_groups(rows: DataFrame, fn, schema: str) -> DataFrame:
@@ -188,71 +193,61 @@ def sorted_groups(rows: DataFrame, fn, schema: str) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "n", "sig").mapInArrow(fn, schema)
 
 
+def may_link(n, pos, m, at):
+    """Whether sets of n and m tokens can link if their first common token stands at pos and at.
+
+    Linked sets have their first common token in both prefixes, so a pair needs to pass at one
+    of its common tokens only."""
+    return (NUM + DEN) * np.minimum(n - pos, m - at) >= NUM * (n + m)
+
+
+MAY_LINK = f"{NUM + DEN} * least(n - pos, l.n - l.pos) >= {NUM} * (n + l.n)"
+
+
 def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of tokens that several sets have, each with its leader: the least set of the token
-    that is long enough for a link; else the row leads itself."""
-    names = ["token", "sig", "n", "leader"]
-    held: list[np.ndarray] | None = None  # the rows of the last token's leader and last row
+    that is long enough for a link; the row itself where the two can't link by this token."""
+    names = ["token", "sig", "n", "pos", "leader"]
+    held: tuple | None = None  # of the last row: token, its leader (sig, n, pos), its sig
     for batch in batches:
-        token, sig, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "sig", "n"))
-        lead_sig, lead_n = sig.copy(), n.astype(np.int64).copy()
+        token, sig, n, pos = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "sig", "n", "pos"))
         k = len(token)
         if not k:
             continue
-        new = np.r_[held is None or held[0] != token[0], token[1:] != token[:-1]]
-        twin = np.r_[held is not None and held[0] == token[0] and held[3] == sig[0], (token[1:] == token[:-1]) & (sig[1:] == sig[:-1])]
+        carried = held is not None and held[0] == token[0]
+        new = np.r_[not carried, token[1:] != token[:-1]]
+        twin = np.r_[carried and held[2] == sig[0], (token[1:] == token[:-1]) & (sig[1:] == sig[:-1])]
         group = np.cumsum(new)
         begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        lead = np.repeat(begin, np.diff(np.r_[begin, k]))
-        carried = held is not None and not new[0]
-        head_sig, head_n = (held[1], held[2]) if carried else (sig[0], int(n[0]))
-        lead_sig, lead_n = sig[lead], n[lead].astype(np.int64)
+        first = np.repeat(begin, np.diff(np.r_[begin, k]))
+        lead = np.stack([sig[first], n[first], pos[first]])
         if carried:
-            stop = begin[1] if len(begin) > 1 else k
-            lead_sig[:stop], lead_n[:stop] = head_sig, head_n
+            lead[:, : begin[1] if len(begin) > 1 else k] = np.array(held[1])[:, None]
         while True:  # where a set is too long for its leader, it leads those after it
-            far = NUM * n > DEN * lead_n
-            if not far.any():
+            at = np.flatnonzero(NUM * n > DEN * lead[1])
+            if not len(at):
                 break
-            at = np.flatnonzero(far)
             at = at[np.r_[True, group[at][1:] != group[at][:-1]]]
             for i in at.tolist():
                 stop = begin[np.searchsorted(begin, i, side="right")] if begin[-1] > i else k
-                lead_sig[i:stop], lead_n[i:stop] = sig[i], n[i]
+                lead[:, i:stop] = np.array([sig[i], n[i], pos[i]])[:, None]
         alone = np.r_[new[1:], False] & new  # a token with one row; the batch's last row may go on
-        if carried:
-            alone[0] = False
-        held = [token[-1], lead_sig[-1], int(lead_n[-1]), sig[-1]]
+        held = (token[-1], lead[:, -1].copy(), sig[-1])
+        leader = np.where(may_link(n, pos, lead[1], lead[2]), lead[0], sig)
         keep = ~alone & ~twin
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, sig, n.astype(np.int32), lead_sig)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, sig, n.astype(np.int32), pos.astype(np.int32), leader)], names)
 
 
 def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a token's sets that lie in different components and have lengths fit for a link."""
-
-    def pairs(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        sig, n, comp = part
-        names, of, size = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return
-        rank = np.argsort(np.argsort(size, kind="stable"), kind="stable")[of]  # small components first
-        for i in np.flatnonzero(rank < len(names) - 1).tolist():
-            fit = (rank > rank[i]) & (NUM * np.maximum(n, n[i]) <= DEN * np.minimum(n, n[i]))
-            if fit.any():
-                yield from flush(sig[i], sig[fit])
-        yield from flush(None, None)
+    """Pairs of a token's sets in different components, with lengths fit for a link.
 
+    Rows are sorted by (token, top, component): those of a token's largest component come last
+    and are only read against the others, which are held.
+    """
+    token, held = None, [np.zeros(0, np.int64)] * 4
     waiting: list[np.ndarray] = []
     total = 0
 
-    def flush(a, b) -> Iterator[pa.RecordBatch]:
-        nonlocal total
-        if a is not None:
-            waiting.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-            total += len(b)
-        if waiting and (total > 100_000 or a is None and total > 20_000):
-            yield out()
-
     def out() -> pa.RecordBatch:
         nonlocal total
         found = np.unique(np.concatenate(waiting), axis=0)
@@ -260,25 +255,39 @@ def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
 
-    rest: list[np.ndarray] | None = None
     for batch in batches:
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "sig", "n", "component")]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now)]
-        token = now[0]
-        begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
-            if b - a > 1:
-                yield from pairs([x[a:b] for x in now[1:]])
-        rest = [x[begin[-1] :] for x in now]
-    if rest is not None and len(rest[0]) > 1:
-        yield from pairs(rest[1:])
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "sig", "n", "pos", "component", "top")]
+        if not len(now[0]):
+            continue
+        begin = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
+        for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(now[0])]):
+            if now[0][i] != token:
+                token, held = now[0][i], [np.zeros(0, np.int64)] * 4
+            sig, n, pos, comp, top = (x[i:j].astype(np.int64) for x in now[1:])
+            old = len(held[0])
+            low = ~top.astype(bool)
+            held = [np.concatenate([h, x[low]]) for h, x in zip(held, (sig, n, pos, comp))]
+            # each held row against the rows of this batch that come after it
+            for k in range(len(held[0])):
+                after = slice(0, None) if k < old else slice(k - old + 1, None)
+                fit = (comp[after] != held[3][k]) & may_link(n[after], pos[after], held[1][k], held[2][k])
+                if fit.any():
+                    other = sig[after][fit]
+                    waiting.append(np.stack([np.minimum(other, held[0][k]), np.maximum(other, held[0][k])], axis=1))
+                    total += len(other)
+                    if total > 100_000:
+                        yield out()
     if waiting:
         yield out()
 
 
-def tree_overlaps(probe: np.ndarray, members: list[np.ndarray]) -> list[int]:
-    """Which members link with the probe.
+def needed(n: int, m: int) -> int:
+    """The overlap with which sets of n and m tokens link."""
+    return -(-NUM * (n + m) // (NUM + DEN))
+
+
+def tree_overlaps(probe: np.ndarray, members: list[np.ndarray], needs: list[int]) -> list[int]:
+    """Which members share at least ``needs`` tokens with the probe.
 
     The members, as sequences in the global order, form a prefix tree: in lexicographic order a
     member shares with the one before it the path down to their first difference, so the
@@ -288,12 +297,11 @@ def tree_overlaps(probe: np.ndarray, members: list[np.ndarray]) -> list[int]:
     known = np.sort(probe)
     size = len(probe)
     order = sorted(range(len(members)), key=lambda i: members[i].astype(">u8").tobytes())
-    linked = []
+    found = []
     path, sums, depth = np.zeros(0, np.uint64), np.zeros(1, np.int64), 0  # sums[d]: overlap of the first d tokens
     for i in order:
-        s = members[i]
+        s, need = members[i], needs[i]
         n = len(s)
-        need = -(-NUM * (n + size) // (NUM + DEN))
         m = min(n, depth)
         differs = np.flatnonzero(s[:m] != path[:m])
         at = int(differs[0]) if len(differs) else m
@@ -301,44 +309,58 @@ def tree_overlaps(probe: np.ndarray, members: list[np.ndarray]) -> list[int]:
         overlap, block = int(sums[at]), 64
         while at < n and overlap + n - at >= need:
             part = s[at : at + block]
-            place = np.searchsorted(known, part)
-            place[place == size] = 0
-            run = np.cumsum(known[place] == part) + overlap
+            if size:
+                place = np.searchsorted(known, part)
+                place[place == size] = 0
+                run = np.cumsum(known[place] == part) + overlap
+            else:
+                run = np.full(len(part), overlap)
             got.append(run)
             overlap = int(run[-1])
             at += len(part)
             block *= 2
         path, sums, depth = s, np.concatenate(got), at
         if at == n and overlap >= need:
-            linked.append(i)
-    return linked
+            found.append(i)
+    return found
 
 
-def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (a, salt, role): a probe (role 0), then its candidates; gives the links."""
-    key, probe, sigs, sets, held = None, None, [], [], 0
+def walker(share: bool):
+    """Reads rows sorted by (a, salt, role): a probe (role 0), then its candidates; gives the pairs that hold.
 
-    def out() -> pa.RecordBatch:
-        good = [sigs[i] for i in tree_overlaps(probe, sets)] if probe is not None and sets else []
-        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(good) if key else [], pa.int64()), pa.array(good, pa.int64())], ["a", "b"])
+    With ``share`` the rows have only the share of each set below ``CUT``: sets differ in no
+    more tokens there than in all, so pairs that differ there by more than a link may are out.
+    """
 
-    for batch in batches:
-        for a, salt, role, sig, items in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "role", "sig", "items"))):
-            if (a, salt) != key or held > 32 << 20:
-                if sets:
-                    yield out()
-                sigs, sets, held = [], [], 0
-                if (a, salt) != key:
-                    key, probe = (a, salt), None
-            s = np.frombuffer(items, np.uint64)
-            if role == 0:
-                probe = s
-            else:
-                sigs.append(sig)
-                sets.append(s)
-                held += len(items)
-    if sets:
-        yield out()
+    def need(n: int, m: int, x: int, y: int) -> int:
+        return max(0, -(-(x + y - (n + m - 2 * needed(n, m))) // 2)) if share else needed(n, m)
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, probe, size, sigs, sets, needs, held = None, None, 0, [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            good = [sigs[i] for i in tree_overlaps(probe, sets, needs)]
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(good), pa.int64()), pa.array(good, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for a, salt, role, sig, n, items in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "role", "sig", "n", "items"))):
+                if (a, salt) != key or held > 32 << 20:
+                    if sets:
+                        yield out()
+                    sigs, sets, needs, held = [], [], [], 0
+                    key = (a, salt)
+                s = np.frombuffer(items, np.uint64)
+                if role == 0:
+                    probe, size = s, n
+                else:
+                    sigs.append(sig)
+                    sets.append(s)
+                    needs.append(need(size, n, len(probe), len(s)))
+                    held += len(items)
+        if sets:
+            yield out()
+
+    return walked
 
 
 def bloom(keys: DataFrame) -> np.ndarray:
@@ -358,24 +380,41 @@ def maybe_in(words: np.ndarray, sigs: list[int]) -> np.ndarray:
     return ((x >> (sig & 63)) & (x >> ((sig >> 8) & 63)) & 1).astype(bool)
 
 
-def verified(docs: DataFrame, order, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. Of each pair's sets only those needed are read again from the
-    texts; a set with very many candidates meets them in shares of about 512."""
+def checked(docs: DataFrame, order, pairs: DataFrame, share: bool) -> DataFrame:
+    """The pairs (a, b) that hold, over whole sets or a share of them. Of all sets only those
+    needed are made again from the texts; a set with very many candidates meets them in parts
+    of about 512."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     words = docs.sparkSession.sparkContext.broadcast(bloom(need))
 
     def emit(sigs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch | None:
         at = np.flatnonzero(maybe_in(words.value, sigs)).tolist()
-        return pa.RecordBatch.from_arrays([pa.array([sigs[i] for i in at], pa.int64()), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["sig", "items"])
+        items = [(sets[i][sets[i] < CUT] if share else sets[i]).tobytes() for i in at]
+        return pa.RecordBatch.from_arrays([pa.array([sigs[i] for i in at], pa.int64()), pa.array([len(sets[i]) for i in at], pa.int32()), pa.array(items, pa.binary())], ["sig", "n", "items"])
+
+    sets = each_set(docs, order, emit, "sig long, n int, items binary")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("salt"))
+    # one row per set: copies of it from other tasks go before the join
+    once = sets.groupBy("sig").agg(F.first("n").alias("n"), F.first("items").alias("items"))
+    members = dealt.join(once.withColumnRenamed("sig", "b"), "b").select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("sig"), "n", "items")
+    probes = dealt.select("a", "salt").distinct().join(once.withColumnRenamed("sig", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("sig"), "n", "items")
+    return probes.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(walker(share), "a long, b long")
+
+
+def verified(docs: DataFrame, order, pairs: DataFrame, label: str) -> DataFrame:
+    """The pairs (a, b) that link: first a quarter of each set rules most others out, then whole sets decide."""
+    likely = stored(checked(docs, order, pairs, True), label + "-likely")
+    released(docs.sparkSession)
+    links = stored(checked(docs, order, likely, False), label)
+    dropped(likely)
+    released(docs.sparkSession)
+    return links
+
 
-    sets = each_set(docs, order, emit, "sig long, items binary")
-    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).alias("shares"))
-    dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), "shares").alias("salt"))
-    # one row per set: copies of it in other tasks' shares go before the join
-    once = sets.groupBy("sig").agg(F.first("items").alias("items"))
-    members = dealt.join(once.withColumnRenamed("sig", "b"), "b").select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("sig"), "items")
-    probes = dealt.select("a", "salt").distinct().join(once.withColumnRenamed("sig", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("sig"), "items")
-    return probes.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(walked, "a long, b long")
+def labelled(grouped: DataFrame, labels: DataFrame) -> DataFrame:
+    """The token rows with the component that each set is in so far."""
+    return grouped.select("token", "sig", "n", "pos").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
 
 
 def named_components(docs: DataFrame) -> DataFrame:
@@ -390,17 +429,39 @@ def named_components(docs: DataFrame) -> DataFrame:
     # the most frequent token is the last of all
     order = spark.sparkContext.broadcast((key[by], -by.astype(np.int64)))
 
-    grouped = stored(sorted_groups(prefix_rows(docs, order), starred, "token long, sig long, n int, leader long"), "ngram-groups")
+    grouped = stored(sorted_groups(prefix_rows(docs, order), starred, "token long, sig long, n int, pos int, leader long"), "ngram-groups")
     stars = stored(grouped.where("leader <> sig").select(F.least("leader", "sig").alias("x"), F.greatest("leader", "sig").alias("y"), F.col("leader").alias("a"), F.col("sig").alias("b")).dropDuplicates(["x", "y"]), "ngram-stars")
-    links = stored(verified(docs, order, stars.select("a", "b")), "ngram-links")
-    first = stored(components(links, "a", "b"), "ngram-components")
-
-    labelled = grouped.select("token", "sig", "n").join(first.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    crossed = sorted_groups(labelled, crossing, "a long, b long").distinct()
-    crossed = stored(crossed.join(stars.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_anti"), "ngram-crossed")
-    more = stored(verified(docs, order, crossed), "ngram-more")
-    dropped(grouped)
-    last = stored(components(links.unionByName(more), "a", "b"), "ngram-final")
+    released(spark)
+    print("stars", stars.count()) if DEBUG else None
+    links = verified(docs, order, stars.select("a", "b"), "ngram-links")
+    tried, found = stars.select(F.col("x").alias("a"), F.col("y").alias("b")), links
+    labels = stored(components(found, "a", "b"), "ngram-components")
+    for turn in range(MOST_TURNS):
+        rows = labelled(grouped, labels)
+        size = F.sum("c").alias("size")
+        whole = rows.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(size, F.sum(F.col("c") * F.col("c")).alias("squares"))
+        cross = whole.agg(F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("pairs"), F.sum("size").alias("rows")).first()
+        if (cross["pairs"] or 0) <= 2 * (cross["rows"] or 0):
+            break
+        # many pairs are left: another star, around a random set of each token
+        leaders = rows.groupBy("token").agg(F.min_by(F.struct("sig", "n", "pos", "component"), F.xxhash64("token", "sig", F.lit(turn))).alias("l"), F.min("component").alias("from"), F.max("component").alias("to")).where("from < to").select("token", "l")
+        more = rows.join(leaders, "token").where("component <> l.component and " + MAY_LINK).select(F.least("sig", "l.sig").alias("a"), F.greatest("sig", "l.sig").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        more = stored(more, "ngram-stars")
+        fresh = verified(docs, order, more, "ngram-links")
+        tried, found = tried.unionByName(more), found.unionByName(fresh)
+        labels = stored(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh), "a", "b"), "ngram-components")
+        released(spark)
+        if fresh.count() < more.count() / 100:
+            break
+    rows = labelled(grouped, labels)
+    sizes = rows.groupBy("token", "component").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1").select("token", "largest")
+    rows = rows.join(mixed, "token").withColumn("top", F.col("component") == F.col("largest")).drop("largest")
+    crossed = rows.repartition("token").sortWithinPartitions("token", "top", "component").mapInArrow(crossing, "a long, b long").distinct()
+    crossed = stored(crossed.join(tried, ["a", "b"], "left_anti"), "ngram-crossed")
+    more = verified(docs, order, crossed, "ngram-more")
+    print("turns", turn, "links", found.count(), "crossed", crossed.count(), "more", more.count(), "hot", len(key)) if DEBUG else None
+    last = stored(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b"), "ngram-final")
 
     return own.join(last.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
 

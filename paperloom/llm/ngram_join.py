@@ -32,7 +32,7 @@ NUM, DEN = 75, 100
 #: At most so many tokens are ordered by frequency; all others by hash alone. Any order is right.
 HOT_TOKENS = 1_000_000
 #: Stars at most before all pairs that are left are compared.
-MOST_TURNS = 6
+MOST_TURNS = 1
 #: Tokens below are about a quarter of a set.
 CUT = np.uint64(1 << 62)
 

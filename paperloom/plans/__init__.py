@@ -1,4 +1,5 @@
 """The registered queries over the driver's tables, each with DuckDB SQL where SQL can express it."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .library import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import mapped, slices, table
+from .common import dropped, mapped, slices, stored, table
 
 #: Count cells in a block of the table when it is summed.
 BLOCK = 1 << 14
+#: Target ids in all that are sent to every task; beyond, the join shuffles.
+BROADCAST_IDS = 2_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -24,7 +26,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def vocabulary(docs: DataFrame, size: int) -> list[str]:
-    """The ``size`` most frequent words of all documents, ties by word."""
+    """The most frequent words of all documents, ``size`` at most: counts that would exceed it together are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
@@ -42,7 +44,18 @@ def vocabulary(docs: DataFrame, size: int) -> list[str]:
         yield out()
 
     counted = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counted = stored(counted.withColumn("step", F.floor(F.log2("n") * 256).cast("int")), "vocabulary")
+    # at most 64 * 256 rows say which counts are frequent enough; only those words are collected
+    steps = sorted(((r["step"], r["count"]) for r in counted.groupBy("step").count().collect()), reverse=True)
+    least, total = 1 << 30, 0
+    for step, n in steps:
+        total += n
+        if total > size:
+            break
+        least = step
+    words = [(r["word"], r["n"]) for r in counted.where(F.col("step") >= least).select("word", "n").collect()]
+    dropped(counted)
+    return [w for w, _ in sorted(words, key=lambda x: (-x[1], x[0]))]
 
 
 def slots(left: np.ndarray, right: np.ndarray, log_cells: int) -> np.ndarray:
@@ -161,7 +174,8 @@ def learn(docs: DataFrame, targets: DataFrame, vocabulary_size: int = 1 << 15, l
     the target those whose doc_id is in ``targets``."""
     words = vocabulary(docs, vocabulary_size)
     chosen = targets.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(chosen, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    few = chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    marked = docs.select("doc_id", "text").join(F.broadcast(chosen) if few else chosen, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
     found = counts(marked, words, log_cells)
     return PairOfModels(words, log_cells, {k: v[0] for k, v in found.items()}, {k: v[1] for k, v in found.items()})
 

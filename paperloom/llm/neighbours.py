@@ -80,10 +80,13 @@ def projected_edges(nodes: DataFrame, projections: int, reach: int, seed: int) -
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (w, v, vec) sorted by w: each v of a w with its nearest other ones of that w."""
+    """Rows (w, v, fresh, worst, vec) sorted by w: each v of a w with its nearest other ones of that w.
+
+    Pairs without a fresh one were compared in an earlier round; a neighbour as far as the
+    ``worst`` that v has already can't enter its list."""
     last: tuple[np.ndarray, ...] | None = None
 
-    def joins(w: np.ndarray, v: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    def joins(w: np.ndarray, v: np.ndarray, fresh: np.ndarray, worst: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         begin = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
         a, b, dist = [], [], []
         for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(w)]):
@@ -91,21 +94,24 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = (y * y).sum(axis=1)
             d = q[:, None] + q[None, :] - 2 * y @ y.T
             np.fill_diagonal(d, np.inf)
+            d[~(fresh[i:j, None] | fresh[None, i:j])] = np.inf
             k = min(6, j - i - 1)
             if k < 1:
                 continue
             near = np.argpartition(d, k - 1, axis=1)[:, :k]
-            a.append(np.repeat(v[i:j], k))
-            b.append(v[i:j][near].ravel())
-            dist.append(np.take_along_axis(d, near, axis=1).ravel())
+            far = np.sqrt(np.maximum(0, np.take_along_axis(d, near, axis=1)))
+            row, place = np.nonzero((far < worst[i:j, None]) & np.isfinite(far))
+            a.append(v[i:j][row])
+            b.append(v[i:j][near[row, place]])
+            dist.append(far[row, place])
         flat = [np.concatenate(p) if p else np.zeros(0, t) for p, t in ((a, np.int64), (b, np.int64), (dist, float))]
         keep = flat[0] != flat[1]
-        return pa.RecordBatch.from_arrays([pa.array(flat[0][keep]), pa.array(flat[1][keep]), pa.array(np.sqrt(np.maximum(0, flat[2][keep])))], ["node", "nbr", "d"])
+        return pa.RecordBatch.from_arrays([pa.array(flat[0][keep]), pa.array(flat[1][keep]), pa.array(flat[2][keep])], ["node", "nbr", "d"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = (batch.column("w").to_numpy(zero_copy_only=False), batch.column("v").to_numpy(zero_copy_only=False), matrix(batch.column("vec")).astype(np.float64))
+        now = (*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("w", "v", "fresh", "worst")), matrix(batch.column("vec")).astype(np.float64))
         if last is not None:
             now = tuple(np.concatenate([a, b]) for a, b in zip(last, now))
         cut = int(np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])[-1])
@@ -118,18 +124,32 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_graph(nodes: DataFrame, k: int = 24, rounds: int = 4, projections: int = 8, reach: int = 4, seed: int = 5) -> DataFrame:
     """The neighbour graph: node, nbr, d; ``k`` neighbours a node (all others, if fewer)."""
-    graph = stored(nearest(projected_edges(nodes, projections, reach, seed), k), "graph")
+    graph = stored(nearest(projected_edges(nodes, projections, reach, seed), k).withColumn("born", F.lit(0)), "graph")
     short = nodes.select(F.col("node").alias("v"), F.col("vec").cast("array<float>").alias("vec"))
-    for _ in range(rounds):
-        back = nearest(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "d"), k // 2)
-        both = graph.unionByName(back).select(F.col("node").alias("w"), F.col("nbr").alias("v")).unionByName(nodes.select(F.col("node").alias("w"), F.col("node").alias("v"))).distinct()
-        found = both.join(short, "v").select("w", "v", "vec").repartition("w").sortWithinPartitions("w").mapInArrow(compared, "node long, nbr long, d double")
-        new = stored(nearest(graph.unionByName(found).groupBy("node", "nbr").agg(F.min("d").alias("d")), k), "graph")
+    own = nodes.select(F.col("node").alias("w"), F.col("node").alias("v"), F.lit(0).alias("born"))
+    for turn in range(rounds):
+        back = nearest(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "d", "born"), k // 2)
+        both = graph.unionByName(back).select(F.col("node").alias("w"), F.col("nbr").alias("v"), "born").unionByName(own)
+        both = both.groupBy("w", "v").agg(F.max(F.col("born") == turn).alias("fresh"))
+        changed = both.groupBy("w").agg(F.max("fresh").alias("any")).where("any").select("w")
+        worst = graph.groupBy(F.col("node").alias("v")).agg(F.when(F.count("*") >= k, F.max("d")).otherwise(float("inf")).alias("worst"))
+        known = short.join(worst, "v", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
+        rows = both.join(changed, "w", "left_semi").join(known, "v").select("w", "v", "fresh", "worst", "vec")
+        found = rows.repartition("w").sortWithinPartitions("w").mapInArrow(compared, "node long, nbr long, d double").withColumn("born", F.lit(turn + 1))
+        new = stored(nearest(graph.unionByName(found).groupBy("node", "nbr").agg(F.min("d").alias("d"), F.min("born").alias("born")), k), "graph")
         dropped(graph)
         graph = new
     return graph
 
 
+def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The Euclidean distance of qvec and vec of every row."""
+    for batch in batches:
+        if batch.num_rows:
+            d = np.sqrt(((matrix(batch.column("qvec")) - matrix(batch.column("vec"))) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("node"), pa.array(d)], ["qid", "node", "d"])
+
+
 def search(queries: DataFrame, starts: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 200, width: int = 50, hops: int = 6) -> DataFrame:
     """Greedy search: of each query (qid, qvec) the ``beam`` nearest nodes that were met.
 
@@ -141,8 +161,7 @@ def search(queries: DataFrame, starts: DataFrame, graph: DataFrame, nodes: DataF
     first = Window.partitionBy("qid").orderBy("d", "node")
 
     def measured(pairs: DataFrame) -> DataFrame:
-        d = F.sqrt(F.aggregate(F.zip_with("qvec", "vec", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-        return pairs.join(queries, "qid").join(nodes.select("node", "vec"), "node").select("qid", "node", d.alias("d"))
+        return pairs.join(queries, "qid").join(nodes.select("node", "vec"), "node").select("qid", "node", "qvec", "vec").mapInArrow(apart, "qid long, node long, d double")
 
     held = stored(measured(starts).withColumn("expanded", F.lit(False)), "beam")
     for _ in range(hops):

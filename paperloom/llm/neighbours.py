@@ -122,7 +122,7 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield joins(*last)
 
 
-def build_graph(nodes: DataFrame, k: int = 24, rounds: int = 4, projections: int = 8, reach: int = 4, seed: int = 5) -> DataFrame:
+def build_graph(nodes: DataFrame, k: int = 24, rounds: int = 7, projections: int = 8, reach: int = 4, seed: int = 5) -> DataFrame:
     """The neighbour graph: node, nbr, d; ``k`` neighbours a node (all others, if fewer)."""
     graph = stored(nearest(projected_edges(nodes, projections, reach, seed), k).withColumn("born", F.lit(0)), "graph")
     short = nodes.select(F.col("node").alias("v"), F.col("vec").cast("array<float>").alias("vec"))
@@ -150,7 +150,7 @@ def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("node"), pa.array(d)], ["qid", "node", "d"])
 
 
-def search(queries: DataFrame, starts: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 200, width: int = 50, hops: int = 6) -> DataFrame:
+def search(queries: DataFrame, starts: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 400, width: int = 100, hops: int = 6) -> DataFrame:
     """Greedy search: of each query (qid, qvec) the ``beam`` nearest nodes that were met.
 
     ``starts`` (qid, node) says where each query begins. A hop expands the ``width`` nearest

@@ -23,10 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the one the cluster names, else a local one (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.gettempdir()}/paperloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named)
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/paperloom-checkpoints"
     return named.rstrip("/")
 
 

@@ -166,15 +166,22 @@ def merge_paragraphs(segments: DataFrame) -> DataFrame:
 
 def merge_with_boxes(segments: DataFrame, boxes: DataFrame) -> DataFrame:
     """One paragraph a box, in reading order, of the paragraphs of its segments; then what no box holds."""
-    held = segments.join(assigned(segments, boxes), [*PAGE, "seg_ord"])
+    # without a box a segment's box_ord is -1
+    held = segments.join(assigned(segments, boxes), [*PAGE, "seg_ord"], "left").withColumns({"box_ord": F.coalesce("box_ord", F.lit(-1)).cast("long"), "read_order": F.coalesce("read_order", F.lit(-1)).cast("long")})
 
-    def box_text(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seg_ord")
-        text, _ = paragraphs(part.text.tolist(), part[["xmin", "ymin", "xmax", "ymax"]].to_numpy(np.float64))
-        first = part.iloc[0]
-        return pd.DataFrame({"file_id": [first.file_id], "page_index": [first.page_index], "rank": [first.read_order], "text": ["\n".join(text)]})
-
-    kind = "file_id long, page_index long, rank long, text string"
-    inner = held.groupBy(*PAGE, "box_ord").applyInPandas(box_text, kind)
-    rest = unassigned(segments, boxes).select(*PAGE, (F.col("seg_ord") + (1 << 40)).alias("rank"), "text")
-    return inner.unionByName(rest)
+    def page(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["box_ord", "seg_ord"])
+        box, order, seg = (part[c].to_numpy() for c in ("box_ord", "read_order", "seg_ord"))
+        text, edges = part.text.tolist(), part[["xmin", "ymin", "xmax", "ymax"]].to_numpy(np.float64)
+        begin = np.flatnonzero(np.r_[True, box[1:] != box[:-1]]).tolist()
+        ranks, texts = [], []
+        for i, j in zip(begin, [*begin[1:], len(box)]):
+            if box[i] < 0:
+                ranks += (seg[i:j] + (1 << 40)).tolist()
+                texts += text[i:j]
+            else:
+                ranks.append(int(order[i]))
+                texts.append("\n".join(paragraphs(text[i:j], edges[i:j])[0]))
+        return pd.DataFrame({"file_id": part.file_id.iloc[0], "page_index": part.page_index.iloc[0], "rank": ranks, "text": texts})
+
+    return held.groupBy(*PAGE).applyInPandas(page, "file_id long, page_index long, rank long, text string")

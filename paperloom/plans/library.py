@@ -159,9 +159,9 @@ def _(s, d):
     return papers(s, d).where("file_size < 1024").select("id", text.file_size_text(F.col("file_size")).alias("shown"))
 
 
-@query("author_abbrev", "SELECT doc_id, CASE WHEN len(a) > 3 THEN array_to_string(a[1:3], ', ') || ' et al.' ELSE array_to_string(a, ', ') END AS authors FROM (SELECT doc_id, string_split(left(text, 30), ' ') AS a FROM documents)")
+@query("author_abbrev", "SELECT doc_id, CASE WHEN len(a) > 3 THEN array_to_string(a[1:3], ', ') || ' et al.' ELSE array_to_string(a, ', ') END AS authors FROM (SELECT doc_id, string_split(text, ' ') AS a FROM documents)")
 def _(s, d):
-    return read(s, d, "documents").select("doc_id", text.author_list_text(F.split(F.substring("text", 1, 30), " ")).alias("authors"))
+    return read(s, d, "documents").select("doc_id", text.author_list_text(F.split("text", " ")).alias("authors"))
 
 
 def map_sql(words: dict[str, str], column: str) -> str:
@@ -284,14 +284,14 @@ def _(s, d):
     return read(s, d, "part").select("p_partkey", text.semver_satisfied(v, F.lit("1.4.2")).alias("satisfied"))
 
 
-@query("title_overlap_join", """WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(left(text, 200)), '\\s+'), lambda x: length(x) > 2)) AS t FROM documents)
+@query("title_overlap_join", """WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: length(x) > 2)) AS t FROM documents)
 SELECT a.doc_id, CASE WHEN greatest(len(a.t), len(b.t)) = 0 THEN 0.0 ELSE len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) END AS overlap FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""")
 def _(s, d):
-    w = read(s, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("a"))
+    w = read(s, d, "documents").select("doc_id", F.col("text").alias("a"))
     return w.join(w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id").select("doc_id", text.word_overlap(F.col("a"), F.col("b")).alias("overlap"))
 
 
-WORDS = """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]'), lambda x: x <> '') AS t FROM documents WHERE doc_id % 20 = 0),
+WORDS = """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]'), lambda x: x <> '') AS t FROM documents),
 e AS (SELECT doc_id, unnest(t) AS text, unnest(range(len(t))) AS i FROM w),
 seg AS (SELECT doc_id AS file_id, i // 8 // 40 AS page_index, i AS seg_ord, text, CAST(i % 8 * 40 AS DOUBLE) AS xmin, CAST(i // 8 % 40 * 14 + i // 8 % 40 // 5 * 20 AS DOUBLE) AS ymin FROM e),
 segments AS (SELECT *, xmin + 36 AS xmax, ymin + 10 AS ymax FROM seg),
@@ -379,6 +379,31 @@ def _(s, d):
     return metadata.sections(read(s, d, "pages"), "page_id", "html")
 
 
+@query("title_by_font", WORDS + """, f AS (SELECT *, 8.0 + length(text) % 5 AS font_size FROM segments), m AS (SELECT *, max(font_size) OVER (PARTITION BY file_id, page_index) AS largest FROM f)
+SELECT file_id, page_index, trim(string_agg(trim(text), ' ' ORDER BY seg_ord)) AS title FROM m WHERE font_size >= largest * 0.9 GROUP BY ALL HAVING title <> ''""")
+def _(s, d):
+    return metadata.title_by_font(segments(s, d).withColumn("font_size", F.length("text") % 5 + 8.0))
+
+
+@query("reference_enrichment", """SELECT l_orderkey AS file_id, CAST(l_linenumber - 1 AS BIGINT) AS ref_index, coalesce(CASE WHEN o_custkey % 3 <> 0 THEN o_orderpriority END, l_linestatus) AS journal, l_returnflag AS doi,
+  CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus END AS ranking_journal, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey % 4 + 1 AS BIGINT) END AS zone, CASE WHEN o_custkey % 2 = 0 THEN coalesce(o_custkey % 5 = 0, false) END AS is_top
+FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_custkey % 7 = l_linenumber - 1""")
+def _(s, d):
+    k = F.col("o_custkey")
+    refs = read(s, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), (F.col("l_linenumber") - 1).cast("long").alias("ref_index"), F.col("l_linestatus").alias("journal"), F.col("l_returnflag").alias("doi"))
+    patches = read(s, d, "orders").select(
+        F.col("o_orderkey").alias("file_id"), (k % 7).cast("long").alias("ref_index"), F.when(k % 3 != 0, F.col("o_orderpriority")).alias("journal"), F.lit(None).cast("string").alias("doi"),
+        F.col("o_orderstatus").alias("ranking_journal"), F.when(k % 2 == 0, (k % 4 + 1).cast("long")).alias("ranking_zone"), (k % 5 == 0).alias("ranking_is_top"), F.lit(None).cast("boolean").alias("ranking_is_oa"),
+    )
+    return metadata.enriched(refs, patches).select("file_id", "ref_index", "journal", "doi", F.col("ranking.journal").alias("ranking_journal"), "ranking.zone", "ranking.is_top")
+
+
+@query("math_parts")
+def _(s, d):
+    t = F.concat("text", F.lit(" $$y^2$$ with $x_"), F.col("turn").cast("string"), F.lit("$ and $5"))
+    return read(s, d, "conversations").select("conv_id", "turn", F.posexplode(text.math_parts(t)).alias("part_ord", "part")).select("conv_id", "turn", "part_ord", "part.kind", "part.content")
+
+
 def cited(s, d, style, output="text"):
     k = F.col("p_partkey")
     fields = {"title": F.col("p_name"), "journal": F.when(k % 3 != 0, F.col("p_brand")), "publisher": F.when(k % 2 == 0, F.lit("Press")), "date": F.lit("2024-03"), "volume": F.col("p_size").cast("string"), "issue": F.when(k % 5 != 0, F.lit("2")), "pages": F.lit("10–20"), "doi": F.when(k % 7 != 0, F.lit("10.1000/x1"))}

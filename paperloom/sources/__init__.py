@@ -37,7 +37,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the documents placed on pages: 8 a line, 40 lines a page."""
-    w = read(spark, sf_dir, "documents").where("doc_id % 20 = 0").select("doc_id", F.posexplode(F.filter(F.split("text", "[ \n]"), lambda x: x != "")).alias("i", "text"))
+    w = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", "[ \n]"), lambda x: x != "")).alias("i", "text"))
     line = F.floor(F.col("i") / 8).cast("long")
     return w.select(
         F.col("doc_id").alias("file_id"), F.floor(line / 40).cast("long").alias("page_index"), F.col("i").cast("long").alias("seg_ord"), "text",

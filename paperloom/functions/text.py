@@ -187,3 +187,19 @@ def to_rtf(c: Column) -> Column:
 
 def to_plain(c: Column) -> Column:
     return F.regexp_replace(c, r"\*([^*]+)\*", "$1")
+
+
+def math_parts(text: Column) -> Column:
+    """A text as parts (kind, content): ``md``, ``math_d`` between $$ and ``math_i`` between $.
+
+    Inline formulas are looked for after the last display formula only. Empty md parts go.
+    """
+    part = lambda kind, content: F.struct(kind.alias("kind"), content.alias("content"))
+    pieces = F.split(text, r"\$\$", -1)
+    pairs = F.floor((F.size(pieces) - 1) / 2).cast("int") * 2
+    shown = F.transform(F.slice(pieces, 1, pairs), lambda x, i: part(F.when(i % 2 == 1, F.lit("math_d")).otherwise(F.lit("md")), x))
+    rest = F.array_join(F.slice(pieces, pairs + 1, F.size(pieces)), "$$")
+    inline = r"\$(?!\$)([\s\S]*?[^\\])\$"
+    gaps, found = F.split(rest, inline, -1), F.regexp_extract_all(rest, F.lit(inline), 1)
+    after = F.flatten(F.transform(gaps, lambda x, i: F.array(part(F.lit("md"), x), part(F.lit("math_i"), F.get(found, i)))))
+    return F.filter(F.concat(shown, after), lambda x: x["content"].isNotNull() & ((x["kind"] != "md") | (x["content"] != "")))

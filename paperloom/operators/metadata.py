@@ -61,3 +61,34 @@ def sections(pages: DataFrame, key: str, html: str) -> DataFrame:
     paras = F.transform(F.regexp_extract_all("block", F.lit(r"(?s)<p[^>]*>(.*?)</p>"), 1), lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", "")))
     level = F.least(F.lit(6), F.size(F.split(F.regexp_extract("block", r"<h[1-6][^>]*>\s*([0-9]+(?:\.[0-9]+)*)", 1), r"\.")))
     return b.select(key, title.alias("title"), level.cast("int").alias("level"), F.substring(F.array_join(paras, "\n"), 1, 2000).alias("content"))
+
+
+def title_by_font(segments: DataFrame) -> DataFrame:
+    """Of each page the segments within a tenth of its largest font size, joined; none if blank."""
+    part = F.array_sort(F.collect_list(F.struct("seg_ord", "text", "font_size")))
+    g = segments.groupBy("file_id", "page_index").agg(F.max("font_size").alias("largest"), part.alias("parts")).where("largest > 0")
+    large = F.filter("parts", lambda x: x["font_size"] >= F.col("largest") * 0.9)
+    title = F.trim(F.array_join(F.transform(large, lambda x: F.trim(x["text"])), " "))
+    return g.select("file_id", "page_index", title.alias("title")).where("title <> ''")
+
+
+PATCHED = ["journal", "abstract", "doi", "url", "authors", "date"]
+
+
+def enriched(references: DataFrame, patches: DataFrame) -> DataFrame:
+    """References, named by file_id and ref_index, with what a patch of theirs has that is not null.
+
+    A ranking is set only where the patch has its journal and its zone; its flags are false if null.
+    At most one patch a reference. Patches of no reference are in ``out_of_range``.
+    """
+    p = patches.select("file_id", "ref_index", *[F.col(c).alias("new_" + c) for c in PATCHED if c in patches.columns], "ranking_journal", "ranking_zone", "ranking_is_top", "ranking_is_oa")
+    ranked = F.col("ranking_journal").isNotNull() & F.col("ranking_zone").isNotNull()
+    flags = [F.coalesce("ranking_" + c, F.lit(False)).alias(c) for c in ("is_top", "is_oa")]
+    ranking = F.when(ranked, F.struct(F.col("ranking_journal").alias("journal"), F.col("ranking_zone").alias("zone"), *flags))
+    joined = references.join(p, ["file_id", "ref_index"], "left")
+    patched = {c: F.coalesce("new_" + c, c) for c in references.columns if "new_" + c in p.columns}
+    return joined.withColumns(patched | {"ranking": F.coalesce(ranking, "ranking") if "ranking" in references.columns else ranking}).select(*references.columns, *([] if "ranking" in references.columns else ["ranking"]))
+
+
+def out_of_range(references: DataFrame, patches: DataFrame) -> DataFrame:
+    return patches.join(references, ["file_id", "ref_index"], "left_anti")

@@ -99,3 +99,17 @@ def test_interceptors(spark):
     assert r.intercept(spark.range(4), lambda df: df, "p").count() == 4
     r.before.append(("q", lambda df: None))
     assert r.intercept(spark.range(4), lambda df: df) is None
+
+
+def test_math_parts(spark):
+    from paperloom.functions.text import math_parts
+
+    cases = {
+        "a $$b$$ c $d$ e": [("md", "a "), ("math_d", "b"), ("md", " c "), ("math_i", "d"), ("md", " e")],
+        "x $1 $$y$$": [("md", "x $1 "), ("math_d", "y")],
+        "$$ a $b$": [("md", "$"), ("math_i", " a "), ("md", "b$")],
+        "$$$$": [("math_d", "")],
+        "": [],
+    }
+    got = {r[0]: [tuple(x) for x in r[1]] for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", math_parts(F.col("t"))).collect()}
+    assert got == cases

@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -183,6 +184,34 @@ def test_language_models(spark, edges, empty):
     assert lmscore.score(empty, lmscore.learn(empty, empty)).count() == 0
 
 
+def test_language_models_count_every_word_and_pair(spark):
+    r = random.Random(12)
+    texts = {i: [f"w{r.randrange(90_000)}" if r.random() < 0.8 else r.choice("ab") for _ in range(1500)] for i in range(60)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {x.doc_id: x for x in lmscore.score(docs, lmscore.learn(docs, docs.where("doc_id < 20"))).collect()}
+    size = len({x for w in texts.values() for x in w}) + 2
+    assert size > 1 << 15
+
+    def loss(own, w):
+        one, two, total = own
+        p = [0.4 * (one[b] + 1) / (total + size) + 0.6 * two[a, b] / one[a] if a and one[a] else (one[b] + 1) / (total + size) for a, b in zip([None, *w], w)]
+        return -np.mean(np.log(p))
+
+    models = []
+    for chosen in (range(20), range(60)):
+        one, two = Counter(), Counter()
+        for i in chosen:
+            one.update(texts[i])
+            two.update(zip(texts[i], texts[i][1:]))
+        models.append((one, two, one.total()))
+    for i, w in texts.items():
+        want = [loss(m, w) for m in models]
+        assert abs(got[i].loss_target - want[0]) < 1e-9 and abs(got[i].loss_background - want[1]) < 1e-9 and got[i].n_tokens == 1500
+    other = spark.createDataFrame([(7, "a b never seen")], "doc_id long, text string")
+    x = lmscore.score(other, lmscore.learn(docs, docs.where("doc_id < 20"))).first()
+    assert abs(x.loss_target - loss(models[0], "a b never seen".split())) < 1e-9 and abs(x.loss_background - loss(models[1], "a b never seen".split())) < 1e-9
+
+
 def test_ngram_join(spark, edges, empty):
     r = random.Random(9)
     base = words(r, 60).split()

@@ -159,6 +159,15 @@ def _(s, d):
     return papers(s, d).where("file_size < 1024").select("id", text.file_size_text(F.col("file_size")).alias("shown"))
 
 
+TENTHS = "CAST(({n}) // 10 AS VARCHAR) || '.' || CAST(({n}) % 10 AS VARCHAR)"
+SIZE_KB, SIZE_MB = TENTHS.format(n="(file_size * 10 + 512) // 1024"), TENTHS.format(n="(file_size * 10 + 524288) // 1048576")
+
+
+@query("display_size_all", PAPERS + f"SELECT id, CASE WHEN file_size IS NULL OR file_size = 0 THEN '-' WHEN file_size < 1024 THEN CAST(file_size AS VARCHAR) || ' B' WHEN file_size < 1048576 THEN {SIZE_KB} || ' KB' ELSE {SIZE_MB} || ' MB' END AS shown FROM p")
+def _(s, d):
+    return papers(s, d).select("id", text.file_size_text(F.col("file_size")).alias("shown"))
+
+
 @query("author_abbrev", "SELECT doc_id, CASE WHEN len(a) > 3 THEN array_to_string(a[1:3], ', ') || ' et al.' ELSE array_to_string(a, ', ') END AS authors FROM (SELECT doc_id, string_split(text, ' ') AS a FROM documents)")
 def _(s, d):
     return read(s, d, "documents").select("doc_id", text.author_list_text(F.split("text", " ")).alias("authors"))

@@ -35,6 +35,22 @@ def test_sessions(spark):
     assert {r[0]: r[1] for r in reading.hourly(log).collect() if r[1]} == {0: 20, 1: 30, 14: 600, 23: 10}
 
 
+def test_sizes(spark):
+    from paperloom.plans import QUERIES, SQL
+
+    from .oracle import connect
+
+    sizes = [None, 0, 1, 1023, 1024, 1280, 1535, 10_239, 1_048_575, 1_048_576, 1_310_720, 5_500_000, 3 << 30]
+    want = ["-" if not n else f"{n} B" if n < 1024 else f"{(n * 10 + 512) // 1024 / 10:.1f} KB" if n < 1 << 20 else f"{(n * 10 + (1 << 19)) // (1 << 20) / 10:.1f} MB" for n in sizes]
+    df = spark.createDataFrame(list(enumerate(sizes)), "i int, n long").select("i", text.file_size_text(F.col("n")).alias("shown"))
+    assert [r.shown for r in df.orderBy("i").collect()] == want
+    con = connect("/root/testdata/sf0.001")
+    con.execute("CREATE OR REPLACE TEMP VIEW documents AS SELECT i AS doc_id, '' AS text, '' AS lang, '' AS source, n AS n_chars FROM (VALUES " + ", ".join(f"({i}, CAST({'NULL' if n is None else n} AS BIGINT))" for i, n in enumerate(sizes)) + ") t(i, n)")
+    assert [r[1] for r in sorted(con.execute(SQL["display_size_all"]).fetchall())] == want
+    sf = "/root/testdata/sf0.001"
+    assert QUERIES["display_size_all"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
 def test_identifiers(spark):
     cases = {"arXiv:2401.12345": "2401.12345", "arxiv:cs/0703142": "cs/0703142", "arxiv.org/pdf/2401.1234": "2401.1234", "10.48550/arXiv.2401.12345": "2401.12345", "2401.12345": None}
     df = spark.createDataFrame([(k,) for k in cases], "t string")

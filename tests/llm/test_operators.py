@@ -129,6 +129,15 @@ def test_line_dedup(spark, edges, empty):
     assert line_dedup.without_boilerplate(empty).count() == 0
 
 
+def test_pipeline_drops_lines_on_a_few_per_cent_of_a_source(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"own {i}" + ("\nsubscribe to our letter" if i % 20 == 0 else "") + ("\nonce or twice" if i < 4 else ""), "a") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x.doc_id: x.text for x in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert len(got) == 200 and got[20] == "own 20" and got[0] == "own 0\nonce or twice"
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(6)
     x = r.normal(size=(300, 8))

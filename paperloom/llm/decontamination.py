@@ -143,6 +143,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int
     ``distance`` counts edits between the normal forms (lower case, letters and digits, single
     spaces); ``begin`` and ``end`` are byte positions there. Items without words, null items and
     null texts match nothing; items shorter than two pieces match exactly, at word bounds.
+    An item allows the edits of ``budget``: with the defaults length // 12 - 1, less than the rate.
     Repeated documents are each answered. The documents are read once per block of items.
     """
     cast = docs.sparkSession.sparkContext.broadcast

@@ -1,8 +1,8 @@
 """Toxicity scoring with a weighted finite-state grammar over clauses.
 
-A tagger maps every token to a class. Four small transducers read the classes: one marks
+A tagger maps every token to a class. Three small transducers read the classes: one marks
 what a negation covers, one what reported speech or a quotation covers, one remembers whether
-the clause names its target, one turns insults and threats into weights. They are composed
+the clause names its target and turns insults and threats into weights. They are composed
 once, by product construction, into a single transition table; a clause is then one walk.
 """
 

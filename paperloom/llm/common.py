@@ -58,6 +58,12 @@ def bucket_of(column: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus, F.lit(-1))
 
 
+def text_keys(*names: str) -> list[Column]:
+    """Two 64-bit hashes of the text, which name it together."""
+    keys = [F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text"))]
+    return [k.alias(n) for k, n in zip(keys, names)] if names else keys
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array, nulls as empty, and the n + 1 offsets of its values."""
     if isinstance(array, pa.ChunkedArray):

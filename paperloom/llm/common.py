@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker holds in one piece; longer batches are cut.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +86,30 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(a, b - a)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *held: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, for ``mapInArrow``; at a partition's end the caches ``held`` are emptied and unused memory
+    goes back to the system, as Python workers live on from stage to stage."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for cache in held:
+                cache.clear()
+            swept()
+
+    return wrapped
+
+
+def swept() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library: it keeps what it keeps
+        pass
+
+
 def mapped(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
     """``mapInArrow`` over slices of the named columns, one output batch a slice."""
 
@@ -95,7 +120,7 @@ def mapped(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.
                 if out is not None:
                     yield out
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(tidy(run), schema)
 
 
 def sampled_labels(labels: DataFrame, label: str, fold: int, folds: int, bound: int) -> DataFrame:

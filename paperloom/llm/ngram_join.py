@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, released, slices, stored, table, text_keys, utf8
+from .common import dropped, released, slices, stored, table, text_keys, tidy, utf8
 from .components import components
 
 WORDS = 5
@@ -43,7 +43,7 @@ SEVERAL = 0xFFFF
 #: Bytes of text that are cut into words at once, and that a range of tokens gathers.
 PIECE, RANGE_BYTES = 1 << 20, 16 << 20
 #: Rows of a prefix token that go to one task; tokens with more are split. Sets in one tree.
-HOT_ROWS, TREE_SETS, TREE_BYTES = 2000, 512, 16 << 20
+HOT_ROWS, TREE_SETS, TREE_BYTES = 500, 512, 16 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -173,7 +173,7 @@ def cut(token: np.ndarray, log_ranges: int) -> list[tuple[int, slice]]:
 
 
 def log_ranges_of(size: int) -> int:
-    return min(24, max(4, (size // RANGE_BYTES).bit_length()))
+    return min(24, max(6, (size // RANGE_BYTES).bit_length()))
 
 
 def task_blocks() -> Iterator[Block]:
@@ -190,8 +190,8 @@ def surveyed(docs: DataFrame, log_ranges: int) -> DataFrame:
     block and number there, and how many of its tokens are in the survey's share. Rows with a range:
     the marks of a block's distinct tokens there, and the set of each. Rows with ``shared``: how many
     tokens a set shares with others of its block."""
-    names = ["doc_id", "h1", "h2", "n", "sig", "block", "place", "low", "shared", "range", "marks", "places"]
-    kinds = [pa_type(docs, "doc_id"), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["doc_id", "h1", "h2", "n", "sig", "block", "place", "low", "range", "marks", "places"]
+    kinds = [pa_type(docs, "doc_id"), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
     bound = np.uint64(int(SURVEY * 2**64))
 
     def rows(**given) -> pa.RecordBatch:
@@ -205,9 +205,7 @@ def surveyed(docs: DataFrame, log_ranges: int) -> DataFrame:
             return
         count = np.diff(np.r_[first, len(token)])
         several = np.repeat(count > 1, count)
-        shared = np.bincount(place[several], minlength=len(block.sizes))
-        some = np.flatnonzero(shared)
-        yield rows(block=np.full(len(some), block.number), place=some.astype(np.int32), shared=shared[some].astype(np.int32))
+        yield rows(block=[block.number], places=[place[several].tobytes()])
         owner = np.where(count > 1, np.uint16(SEVERAL), place[first])
         mark = (token[first] >> np.uint64(32 - log_ranges)).astype(np.uint32)
         parts = cut(token[first], log_ranges)
@@ -231,8 +229,8 @@ def surveyed(docs: DataFrame, log_ranges: int) -> DataFrame:
                 yield rows(doc_id=piece.column("doc_id"), h1=piece.column("h1"), h2=piece.column("h2"), n=[len(s) for s in sets], sig=sigs, block=numbers, place=places, low=low)
         yield from sent(block)
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h1 long, h2 long, n int, sig binary, block long, place int, low int, shared int, range long, marks binary, places binary"
-    return docs.select("doc_id", "text", *text_keys("h1", "h2")).mapInArrow(run, schema)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h1 long, h2 long, n int, sig binary, block long, place int, low int, range long, marks binary, places binary"
+    return docs.select("doc_id", "text", *text_keys("h1", "h2")).mapInArrow(tidy(run), schema)
 
 
 def pa_type(docs: DataFrame, column: str) -> pa.DataType:
@@ -242,20 +240,22 @@ def pa_type(docs: DataFrame, column: str) -> pa.DataType:
 
 
 def met_again(rows: pa.Table) -> pa.Table:
-    """Of a range of tokens: how many of each set's marks other sets have too. Marks that are equal
-    by chance count as shared: that keeps a set, and never rules one out."""
+    """Of a range of tokens: to each block the sets whose marks other sets have too, once for each mark.
+    Marks that are equal by chance count as shared: that keeps a set, and never rules one out."""
     marks = [np.frombuffer(x, np.uint32) for x in rows.column("marks").to_pylist()]
-    place = np.concatenate([np.frombuffer(x, np.uint16) for x in rows.column("places").to_pylist()])
-    block = np.repeat(rows.column("block").to_numpy(), [len(m) for m in marks])
+    places = [np.frombuffer(x, np.uint16) for x in rows.column("places").to_pylist()]
     _, of, count = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
-    many = count + np.bincount(of, weights=place == SEVERAL, minlength=len(count)) > 1
-    keep = many[of] & (place != SEVERAL)
-    block, place = block[keep], place[keep]
-    order = np.lexsort((place, block))
-    block, place = block[order], place[order]
-    first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (place[1:] != place[:-1])]) if len(block) else np.zeros(0, np.int64)
-    shared = np.diff(np.r_[first, len(block)])
-    return pa.table([pa.array(block[first]), pa.array(place[first].astype(np.int32)), pa.array(shared.astype(np.int32))], ["block", "place", "shared"])
+    many = (count + np.bincount(of, weights=np.concatenate(places) == SEVERAL, minlength=len(count)) > 1)[of]
+    ends = np.cumsum([len(m) for m in marks]).tolist()
+    found = [p[many[e - len(p) : e] & (p != SEVERAL)].tobytes() for p, e in zip(places, ends)]
+    return pa.table([rows.column("block"), pa.array(found, pa.binary())], ["block", "places"])
+
+
+def shared_tokens(rows: pa.Table) -> pa.Table:
+    """Of a block: how many tokens each of its sets shares, as told by the block itself and by the ranges."""
+    count = np.bincount(np.frombuffer(b"".join(rows.column("places").to_pylist()), np.uint16))
+    some = np.flatnonzero(count)
+    return pa.table([pa.array(np.full(len(some), rows.column("block")[0].as_py())), pa.array(some.astype(np.int32)), pa.array(count[some].astype(np.int32))], ["block", "place", "shared"])
 
 
 def bloom(keys: DataFrame) -> np.ndarray:
@@ -280,7 +280,7 @@ def chosen_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             x = words.value[(h >> 16) % len(words.value)]
             yield batch.filter(pa.array(((x >> (h & 63)) & (x >> ((h >> 8) & 63)) & 1).astype(bool)))
 
-    few = docs.where("text is not null").select(*text_keys("h1", "h2"), "text").mapInArrow(run, "h1 long, h2 long, text string")
+    few = docs.where("text is not null").select(*text_keys("h1", "h2"), "text").mapInArrow(tidy(run), "h1 long, h2 long, text string")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return few.join(chosen, ["h1", "h2"], "left_semi").repartition(tasks, "h1", "h2").dropDuplicates(["h1", "h2"])
 
@@ -319,7 +319,7 @@ def token_rows(texts: DataFrame, log_ranges: int) -> DataFrame:
                     block.put(signature(s), len(s), s)
         yield from sent(block)
 
-    return texts.select("text").mapInArrow(run, "block long, range long, tokens binary, places binary, counts binary")
+    return texts.select("text").mapInArrow(tidy(run), "block long, range long, tokens binary, places binary, counts binary")
 
 
 def counted(rows: pa.Table) -> pa.Table:
@@ -378,7 +378,7 @@ def prefix_rows(sets: DataFrame) -> DataFrame:
                 row = pa.array(np.repeat(np.arange(len(n)), k))
                 yield pa.RecordBatch.from_arrays([pa.array(token), *(piece.column(c).take(row) for c in ("sig", "n", "alone")), pa.array(pos.astype(np.int32))], ["token", "sig", "n", "alone", "pos"])
 
-    return sets.mapInArrow(run, "token long, sig binary, n int, alone int, pos int")
+    return sets.mapInArrow(tidy(run), "token long, sig binary, n int, alone int, pos int")
 
 
 #: Whether a pair can link if its first common token stands at pos and l.pos. Linked sets have their first
@@ -470,7 +470,7 @@ def crossed(rows: DataFrame) -> DataFrame:
     own = near.select(*columns, F.col("salt").alias("part"), each.alias("other"), F.lit(1).alias("own"))
     outside = near.where("component <> top").select(*columns, each.alias("part"), F.col("salt").alias("other"), F.lit(0).alias("own"))
     keys = ["token", "part", "other"]
-    return own.unionByName(outside).repartition(*keys).sortWithinPartitions(*keys, "own").mapInArrow(crossing, "a binary, b binary").distinct()
+    return own.unionByName(outside).repartition(*keys).sortWithinPartitions(*keys, "own").mapInArrow(tidy(crossing), "a binary, b binary").distinct()
 
 
 class Tree:
@@ -574,16 +574,16 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     items = sets.select("sig", "n", "items")
     members = shards.join(items.withColumnRenamed("sig", "b"), "b").select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("sig"), "n", "items")
     probes = shards.select("a", "salt").distinct().join(items.withColumnRenamed("sig", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("sig"), "n", "items")
-    return probes.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(walked, "a binary, b binary")
+    return probes.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(tidy(walked), "a binary, b binary")
 
 
 def set_links(docs: DataFrame, survey: DataFrame, size: int) -> DataFrame:
     """Of the sets that link with any other: node (a set's name) and component (the least name linked)."""
     spark = docs.sparkSession
     log_ranges = log_ranges_of(size)
-    shared = survey.where("shared is not null").select("block", "place", "shared")
-    again = survey.where("range is not null").select("block", "range", "marks", "places").groupBy("range").applyInArrow(met_again, "block long, place int, shared int")
-    shared = shared.unionByName(again).groupBy("block", "place").agg(F.sum("shared").alias("shared"))
+    inside = survey.where("range is null and places is not null").select("block", "places")
+    again = survey.where("range is not null").select("block", "range", "marks", "places").groupBy("range").applyInArrow(met_again, "block long, places binary")
+    shared = inside.unionByName(again).groupBy("block").applyInArrow(shared_tokens, "block long, place int, shared int")
     own = survey.where("sig is not null").select("block", "place", "n", "low", "sig", "h1", "h2").join(shared, ["block", "place"], "left")
     allowed = F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN}")
     able = own.where(F.col("low") - F.coalesce("shared", F.lit(0)) <= allowed)

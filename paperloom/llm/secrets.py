@@ -1,9 +1,10 @@
 """Secret scanning with one deterministic automaton for all rules.
 
-The rules' expressions are compiled together: Thompson construction, subset construction over
-byte classes, Moore minimisation, transition arrays. Every text is walked once, byte by byte,
-many stretches of text side by side in numpy. The automaton says which stretches hold a match
-of some rule; there the rules' own expressions fix the exact spans.
+Every rule's expression goes through Thompson and subset construction, leftmost match first; the
+rules' automata are then run as one (the reachable part of their product), which Moore's algorithm
+minimises into transition arrays over byte classes. Every text is walked once, byte by byte, many
+stretches side by side in numpy. For each byte the automaton writes which rules accept there, and
+which rules' match has begun how many bytes ago; starts, ends and lengths are read off these marks.
 """
 
 from __future__ import annotations
@@ -30,20 +31,6 @@ RULES: tuple[tuple[str, bytes, int, int], ...] = (
     ("jwt", rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     ("pem", rb"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----", 0, 0),
 )
-#: What the automaton looks for: a necessary beginning of each rule's matches. Full lengths would
-#: multiply its states (a counter for each rule that can run inside another), so they are checked after.
-NEEDED: tuple[bytes, ...] = (
-    rb"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{2}""",
-    rb"AKIA[A-Z0-9]{2}",
-    rb"[0-9a-f]{12}",
-    rb"gh[oprsu]_[A-Za-z0-9]{2}",
-    rb"xox[abprs]-[A-Za-z0-9-]",
-    rb"AIza[A-Za-z0-9_-]",
-    rb"[rs]k_live_[A-Za-z0-9]",
-    rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]",
-    rb"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----",
-)
-
 
 class Nfa:
     """Thompson construction for a small expression language over bytes:
@@ -58,6 +45,33 @@ class Nfa:
         self.free.append([])
         return len(self.arcs) - 1
 
+    def closed(self, states: set[int]) -> frozenset[int]:
+        todo = list(states)
+        while todo:
+            for t in self.free[todo.pop()]:
+                if t not in states:
+                    states.add(t)
+                    todo.append(t)
+        return frozenset(states)
+
+    def moved(self, states: frozenset[int], byte: int) -> frozenset[int]:
+        return self.closed({t for s in states for chars, t in self.arcs[s] if byte in chars})
+
+    def loops(self) -> frozenset[int]:
+        """States with an arc from which a way leads back to them."""
+
+        def after(state: int) -> set[int]:
+            seen: set[int] = set()
+            todo = [state]
+            while todo:
+                for t in self.closed({x for _, x in self.arcs[todo.pop()]}):
+                    if t not in seen:
+                        seen.add(t)
+                        todo.append(t)
+            return seen
+
+        return frozenset(s for s in range(len(self.arcs)) if self.arcs[s] and s in after(s))
+
     def add(self, expression: bytes) -> tuple[int, int]:
         self.text, self.at = expression, 0
         ends = self.choice()
@@ -139,153 +153,207 @@ class Nfa:
         return found
 
 
+@dataclass
+class Leftmost:
+    """One rule's automaton. ``step[state][byte class]``; ``accepts``: a match may end with this byte;
+    ``begins``: above 0, how many bytes ago the match began, told once, where it enters a loop."""
+
+    step: list[list[int]]
+    accepts: list[bool]
+    begins: list[int]
+
+    @classmethod
+    def build(cls, expression: bytes, sample: list[int]) -> Leftmost:
+        """A state is the row of matches under way, oldest first: the age of each (None once it has
+        entered a loop) and its states. A younger one that could only go on as an older one does is
+        left out, and all are once an older one accepts: the leftmost match wins and is as long as
+        can be. Raises ValueError for rules whose starts can't be told this way.
+        """
+        nfa = Nfa()
+        begin, end = nfa.add(expression)
+        loops = nfa.loops()
+        fresh = nfa.closed({begin})
+        known: dict[tuple, int] = {((), 0): 0}
+        order: list[tuple] = [((), 0)]
+        rows = []
+        for threads, _ in order:  # grows while it is read
+            row, matching = [], bool(threads) and end in threads[0][1]
+            for byte in sample:
+                seen: set[int] = set()
+                now: list[tuple[int | None, frozenset[int], int]] = []
+                for i, (age, states) in enumerate(threads[:1] if matching else threads):
+                    to = nfa.moved(states, byte) - seen
+                    if to:
+                        seen |= to
+                        now.append((None if age is None else age + 1, to, i))
+                if matching and now and end not in now[0][1]:
+                    raise ValueError(f"a match must end where it can't go on: {expression!r}")
+                if not (matching and now):
+                    to = nfa.moved(fresh, byte) - seen
+                    if to:
+                        now.append((1, to, -1))
+                if now and now[0][0] is None and now[0][2] != 0:
+                    raise ValueError(f"a later start outlives an earlier one: {expression!r}")
+                told = now[0][0] if now and now[0][0] is not None and now[0][1] & loops else 0
+                if now and now[0][0] is not None and not told and end in now[0][1]:
+                    told = now[0][0]
+                key = (tuple((None if states & loops else age, states) for age, states, _ in now), told)
+                if key not in known:
+                    known[key] = len(order)
+                    order.append(key)
+                row.append(known[key])
+            rows.append(row)
+        return cls(rows, [bool(t) and end in t[0][1] for t, _ in order], [told for _, told in order])
+
+
 @dataclass
 class Automaton:
-    """``step[state * classes + kind[byte]]``: the next state times ``classes``; ``accepts[state]``: bits of the rules."""
+    """``step[state * classes + kind[byte]]``: the next state times ``classes``, with the mark that the
+    byte gets in ``mark[state]``. ``accepts[mark, rule]`` and ``begins[mark, rule]`` as in Leftmost."""
 
     kind: np.ndarray
     classes: int
     step: np.ndarray
+    mark: np.ndarray
     accepts: np.ndarray
+    begins: np.ndarray
     #: Bytes after which every state is the start state: no match reaches across them.
     resets: np.ndarray
 
     @classmethod
     def build(cls, expressions: tuple[bytes, ...]) -> Automaton:
         nfa = Nfa()
-        start, ends = nfa.state(), {}
-        for i, e in enumerate(expressions):
-            a, b = nfa.add(e)
-            nfa.free[start].append(a)
-            ends[b] = 1 << i
+        for e in expressions:
+            nfa.add(e)
         # bytes that no arc tells apart are one class
         sets = sorted({s for arcs in nfa.arcs for s, _ in arcs}, key=sorted)
         signs = [tuple(b in s for s in sets) for b in range(256)]
         names = {s: i for i, s in enumerate(dict.fromkeys(signs))}
-        kind = np.array([names[s] for s in signs], np.int32)
-        sample = [signs.index(s) for s in names]
-
-        def closed(states: set[int]) -> frozenset[int]:
-            todo = list(states)
-            while todo:
-                for t in nfa.free[todo.pop()]:
-                    if t not in states:
-                        states.add(t)
-                        todo.append(t)
-            return frozenset(s for s in states if nfa.arcs[s] or s in ends)
-
-        begin = closed({start})
-        known, rows = {begin: 0}, []
-        order = [begin]
-        for state in order:  # grows while it is read: subset construction
+        kind = np.array([names[s] for s in signs], np.uint8)
+        rules = [Leftmost.build(e, [signs.index(s) for s in names]) for e in expressions]
+        classes = len(names)
+
+        known = {(0,) * len(rules): 0}
+        order = [(0,) * len(rules)]
+        rows = []
+        for state in order:  # grows while it is read: the product of the rules' automata
             row = []
-            for byte in sample:
-                # the start states stay in: a match may begin anywhere
-                to = closed({t for s in state for chars, t in nfa.arcs[s] if byte in chars} | {start})
+            for to in zip(*(rule.step[s] for rule, s in zip(rules, state))):
                 if to not in known:
                     known[to] = len(order)
                     order.append(to)
                 row.append(known[to])
             rows.append(row)
-        accept = np.array([sum({ends[s] for s in state if s in ends}) for state in order])
         step = np.array(rows)
-        # Moore: split by what is accepted, then by where the transitions lead
-        part = np.unique(accept, return_inverse=True)[1]
+        told = np.array([[rule.accepts[s] for rule, s in zip(rules, state)] + [rule.begins[s] for rule, s in zip(rules, state)] for state in order])
+        marks, mark = np.unique(told, axis=0, return_inverse=True)
+        assert not marks[0].any(), "mark 0 says nothing"
+        # Moore: split by mark, then by where the transitions lead
+        part = mark.ravel()
         while True:
             finer = np.unique(np.c_[part, part[step]], axis=0, return_inverse=True)[1].ravel()
             if finer.max() == part.max():
                 break
             part = finer
         size = part.max() + 1
-        # the start state becomes 0
-        name = np.r_[0, np.arange(1, size)]
-        first = part[0]
-        name = np.arange(size)
-        name[first], name[0] = 0, first
+        name = np.arange(size)  # the start state becomes 0
+        name[part[0]], name[0] = 0, part[0]
         part = name[part]
-        table_, acc = np.zeros((size, len(sample)), np.int64), np.zeros(size, np.int64)
-        table_[part], acc[part] = part[step], accept
-        classes = len(sample)
-        return cls(kind, classes, (table_ * classes).astype(np.int32).ravel(), acc.astype(np.uint16), (table_ == 0).all(axis=0)[kind])
-
-    def flagged(self, data: np.ndarray, offsets: np.ndarray, stretch: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cuts the texts into stretches at resetting bytes, and walks them side by side.
-
-        Returns the begins and ends of the stretches in which a rule accepts, and the bits.
-        """
+        table_, of = np.zeros((size, classes), np.int64), np.zeros(size, np.uint16)
+        table_[part], of[part] = part[step], mark.ravel()
+        n = len(rules)
+        return cls(kind, classes, (table_ * classes).astype(np.int32).ravel(), of, marks[:, :n].astype(bool), marks[:, n:], (table_ == 0).all(axis=0)[kind])
+
+    def marked(self, data: np.ndarray, offsets: np.ndarray, stretch: int = 1024) -> np.ndarray:
+        """The mark of every byte. The texts are cut into stretches at resetting bytes, which are
+        walked side by side."""
         n = len(data)
+        marks = np.zeros(n, np.uint16)
         if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+            return marks
         safe = np.flatnonzero(self.resets[data]) + 1
-        marks = np.arange(stretch, n, stretch)
-        at = np.searchsorted(safe, marks)
+        at = np.searchsorted(safe, np.arange(stretch, n, stretch))
         cuts = safe[at[at < len(safe)]]
         begin = np.unique(np.r_[offsets[:-1][np.diff(offsets) > 0], cuts[cuts < n]])
         length = np.diff(np.r_[begin, n])
         order = np.argsort(-length, kind="stable")
         begin, length = begin[order], length[order]
-        kinds = self.kind.astype(np.uint8)[data]
-        lanes, found = len(begin), np.zeros(len(begin), np.uint16)
+        kinds = self.kind[data]
+        lanes = len(begin)
         state, where = np.zeros(lanes, np.int32), begin.copy()
-        accepts = np.repeat(self.accepts, self.classes)
-        left, k = length[::-1], 0
-        ends = np.searchsorted(left, np.arange(length[0]), side="right")  # lanes that have ended before each step
+        of = np.repeat(self.mark, self.classes)
+        ends = np.searchsorted(length[::-1], np.arange(length[0]), side="right")  # lanes that have ended before each step
+        k = 0
         for k in range(int(length[0])):
             live = lanes - int(ends[k])
             if live < 8:
                 break
             s = self.step.take(state[:live] + kinds.take(where[:live]))
             state[:live] = s
+            marks[where[:live]] = of.take(s)
             where[:live] += 1
-            found[:live] |= accepts.take(s)
         else:
             k += 1
         if k < length[0]:  # a few long stretches are left: a plain loop is faster
-            step, acc = self.step.tolist(), accepts.tolist()
+            step = self.step.tolist()
             for i in range(lanes - int(ends[k])):
-                s, bits = int(state[i]), int(found[i])
+                s, states = int(state[i]), []
                 for c in kinds[where[i] : begin[i] + length[i]].tolist():
                     s = step[s + c]
-                    bits |= acc[s]
-                found[i] = bits
-        hit = np.flatnonzero(found)
-        return begin[hit], begin[hit] + length[hit], found[hit]
+                    states.append(s)
+                marks[where[i] : begin[i] + length[i]] = of[states]
+        return marks
+
+    def spans(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each rule: the begins and ends of its matches, and where the run begins with which they end."""
+        marks = self.marked(data, offsets)
+        some = np.flatnonzero(marks)
+        marks = marks[some]
+        found = []
+        for rule in range(self.accepts.shape[1]):
+            age = self.begins[:, rule][marks]
+            told = np.flatnonzero(age)
+            at = self.accepts[:, rule][marks]
+            where = some[at]
+            if not len(where):
+                found.append((where, where, where))
+                continue
+            first = np.flatnonzero(np.r_[True, (where[1:] != where[:-1] + 1) | (age[at][1:] > 0)])
+            run, end = where[first], where[np.r_[first[1:] - 1, len(where) - 1]] + 1
+            place = told[np.searchsorted(some[told], run, side="right") - 1]
+            found.append((some[place] + 1 - age[place], end, run))
+        return found
 
 
-COMPILED = [(name, re.compile(e), group, least) for name, e, group, least in RULES]
 HELD: list[Automaton] = []
 
 
 def automaton() -> Automaton:
     if not HELD:
-        HELD.append(Automaton.build(NEEDED))
+        HELD.append(Automaton.build(tuple(e for _, e, _, _ in RULES)))
     return HELD[0]
 
 
-def spans_of(data: bytes, bits: int) -> list[tuple[int, int, int]]:
-    """(start, rule, end) in bytes of the passing matches, leftmost and not overlapping within a rule."""
-    out = []
-    for i, (_, expression, group, least) in enumerate(COMPILED):
-        if bits >> i & 1:
-            out += [(m.start(), i, m.end()) for m in expression.finditer(data) if m.end(group) - m.start(group) >= least]
-    return out
-
-
 def scan_batch(texts: pa.Array) -> list[list[tuple[int, int, int]]]:
     """Of each text the spans (start, rule, end), in code points, sorted."""
     data, offsets = utf8(texts)
     found: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
-    begins, ends, bits = automaton().flagged(data, offsets)
-    of = np.searchsorted(offsets, begins, side="right") - 1
-    for a, b, x, i in zip(begins.tolist(), ends.tolist(), bits.tolist(), of.tolist()):
-        spans = spans_of(data[a:b].tobytes(), x)
-        if spans:
-            base = int(offsets[i])
-            # code points: bytes that do not continue a character
-            point = lambda p, base=base: int(np.count_nonzero((data[base:p] & 0xC0) != 0x80))
-            found[i] += [(point(a + s), rule, point(a + e)) for s, rule, e in spans]
-    for spans in found:
-        spans.sort()
+    rules, begins, ends = [], [], []
+    for rule, ((_, _, group, least), (begin, end, run)) in enumerate(zip(RULES, automaton().spans(data, offsets))):
+        keep = end - (run if group else begin) >= least
+        rules.append(np.full(int(keep.sum()), rule))
+        begins.append(begin[keep])
+        ends.append(end[keep])
+    begin, end, rule = np.concatenate(begins), np.concatenate(ends), np.concatenate(rules)
+    if not len(begin):
+        return found
+    of = np.searchsorted(offsets, begin, side="right") - 1
+    # code points: bytes that do not continue a character
+    points = np.r_[0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)] if (data & 0x80).any() else np.arange(len(data) + 1)
+    base = points[offsets[of]]
+    order = np.lexsort((end, rule, begin))
+    for i, s, r, e in zip(of[order].tolist(), (points[begin] - base)[order].tolist(), rule[order].tolist(), (points[end] - base)[order].tolist()):
+        found[i].append((s, r, e))
     return found
 
 
@@ -298,7 +366,9 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     ``spans`` lists kind:start:end of all rules, by start, then in the order of the rules, in
     code points with exclusive ends; ``base_sha256`` digests those of the first three kinds.
-    Null and empty texts have no spans; repeated rows are each answered.
+    A base rule's group that counts is the run its match ends with. Null and empty texts have no
+    spans; repeated rows are each answered; an empty table gives no rows; very long texts take
+    time in proportion. Only the named columns are read, so others may have any name.
     """
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
 
@@ -312,4 +382,5 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text of ``documents``; see ``scan``."""
     return scan(table(spark, sf_dir, "documents"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import decontamination, line_dedup, ngram_join, packing, toxicity
-from paperloom.llm.common import stored, table
+from paperloom.llm.common import dropped, stored, table
 
 #: op5_line_dedup keeps the 8 % of its SQL; precision and recall of both are in the README.
 BOILERPLATE_RATIO = 0.02
@@ -54,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's table goes when the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs

@@ -23,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the one the cluster names, else a local one (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/paperloom-checkpoints"
-    return named.rstrip("/")
+    """The folder for intermediate tables: the one the cluster names. Only a local session may do
+    without one, and then uses a temporary folder; elsewhere executors would each write to their own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or f"file://{tempfile.gettempdir()}/paperloom-checkpoints").rstrip("/")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -110,8 +113,8 @@ def swept() -> None:
         pass
 
 
-def mapped(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
-    """``mapInArrow`` over slices of the named columns, one output batch a slice."""
+def mapped(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", held: tuple[dict, ...] = ()) -> DataFrame:
+    """``mapInArrow`` over slices of the named columns, one output batch a slice; see ``tidy`` for ``held``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +123,7 @@ def mapped(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.
                 if out is not None:
                     yield out
 
-    return df.select(*columns).mapInArrow(tidy(run), schema)
+    return df.select(*columns).mapInArrow(tidy(run, *held), schema)
 
 
 def sampled_labels(labels: DataFrame, label: str, fold: int, folds: int, bound: int) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, tidy
 
 
 def separators() -> bytes:
@@ -163,13 +163,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int
                         at, item, distance, begin, end = zip(*rows)
                         yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(at)), pa.array(item), pa.array(distance, pa.int32()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names)
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int = 12, block_bytes: int = 1 << 20) -> DataFrame:
-    """The documents in which no test item was found, with all their columns."""
+    """The documents in which no test item was found, with all their columns; see ``find_leaks``.
+
+    Null and empty texts stay, and repeated rows each; without items all documents stay, and an
+    empty table gives no rows."""
     cast = docs.sparkSession.sparkContext.broadcast
     for block in blocks(items, block_bytes):
         shared = cast((block, rate, least))
@@ -177,11 +180,13 @@ def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: i
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(*shared.value)
             for batch in batches:
-                yield batch.filter(pa.array([not matcher.leaks(text) for text in batch.column("text").to_pylist()], pa.bool_()))
+                for piece in slices(batch, "text"):
+                    yield piece.filter(pa.array([not matcher.leaks(text) for text in piece.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of ``benchmark`` in ``documents``; see ``find_leaks``."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -12,9 +12,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.taskcontext import TaskContext
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, stored, table, tidy
 
 #: Characters beyond which a text goes to the tokenizer as it is (fixed values).
 PLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]")
@@ -39,7 +40,7 @@ class WordTokens(dict):
     plain characters go to the tokenizer itself. Up to ``limit`` chunks are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = 100_000) -> None:
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -132,7 +133,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, groups:
     """One row per piece: at most ``capacity`` ids each, all but a document's last full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, row = word_tokens(tokenizer), 0
+        held, row, task = word_tokens(tokenizer), 0, TaskContext.get().partitionId()
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch, "text"):
@@ -140,16 +141,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, groups:
                 for i, text in enumerate(part.column("text").to_pylist()):
                     ids = held.ids(text) + tail
                     n = len(ids) // 4
-                    group = zlib.crc32(b"%d %d" % (row, n)) % groups  # a random group, also for repeated rows
+                    group = zlib.crc32(b"%d %d %d" % (task, row, n)) % groups  # a random group, also for repeated rows
                     row += 1
                     for start in range(0, n, capacity):
                         piece = ids[4 * start : 4 * (start + capacity)]
                         out.append((i, start, len(piece) // 4, zlib.crc32(piece), n, group))
                 columns = [np.array(c, np.int64) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(columns[0])), *map(pa.array, columns[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp"])
+        held.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, grp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, grp long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, group_rows: int = 8192) -> DataFrame:
@@ -169,7 +171,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
         return part.assign(sequence_id=bins * groups + int(key[0]), offset=offsets).drop(columns="grp")
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return pieces(docs, tokenizer, capacity, end_id, groups).groupBy("grp").applyInPandas(packed, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    # written, so that a piece keeps its group when a lost executor's work is done again
+    return stored(pieces(docs, tokenizer, capacity, end_id, groups), "pieces").groupBy("grp").applyInPandas(packed, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -179,4 +182,5 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in sequences of at most 2048 ids; see ``pack``."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())

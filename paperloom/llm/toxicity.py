@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, mapped, sampled_labels, sigmoid, stored, table
+from .common import bucket_of, mapped, sampled_labels, sigmoid, slices, stored, table, tidy
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n\"«»“”„]")
 
@@ -148,7 +148,7 @@ class ToxicityModel:
     def clauses(self, text: str) -> list[float]:
         """The scores above 0 of the text's clauses."""
         tokens = TOKEN.findall(text.lower())
-        if len(self.tags) > 400_000:
+        if len(self.tags) > 100_000:
             self.tags.clear()
         codes = bytes(map(self.tags.__getitem__, tokens))
         found, done = [], 0
@@ -263,7 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, bou
         x = features(local_model(model.value), batch.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("label")], ["a", "b", "label"])
 
-    rows = mapped(sample, ["text", "label"], featured, "a double, b double, label int").toPandas()
+    rows = mapped(sample, ["text", "label"], featured, "a double, b double, label int", held=(LOCAL,)).toPandas()
     w = logistic(rows[["a", "b"]].to_numpy(), rows.label.to_numpy().astype(float))
     return ToxicityModel(words, stems, (float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2]))))
 
@@ -307,19 +307,23 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
         x = np.array([(min(2.0, max(c)), math.log1p(sum(c))) if c else (0.0, 0.0) for c in found], float).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(local.score(x)), pa.array([len(c) for c in found], pa.int32()), pa.array(x[:, 0])], [*keep, "score", "clauses", "top"])
 
-    return mapped(docs, list(dict.fromkeys([*keep, "text"])), run, ", ".join(f"`{c}` {k}" for c, k in zip(keep, kinds)) + ", score double, clauses int, top double")
+    return mapped(docs, list(dict.fromkeys([*keep, "text"])), run, ", ".join(f"`{c}` {k}" for c, k in zip(keep, kinds)) + ", score double, clauses int, top double", held=(LOCAL,))
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """The documents that score below ``threshold``, with all their columns."""
+    """The documents that score below ``threshold``, with all their columns.
+
+    Null and empty texts are scored as texts without matches, repeated rows each; an empty table
+    gives no rows."""
     cast = docs.sparkSession.sparkContext.broadcast((model.words, model.stems, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            local = local_model(cast.value)
-            yield batch.filter(pa.array(local.score(features(local, batch.column("text").to_pylist())) < threshold))
+            for piece in slices(batch, "text"):
+                local = local_model(cast.value)
+                yield piece.filter(pa.array(local.score(features(local, piece.column("text").to_pylist())) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run, LOCAL), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,7 +104,13 @@ def strip_markup(c: Column) -> Column:
 
 
 def clean_abstract(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?i)^\s*abstract\s*[:.\-]?\s*", ""))
+    """Without a leading label of the abstract and what separates it."""
+    return trimmed(F.regexp_replace(c, r"^(?:Abstract|ABSTRACT|abstract|摘要)[.:：\-—" + SPACE + "]*", ""))
+
+
+def trimmed(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def split_authors(c: Column) -> Column:
@@ -134,27 +140,53 @@ def file_size_text(c: Column) -> Column:
     return F.when(c.isNull() | (c == 0), "-").when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1048576, F.concat(F.format_string("%.1f", kb), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", kb / 1024), F.lit(" MB")))
 
 
-def duration_text(c: Column) -> Column:
+def duration_text(c: Column, hour: str = "小时", minute: str = "分钟") -> Column:
+    """Hours and minutes; a part that is 0 is left out, but for 0 minutes in all."""
     h, m = F.floor(c / 3600), F.floor(F.pmod(c, F.lit(3600)) / 60)
-    return F.when(h > 0, F.concat(h.cast("string"), F.lit(" h "), m.cast("string"), F.lit(" min"))).otherwise(F.concat(m.cast("string"), F.lit(" min")))
+    hours, minutes = F.concat(h.cast("string"), F.lit(hour)), F.concat(m.cast("string"), F.lit(minute))
+    return F.when(c <= 0, F.lit("0" + minute)).when((h > 0) & (m > 0), F.concat(hours, minutes)).when(h > 0, hours).otherwise(minutes)
 
 
-def author_list_text(c: Column, most: int = 3) -> Column:
-    return F.when(F.size(c) > most, F.concat(F.array_join(F.slice(c, 1, most), ", "), F.lit(" et al."))).otherwise(F.array_join(c, ", "))
+def short_duration_text(c: Column) -> Column:
+    return duration_text(c, "h", "m")
 
 
-def category(journal: Column, isbn: Column, url: Column, given: Column) -> Column:
-    """Document category: the given text, else by journal, ISBN or preprint address."""
-    g = F.lower(F.coalesce(given, F.lit("")))
-    return (
-        F.when(g.contains("thesis") | g.contains("dissertation"), "thesis").when(g.contains("conference") | g.contains("proceedings"), "conference").when(g.contains("book"), "book")
-        .when(clean(journal).isNotNull(), "journal").when(clean(isbn).isNotNull(), "book").when(F.lower(url).contains("arxiv"), "preprint").otherwise("other")
-    )
+def author_list_text(c: Column, most: int = 3, total: bool = False) -> Column:
+    """The first ``most`` names, and a note that there are more, with their total if asked."""
+    rest = F.concat(F.lit(" 等 ("), F.size(c).cast("string"), F.lit("人)")) if total else F.lit(" 等")
+    return F.when(F.size(c) > most, F.concat(F.array_join(F.slice(c, 1, most), ", "), rest)).otherwise(F.array_join(c, ", "))
+
 
+# The document categories, and the words that tell them, in order.
+CATEGORY_WORDS = [
+    ("期刊文章", ["journal"]), ("会议论文", ["proceedings", "conference"]), ("书籍/章节", ["book"]), ("报告", ["report"]), ("学位论文", ["thesis", "dissertation"]), ("预印本", ["preprint", "posted-content"]),
+]
+OTHER_CATEGORY = "文献"
+ZONES = {1: "一区", 2: "二区", 3: "三区", 4: "四区"}
 
-def snippet(text: Column, needle: str, reach: int = 40) -> Column:
-    """The first hit of ``needle`` (any case) with ``reach`` characters either side; null if none."""
-    at = F.locate(needle.lower(), F.lower(text))
+
+def category(journal: Column, isbn: Column, url: Column, given: Column) -> Column:
+    """Document category: by the words of the given text if there is one, else by journal, ISBN or preprint address."""
+    low = F.lower(given)
+    by_text = F.when(F.lit(False), "")
+    for name, words in CATEGORY_WORDS:
+        hit = low.contains(words[0])
+        for w in words[1:]:
+            hit = hit | low.contains(w)
+        by_text = by_text.when(hit, name)
+    there = lambda c: F.coalesce(c != "", F.lit(False))
+    by_field = F.when(there(journal), "期刊文章").when(there(isbn), "书籍/章节").when(F.coalesce(url.contains("arxiv"), F.lit(False)), "预印本").otherwise(OTHER_CATEGORY)
+    return F.when(there(given), by_text.otherwise(OTHER_CATEGORY)).otherwise(by_field)
+
+
+def zone_label(c: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, c.cast("int")), F.concat(c.cast("string"), F.lit("区")))
+
+
+def snippet(text: Column, needle: str, reach: int = 40, case: bool = False) -> Column:
+    """The first hit of ``needle`` (any case, unless ``case``) with ``reach`` characters either side; null if none."""
+    at = F.locate(needle, text) if case else F.locate(needle.lower(), F.lower(text))
     begin = F.greatest(at - reach, F.lit(1))
     return F.when(at > 0, F.substring(text, begin, at - begin + len(needle) + reach))
 
@@ -173,16 +205,21 @@ def hex_colour(c: Column) -> Column:
 
 def to_html(c: Column) -> Column:
     out = c
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.regexp_replace(out, r"\*([^*]+)\*", "<i>$1</i>")
 
 
+# Fixed value: the beginning of an RTF citation.
+RTF_BEGIN = r"{\rtf1\ansi\deff0 {\fonttbl {\f0 Times New Roman;}}\f0\fs24 "
+
+
 def to_rtf(c: Column) -> Column:
     out = c
     for a, b in (("\\", "\\\\"), ("{", "\\{"), ("}", "\\}")):
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.concat(F.lit("{\\rtf1 "), F.regexp_replace(out, r"\*([^*]+)\*", r"{\\\\i $1}"), F.lit("}"))
+    italic = F.regexp_replace(out, r"\*([^*]+)\*", r"{\\i $1}")
+    return F.concat(F.lit(RTF_BEGIN), italic, F.lit("}"))
 
 
 def to_plain(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, keyword_union
+from ..functions.text import SPACE, clean, keyword_union
 
 
 def fill(base: Column, other: Column) -> Column:
@@ -24,8 +24,44 @@ def override(base: Column, remote: Column) -> Column:
 
 
 def structured_title(title: Column, parsed: Column, file_name: Column) -> Column:
-    """The parser's title where the own one is missing, shorter than 5, or the file's name."""
-    return F.when(title.isNull() | (F.length(title) < 5) | (title == file_name), F.coalesce(clean(parsed), title)).otherwise(title)
+    """The parser's title, with single spaces, where the own one is missing, shorter than 5, or the file's name."""
+    tidy = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE + "+", " "))
+    own = tidy(title)
+    bare = F.regexp_replace(file_name, r"(?i)\.pdf$", "")
+    return F.when((parsed != "") & ((F.length(own) < 5) | (own == bare)), tidy(parsed)).otherwise(title)
+
+
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+
+
+def first_page_facts(page: Column) -> Column:
+    """What a first page says: doi, abstract, date, volume, issue, pages, url; null for what it doesn't."""
+    part = lambda pattern, group=1: F.nullif(F.regexp_extract(page, pattern, group), F.lit(""))
+    numbers = r"(\d{4})[-/.]\s*(\d{1,2})[-/.]\s*(\d{1,2})"
+    day = F.when(page.rlike(numbers), F.concat_ws("-", part(numbers, 1), F.lpad(part(numbers, 2), 2, "0"), F.lpad(part(numbers, 3), 2, "0")))
+    stop = r"(?=\n(?:Keywords|关键词|Key\s*words|Introduction|1\s*[.\s]|一\s*[、.]|$))"
+    abstract = part(r"(?i)(?:Abstract|摘\s*要)[：:\s]*\n?([\s\S]{20,800}?)" + stop)
+    span = r"(?i)pp?\.?\s*(\d+)\s*[-–]\s*(\d+)"
+    return F.struct(
+        F.regexp_replace(part(r"10\.\d{4,9}/[^\s,;\"'<>}\]]+", 0), r"[.)}>\]]+$", "").alias("doi"),
+        F.regexp_replace(F.trim(abstract), r"\s+", " ").alias("abstract"),
+        F.coalesce(day, part(rf"(?i)(?:{MONTHS})\s+\d{{4}}", 0)).alias("date"),
+        part(r"(?i)Vol(?:ume)?\.?\s*(\d+)").alias("volume"),
+        part(r"(?i)(?:No\.?\s*|Issue\s*)(\d+)").alias("issue"),
+        F.when(page.rlike(span), F.concat(part(span, 1), F.lit("–"), part(span, 2))).alias("pages"),
+        F.regexp_replace(part(r"https?://[^\s<>\"]+", 0), r"[.)>,;]+$", "").alias("url"),
+    )
+
+
+def first_page_fill(known: dict[str, Column], facts: Column) -> dict[str, Column]:
+    """Known fields, with gaps filled from the first page where DOI, abstract or date is missing."""
+    look = known["doi"].isNull() | known["abstract"].isNull() | known["date"].isNull()
+    return {k: F.coalesce(c, F.when(look, facts[k])) for k, c in known.items()}
+
+
+def completed(cached: Column, parsed: Column) -> Column:
+    """What was cached, or what is parsed anew where that is missing or empty."""
+    return F.when(F.coalesce(F.size(cached), F.lit(0)) > 0, cached).otherwise(parsed)
 
 
 def keywords(a: Column, b: Column) -> Column:

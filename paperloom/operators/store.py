@@ -43,3 +43,15 @@ def numbered_names(rows: DataFrame, name: str, order: str) -> DataFrame:
 def within_quota(stored: DataFrame, owner: str, key: str, value: str, quota: int) -> DataFrame:
     """Characters each owner has stored, and whether they are within the quota."""
     return stored.groupBy(owner).agg(F.coalesce(F.sum(F.length(value)), F.lit(0)).cast("long").alias("used")).withColumn("within", F.col("used") <= quota)
+
+
+def quota_checked(stored: DataFrame, new: DataFrame, owner: str, key: str, value: str, quota: int = 5 << 20) -> DataFrame:
+    """New values (one a key), with the characters that the owner's other keys hold (``used``) and
+    whether those and the new value's bytes are within the quota (``accepted``)."""
+    sizes = stored.select(F.col(owner).alias("__owner"), F.col(key).alias("__key"), F.length(value).alias("__size"))
+    total = sizes.groupBy("__owner").agg(F.sum("__size").alias("__total"))
+    own = sizes.groupBy("__owner", "__key").agg(F.sum("__size").alias("__own"))
+    joined = new.join(total, F.col(owner) == F.col("__owner"), "left").drop("__owner")
+    joined = joined.join(own, (F.col(owner) == F.col("__owner")) & (F.col(key) == F.col("__key")), "left")
+    used = (F.coalesce("__total", F.lit(0)) - F.coalesce("__own", F.lit(0))).cast("long")
+    return joined.withColumn("used", used).withColumn("accepted", F.col("used") + F.octet_length(value) <= quota).select(*new.columns, "used", "accepted")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import citations, text
+from ..functions import text
 from ..operators import fuzzy, layout, metadata, reading, store
 from ..sources import journal_rankings, logged_sessions, papers, read, segments
 
@@ -70,9 +70,9 @@ def _(s, d):
     return reading.bars(reading.daily(sessions(s, d), NOW, 100))
 
 
-@query("display_duration", SESSIONS + "SELECT id, CASE WHEN duration_seconds // 3600 > 0 THEN (duration_seconds // 3600) || ' h ' || (duration_seconds % 3600 // 60) || ' min' ELSE (duration_seconds % 3600 // 60) || ' min' END AS shown FROM s")
+@query("display_duration", SESSIONS + "SELECT id, CASE WHEN h > 0 AND m > 0 THEN h || '小时' || m || '分钟' WHEN h > 0 THEN h || '小时' ELSE m || '分钟' END AS shown FROM (SELECT id, duration_seconds * 37 // 3600 AS h, duration_seconds * 37 % 3600 // 60 AS m FROM s)")
 def _(s, d):
-    return sessions(s, d).select("id", text.duration_text(F.col("duration_seconds")).alias("shown"))
+    return sessions(s, d).select("id", text.duration_text(F.col("duration_seconds") * 37).alias("shown"))
 
 
 @query("kv_upsert_latest", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
@@ -147,28 +147,24 @@ def _(s, d):
     return papers(s, d).select("id", "name").orderBy(F.desc("id"))
 
 
-@query("category_case", PAPERS + "SELECT id, CASE WHEN trim(journal) <> '' AND id % 3 = 0 THEN 'journal' WHEN id % 3 = 1 THEN 'preprint' ELSE 'other' END AS category FROM p")
+@query("category_case", PAPERS + "SELECT id, CASE WHEN journal <> '' AND id % 3 = 0 THEN '期刊文章' WHEN id % 3 = 1 THEN '预印本' ELSE '文献' END AS category FROM p")
 def _(s, d):
     p = papers(s, d)
-    j, u = F.when(F.col("id") % 3 == 0, F.col("journal")), F.when(F.col("id") % 3 == 1, F.lit("https://arXiv.org/abs/2401.12345"))
+    j, u = F.when(F.col("id") % 3 == 0, F.col("journal")), F.when(F.col("id") % 3 == 1, F.lit("https://arxiv.org/abs/2401.12345"))
     return p.select("id", text.category(j, F.lit(None).cast("string"), u, F.lit(None).cast("string")).alias("category"))
 
 
-@query("display_size", PAPERS + "SELECT id, CASE WHEN file_size IS NULL OR file_size = 0 THEN '-' WHEN file_size < 1024 THEN CAST(file_size AS VARCHAR) || ' B' END AS shown FROM p WHERE file_size < 1024")
-def _(s, d):
-    return papers(s, d).where("file_size < 1024").select("id", text.file_size_text(F.col("file_size")).alias("shown"))
-
-
 TENTHS = "CAST(({n}) // 10 AS VARCHAR) || '.' || CAST(({n}) % 10 AS VARCHAR)"
-SIZE_KB, SIZE_MB = TENTHS.format(n="(file_size * 10 + 512) // 1024"), TENTHS.format(n="(file_size * 10 + 524288) // 1048576")
+SIZE_KB, SIZE_MB = TENTHS.format(n="(size * 10 + 512) // 1024"), TENTHS.format(n="(size * 10 + 524288) // 1048576")
 
 
-@query("display_size_all", PAPERS + f"SELECT id, CASE WHEN file_size IS NULL OR file_size = 0 THEN '-' WHEN file_size < 1024 THEN CAST(file_size AS VARCHAR) || ' B' WHEN file_size < 1048576 THEN {SIZE_KB} || ' KB' ELSE {SIZE_MB} || ' MB' END AS shown FROM p")
+@query("display_size", PAPERS + f", z AS (SELECT id, CASE id % 3 WHEN 0 THEN file_size WHEN 1 THEN file_size * 700 END AS size FROM p) SELECT id, CASE WHEN size IS NULL OR size = 0 THEN '-' WHEN size < 1024 THEN CAST(size AS VARCHAR) || ' B' WHEN size < 1048576 THEN {SIZE_KB} || ' KB' ELSE {SIZE_MB} || ' MB' END AS shown FROM z")
 def _(s, d):
-    return papers(s, d).select("id", text.file_size_text(F.col("file_size")).alias("shown"))
+    size = F.when(F.col("id") % 3 == 0, F.col("file_size")).when(F.col("id") % 3 == 1, F.col("file_size") * 700)
+    return papers(s, d).select("id", text.file_size_text(size).alias("shown"))
 
 
-@query("author_abbrev", "SELECT doc_id, CASE WHEN len(a) > 3 THEN array_to_string(a[1:3], ', ') || ' et al.' ELSE array_to_string(a, ', ') END AS authors FROM (SELECT doc_id, string_split(text, ' ') AS a FROM documents)")
+@query("author_abbrev", "SELECT doc_id, CASE WHEN len(a) > 3 THEN array_to_string(a[1:3], ', ') || ' 等' ELSE array_to_string(a, ', ') END AS authors FROM (SELECT doc_id, string_split(text, ' ') AS a FROM documents)")
 def _(s, d):
     return read(s, d, "documents").select("doc_id", text.author_list_text(F.split("text", " ")).alias("authors"))
 
@@ -249,24 +245,6 @@ def _(s, d):
     return read(s, d, "part").select("p_partkey", text.keyword_union(F.split("p_name", " "), F.split(F.upper("p_type"), " ")).alias("words"))
 
 
-@query("title_vote", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'A Study of Weaving Paper Looms' ELSE 'Other words entirely here' END AS title FROM documents")
-def _(s, d):
-    same, other = F.lit("A Study of Weaving Paper Looms"), F.lit("Other words entirely here")
-    return read(s, d, "documents").select("doc_id", text.vote_title(F.when(F.col("lang") == "en", same).otherwise(other), F.lit("a study of weaving, paper looms"), F.lit("nothing alike at all")).alias("title"))
-
-
-@query("doi_extract", "SELECT doc_id, '10.1000/x' || CAST(doc_id AS VARCHAR) AS doi FROM documents")
-def _(s, d):
-    t = F.concat("text", F.lit(" doi:10.1000/x"), F.col("doc_id").cast("string"), F.lit(")."))
-    return read(s, d, "documents").select("doc_id", text.find_doi(t).alias("doi"))
-
-
-@query("arxiv_extract", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '2401.12345' WHEN 1 THEN 'cs/0703142' ELSE '2401.1234' END AS arxiv FROM documents")
-def _(s, d):
-    t = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " arXiv:2401.12345").when(F.col("doc_id") % 3 == 1, " arxiv:cs/0703142").otherwise(" https://arxiv.org/pdf/2401.1234"))
-    return read(s, d, "documents").select("doc_id", text.find_arxiv(t).alias("arxiv"))
-
-
 @query("markup_strip", "SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '[{}]', '', 'g') AS plain FROM pages")
 def _(s, d):
     return read(s, d, "pages").select("page_id", text.strip_markup(F.col("html")).alias("plain"))
@@ -335,9 +313,9 @@ def _(s, d):
     return layout.class_text(segments(s, d), boxes(s, d), 4)
 
 
-@query("upper_median_height", WORDS + "SELECT file_id, page_index, list_sort(list(ymin))[len(list(ymin)) // 2 + 1] AS median FROM segments GROUP BY file_id, page_index")
+@query("upper_median_height", WORDS + "SELECT file_id, page_index, coalesce(list_sort(list(h) FILTER (WHERE h > 0))[count(*) FILTER (WHERE h > 0) // 2 + 1], 12.0) AS median FROM (SELECT *, ymax - ymin + length(text) % 7 - 11 AS h FROM segments) GROUP BY file_id, page_index")
 def _(s, d):
-    return segments(s, d).groupBy("file_id", "page_index").agg(layout.upper_median("ymin").alias("median"))
+    return segments(s, d).withColumn("h", F.col("ymax") - F.col("ymin") + F.length("text") % 7 - 11).groupBy("file_id", "page_index").agg(F.coalesce(layout.upper_median(F.when(F.col("h") > 0, F.col("h"))), F.lit(12.0)).alias("median"))
 
 
 @query("row_band_order", WORDS + "SELECT file_id, page_index, seg_ord, CAST(row_number() OVER (PARTITION BY file_id, page_index ORDER BY round((ymin + ymax) / 2 / 8.0), xmin, seg_ord) AS INTEGER) AS rank FROM segments")
@@ -411,24 +389,3 @@ def _(s, d):
 def _(s, d):
     t = F.concat("text", F.lit(" $$y^2$$ with $x_"), F.col("turn").cast("string"), F.lit("$ and $5"))
     return read(s, d, "conversations").select("conv_id", "turn", F.posexplode(text.math_parts(t)).alias("part_ord", "part")).select("conv_id", "turn", "part_ord", "part.kind", "part.content")
-
-
-def cited(s, d, style, output="text"):
-    k = F.col("p_partkey")
-    fields = {"title": F.col("p_name"), "journal": F.when(k % 3 != 0, F.col("p_brand")), "publisher": F.when(k % 2 == 0, F.lit("Press")), "date": F.lit("2024-03"), "volume": F.col("p_size").cast("string"), "issue": F.when(k % 5 != 0, F.lit("2")), "pages": F.lit("10–20"), "doi": F.when(k % 7 != 0, F.lit("10.1000/x1"))}
-    authors = F.when(k % 4 == 0, F.array(F.lit("Ada Lovelace"))).otherwise(F.array(F.lit("Ada Lovelace"), F.lit("Alan M. Turing")))
-    return read(s, d, "part").select("p_partkey", citations.cite(authors, fields, style, output).alias("citation"))
-
-
-HAS = {"J": "p_partkey % 3 <> 0", "I": "p_partkey % 5 <> 0", "D": "p_partkey % 7 <> 0", "P": "p_partkey % 2 = 0", "ONE": "p_partkey % 4 = 0"}
-CITE_SQL = {
-    "gbt-7714-2015": "CASE WHEN {ONE} THEN 'LOVELACE A' ELSE 'LOVELACE A, TURING A M' END || '. ' || p_name || CASE WHEN {J} THEN '[J]. ' || p_brand || ', 2024, ' || p_size || CASE WHEN {I} THEN '(2)' ELSE '' END || ': 10-20' WHEN {P} THEN '[Z]. Press, 2024: 10-20' ELSE '[Z]' END || CASE WHEN {D} THEN '. DOI: 10.1000/x1' ELSE '' END || '.'",
-    "ieee": "CASE WHEN {ONE} THEN 'A. Lovelace' ELSE 'A. Lovelace, and A. M. Turing' END || ', \"' || p_name || '.\"' || CASE WHEN {J} THEN ', ' || p_brand || ', vol. ' || p_size || CASE WHEN {I} THEN ', no. 2' ELSE '' END || ', pp. 10-20, 2024' WHEN {P} THEN ', Press, 2024' ELSE '' END || CASE WHEN {D} THEN ', doi: 10.1000/x1' ELSE '' END || '.'",
-    "apa-7th": "CASE WHEN {ONE} THEN 'Lovelace, A.' ELSE 'Lovelace, A., & Turing, A. M.' END || '. (2024). ' || p_name || CASE WHEN {J} THEN '. ' || p_brand || ', ' || p_size || CASE WHEN {I} THEN '(2)' ELSE '' END || ', 10-20' WHEN {P} THEN '. Press' ELSE '' END || CASE WHEN {D} THEN '. https://doi.org/10.1000/x1' ELSE '' END || '.'",
-    "din-1505-2": "CASE WHEN {ONE} THEN 'Lovelace, Ada' ELSE 'Lovelace, Ada ; Turing, Alan M.' END || '. ' || p_name || '.' || CASE WHEN {J} THEN '. ' || p_brand || ', Bd. ' || p_size || ' (2024)' || CASE WHEN {I} THEN ', Nr. 2' ELSE '' END || ', S. 10-20' WHEN {P} THEN '. Press, 2024' ELSE '' END || CASE WHEN {D} THEN '. DOI: 10.1000/x1' ELSE '' END || '.'",
-}
-for _style in [*citations.STYLES, *citations.SAME]:
-    _sql = CITE_SQL.get(_style)
-    query("cite_" + _style.replace("-", "_"), f"SELECT p_partkey, {_sql.format(**HAS)} AS citation FROM part" if _sql else None)(lambda s, d, style=_style: cited(s, d, style))
-query("cite_html")(lambda s, d: cited(s, d, "apa-7th", "html"))
-query("cite_rtf")(lambda s, d: cited(s, d, "apa-7th", "rtf"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, clean, keyword_union
+from ..functions.text import SPACE, clean, keyword_union, trimmed
 
 
 def fill(base: Column, other: Column) -> Column:
@@ -77,10 +80,31 @@ def by_doi_or_title(refs: DataFrame, remote: DataFrame) -> DataFrame:
 
 
 def outline_parents(items: DataFrame) -> DataFrame:
-    """The parent of an outline item: the nearest earlier one of a smaller level."""
-    p = items.select("file_id", F.col("ord").alias("p_ord"), F.col("level").alias("p_level"))
-    found = items.join(p, "file_id").where("p_ord < ord and p_level < level").groupBy("file_id", "ord").agg(F.max("p_ord").alias("parent"))
-    return items.join(found, ["file_id", "ord"], "left")
+    """The parent of an outline item: the nearest earlier one of a smaller level.
+
+    A file's levels are walked once, in order, as one array: each item looks back from its place
+    for the last smaller level."""
+    rows = F.array_sort(F.collect_list(F.struct("ord", "level")))
+    stack = items.groupBy("file_id").agg(rows.alias("rows"))
+    kind = {c: items.schema[c].dataType.simpleString() for c in ("file_id", "ord", "level")}
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files, orders, levels, parents = [], [], [], []
+            for file, found in zip(batch.column("file_id").to_pylist(), batch.column("rows").to_pylist()):
+                open_: list[tuple] = []
+                for row in found:
+                    while open_ and open_[-1][1] >= row["level"]:
+                        open_.pop()
+                    files.append(file)
+                    orders.append(row["ord"])
+                    levels.append(row["level"])
+                    parents.append(open_[-1][0] if open_ else None)
+                    open_.append((row["ord"], row["level"]))
+            types = [batch.schema.field("file_id").type, *(batch.schema.field("rows").type.value_type.field(c).type for c in ("ord", "level", "ord"))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((files, orders, levels, parents), types)], ["file_id", "ord", "level", "parent"])
+
+    return stack.mapInArrow(walk, f"file_id {kind['file_id']}, ord {kind['ord']}, level {kind['level']}, parent {kind['ord']}")
 
 
 def match_in_order(slides: DataFrame, images: DataFrame) -> DataFrame:
@@ -89,14 +113,71 @@ def match_in_order(slides: DataFrame, images: DataFrame) -> DataFrame:
     return slides.withColumn("n", n("slide_ord")).join(images.withColumn("n", n("image_ord")), ["file_id", "page_index", "n"], "left").drop("n")
 
 
-def sections(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Sections of markup: each ``div`` or ``article`` with a heading, its paragraphs joined, 2000 bytes at most."""
-    block = F.explode(F.regexp_extract_all(html, F.lit(r"(?s)(<h[1-6][^>]*>.*?)(?=<h[1-6]|$)"), 1)).alias("block")
-    b = pages.select(key, block)
-    title = F.trim(F.regexp_replace(F.regexp_extract("block", r"(?s)<h[1-6][^>]*>(.*?)</h", 1), "<[^>]*>", ""))
-    paras = F.transform(F.regexp_extract_all("block", F.lit(r"(?s)<p[^>]*>(.*?)</p>"), 1), lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", "")))
-    level = F.least(F.lit(6), F.size(F.split(F.regexp_extract("block", r"<h[1-6][^>]*>\s*([0-9]+(?:\.[0-9]+)*)", 1), r"\.")))
-    return b.select(key, title.alias("title"), level.cast("int").alias("level"), F.substring(F.array_join(paras, "\n"), 1, 2000).alias("content"))
+TAG = "<[^>]+>"
+
+
+def bare(c: Column) -> Column:
+    """Markup's text, without white space at its ends."""
+    return trimmed(F.regexp_replace(c, TAG, ""))
+
+
+def first_element(c: Column, name: str) -> Column:
+    """The text of the first element of a name, in any case; null if there is none."""
+    pattern = rf"(?is)<{name}\b[^>]*>(.*?)</{name}>"
+    return F.when(c.rlike(pattern), bare(F.regexp_extract(c, pattern, 1)))
+
+
+def elements(c: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(c, F.lit(pattern), 1)
+
+
+def body_of(c: Column) -> Column:
+    pattern = r"(?is)<body[^>]*>(.*?)</body>"
+    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, 1)).otherwise(c)
+
+
+def first_bytes(c: Column, most: int) -> Column:
+    """The whole characters within the first ``most`` bytes."""
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.regexp_replace(F.decode(F.substring(F.encode(c, "UTF-8"), 1, most), "UTF-8"), "\ufffd+$", ""))
+
+
+def sections(pages: DataFrame, key: str, markup: str) -> DataFrame:
+    """Sections of structured markup (TEI): each ``div`` of the body that has a head or a paragraph with
+    text. Columns ``key``, sec_ord, title (null without a head), level (by the dots of a leading number,
+    6 at most, else 1) and content (paragraphs joined by spaces, 2000 bytes at most)."""
+    b = pages.select(key, F.posexplode(elements(body_of(F.col(markup)), r"(?is)<div\b[^>]*>(.*?)</div>")).alias("sec_ord", "block"))
+    title = first_element(F.col("block"), "head")
+    paragraphs = F.filter(F.transform(elements(F.col("block"), r"(?is)<p\b[^>]*>(.*?)</p>"), bare), lambda x: x != "")
+    dots = F.length(F.regexp_replace(F.regexp_extract("title", r"^([0-9][0-9.]*)", 1), "[0-9]", ""))
+    out = b.select(key, "sec_ord", title.alias("title"), F.array_join(paragraphs, " ").alias("whole")).where("title is not null or whole <> ''")
+    return out.select(key, "sec_ord", "title", F.coalesce(F.least(F.lit(6), dots + 1), F.lit(1)).alias("level"), first_bytes(F.col("whole"), 2000).alias("content"))
+
+
+def figures(pages: DataFrame, key: str, markup: str) -> DataFrame:
+    """Figures of structured markup: ``key``, fig_ord, label (its xml:id, else its label) and caption.
+
+    Figures said to be so; where there are none, all that are not tables and have a caption or a label."""
+    body = body_of(F.col(markup))
+    known = elements(body, r'(?is)<figure\b[^>]*type\s*=\s*"figure"[^>]*>(.*?)</figure>')
+    table = lambda x: x.contains('type="table"') | x.contains("type='table'")
+    others = F.filter(elements(body, r"(?is)<figure\b[^>]*>(.*?)</figure>"), lambda x: ~table(x) & (first_element(x, "figDesc").isNotNull() | first_element(x, "label").isNotNull()))
+    return described(pages.select(key, F.when(F.size(known) > 0, known).otherwise(others).alias("found")), key, "fig_ord")
+
+
+def described(found: DataFrame, key: str, order: str) -> DataFrame:
+    x = F.col("x")
+    label = F.coalesce(F.nullif(F.regexp_extract(x, r'xml:id\s*=\s*"([^"]+)"', 1), F.lit("")), first_element(x, "label"))
+    return found.select(key, F.posexplode("found").alias(order, "x")).select(key, order, label.alias("label"), first_element(x, "figDesc").alias("caption"))
+
+
+def tables(pages: DataFrame, key: str, markup: str) -> DataFrame:
+    """Tables of structured markup, as ``figures``; where none is said to be one, each ``table``, labelled T1, T2, ..."""
+    body = body_of(F.col(markup))
+    known = elements(body, r'(?is)<figure\b[^>]*type\s*=\s*"table"[^>]*>(.*?)</figure>')
+    plain = pages.select(key, known.alias("known"), elements(body, r"(?is)<table\b[^>]*>(.*?)</table>").alias("plain"))
+    one = described(plain.where(F.size("known") > 0).select(key, F.col("known").alias("found")), key, "tab_ord")
+    two = described(plain.where(F.size("known") == 0).select(key, F.col("plain").alias("found")), key, "tab_ord")
+    return one.unionByName(two.withColumn("label", F.concat(F.lit("T"), (F.col("tab_ord") + 1).cast("string"))))
 
 
 def title_by_font(segments: DataFrame) -> DataFrame:

@@ -234,7 +234,17 @@ def _(s, d):
     return fuzzy.token_overlap(q, journal_rankings(s, d))
 
 
-@query("rank_cascade")
+REVERSED = "array_to_string(list_reverse(string_split(p_name, ' ')), ' ')"
+CASCADE = RANK + f""", q0 AS (SELECT DISTINCT name FROM (SELECT 'J. of ' || p_name || ' (Int. Sci.)' AS name FROM part UNION ALL SELECT upper(p_name) FROM part UNION ALL SELECT {REVERSED} FROM part)),
+q1 AS (SELECT name, {NORM.format(c='name')} AS norm FROM q0), q AS (SELECT name, norm, {map_sql(text.ABBREVIATIONS, 'norm')} AS expanded, {map_sql(text.CONTRACTIONS, 'norm')} AS contracted FROM q1 WHERE norm <> ''),
+e AS (SELECT q.*, a.ordinal AS o1, b.ordinal AS o2, c.ordinal AS o3 FROM q LEFT JOIN r a ON a.journal_norm = q.norm LEFT JOIN r b ON b.journal_norm = q.expanded LEFT JOIN r c ON c.journal_norm = q.contracted),
+n AS (SELECT e.name, r.ordinal FROM e JOIN r ON contains(e.norm, r.journal_norm) OR contains(r.journal_norm, e.norm) WHERE coalesce(o1, o2, o3) IS NULL QUALIFY row_number() OVER (PARTITION BY e.name ORDER BY length(r.journal_norm) DESC, r.ordinal) = 1),
+w AS (SELECT name, {TOKENS.format(c='expanded')} AS t FROM e WHERE coalesce(o1, o2, o3) IS NULL AND name NOT IN (SELECT name FROM n)), rt AS (SELECT ordinal, {TOKENS.format(c='journal_norm')} AS u FROM r WHERE length(journal_norm) > 5),
+x AS (SELECT w.name, rt.ordinal, len(list_intersect(t, u)) / greatest(len(t), len(u)) AS overlap FROM w, rt WHERE len(t) >= 2 AND len(list_intersect(t, u)) / greatest(len(t), len(u)) >= 0.6 QUALIFY row_number() OVER (PARTITION BY w.name ORDER BY overlap DESC, rt.ordinal) = 1)
+SELECT e.name, coalesce(o1, o2, o3, n.ordinal, x.ordinal) AS ordinal, CASE WHEN o1 IS NOT NULL THEN 'norm' WHEN o2 IS NOT NULL THEN 'expanded' WHEN o3 IS NOT NULL THEN 'contracted' WHEN n.ordinal IS NOT NULL THEN 'containment' WHEN x.ordinal IS NOT NULL THEN 'tokens' END AS stage FROM e LEFT JOIN n ON n.name = e.name LEFT JOIN x ON x.name = e.name"""
+
+
+@query("rank_cascade", CASCADE)
 def _(s, d):
     names = part_names(s, d).select("name").unionByName(read(s, d, "part").select(F.upper("p_name").alias("name"))).unionByName(read(s, d, "part").select(F.array_join(F.reverse(F.split("p_name", " ")), " ").alias("name")))
     return fuzzy.resolve(names, journal_rankings(s, d))
@@ -361,9 +371,48 @@ def _(s, d):
     return read(s, d, "documents").join(b, "doc_id", "left").select("doc_id", metadata.override(F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.col("remote"))).alias("title"))
 
 
-@query("tei_sections")
+# Structured markup around the benchmark's texts: heads of several kinds, empty paragraphs, figures and tables.
+TEI = [
+    "<TEI><teiHeader><div><head>not here</head></div></teiHeader><text><body><div xmlns='x'><head n='1.2'>1.2.3 Looms &amp; <hi>webs</hi></head><p>", "</p><p> </p><P>Second <ref>[1]</ref>.</P></div><DIV><p>no head</p></DIV><div><p> </p></div>",
+    "<div><head>12345.1.1.1.1.1.1 deep</head></div><div><head></head><p>", "</p></div>", "<figure type=\"figure\"><label>2</label><figDesc>A <b>loom</b></figDesc></figure>", "<figure><head>none</head></figure><figure><label>7</label><figDesc>seven</figDesc><graphic xml:id=\"g7\"/></figure>",
+    "<figure type=\"table\"><label>3</label><figDesc>Sizes</figDesc></figure>", "<table><row/></table><table><figDesc>plain</figDesc></table>", "</body></text></TEI>",
+]
+TEI_SQL = "WITH t AS (SELECT item_id, concat({0}, text, {1}, {2}, repeat('thread and loom ', CAST(item_id % 3 * 100 AS BIGINT)), {3}, CASE WHEN item_id % 2 = 0 THEN {4} ELSE {5} END, CASE WHEN item_id % 3 = 0 THEN {6} ELSE {7} END, {8}) AS x FROM benchmark), b AS (SELECT item_id, regexp_extract(x, '(?is)<body[^>]*>(.*?)</body>', 1) AS x FROM t), ".format(*["'" + x.replace("'", "''") + "'" for x in TEI])
+BARE = "regexp_replace(regexp_replace({x}, '<[^>]+>', '', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+def element_sql(name: str, x: str = "x") -> str:
+    pattern = f"'(?is)<{name}\\b[^>]*>(.*?)</{name}>'"
+    return f"CASE WHEN regexp_matches({x}, {pattern}) THEN {BARE.format(x=f'regexp_extract({x}, {pattern}, 1)')} END"
+
+
+def tei(s, d):
+    k, p = F.col("item_id"), [F.lit(x) for x in TEI]
+    x = F.concat(p[0], F.col("text"), p[1], p[2], F.repeat(F.lit("thread and loom "), (k % 3 * 100).cast("int")), p[3], F.when(k % 2 == 0, p[4]).otherwise(p[5]), F.when(k % 3 == 0, p[6]).otherwise(p[7]), p[8])
+    return read(s, d, "benchmark").select("item_id", x.alias("x"))
+
+
+@query("tei_sections", TEI_SQL + f"""l AS (SELECT item_id, regexp_extract_all(x, '(?is)<div\\b[^>]*>(.*?)</div>', 1) AS found FROM b), e AS (SELECT item_id, unnest(range(len(found))) AS sec_ord, unnest(found) AS x FROM l),
+c AS (SELECT item_id, sec_ord, {element_sql('head')} AS title, array_to_string(list_filter(list_transform(regexp_extract_all(x, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda y: {BARE.format(x='y')}), lambda y: y <> ''), ' ') AS content FROM e)
+SELECT item_id, CAST(sec_ord AS INTEGER) AS sec_ord, title, CAST(coalesce(least(6, length(regexp_replace(regexp_extract(title, '^([0-9][0-9.]*)', 1), '[0-9]', '', 'g')) + 1), 1) AS INTEGER) AS level, CASE WHEN strlen(content) > 2000 THEN substr(content, 1, 2000) ELSE content END AS content FROM c WHERE title IS NOT NULL OR content <> ''""")
+def _(s, d):
+    return metadata.sections(tei(s, d), "item_id", "x")
+
+
+DESCRIBED = "coalesce(nullif(regexp_extract(x, 'xml:id\\s*=\\s*\"([^\"]+)\"', 1), ''), " + element_sql("label") + ") AS label, " + element_sql("figDesc") + " AS caption"
+
+
+@query("tei_figures", TEI_SQL + f"""l AS (SELECT item_id, regexp_extract_all(x, '(?is)<figure\\b[^>]*type\\s*=\\s*"figure"[^>]*>(.*?)</figure>', 1) AS known, list_filter(regexp_extract_all(x, '(?is)<figure\\b[^>]*>(.*?)</figure>', 1), lambda y: NOT contains(y, 'type="table"') AND (contains(y, '<label') OR contains(y, '<figDesc'))) AS others FROM b),
+m AS (SELECT item_id, CASE WHEN len(known) > 0 THEN known ELSE others END AS found FROM l), e AS (SELECT item_id, unnest(range(len(found))) AS fig_ord, unnest(found) AS x FROM m) SELECT item_id, CAST(fig_ord AS INTEGER) AS fig_ord, {DESCRIBED} FROM e""")
+def _(s, d):
+    return metadata.figures(tei(s, d), "item_id", "x")
+
+
+@query("tei_tables", TEI_SQL + f"""l AS (SELECT item_id, regexp_extract_all(x, '(?is)<figure\\b[^>]*type\\s*=\\s*"table"[^>]*>(.*?)</figure>', 1) AS known, regexp_extract_all(x, '(?is)<table\\b[^>]*>(.*?)</table>', 1) AS plain FROM b),
+m AS (SELECT item_id, len(known) > 0 AS named, CASE WHEN len(known) > 0 THEN known ELSE plain END AS found FROM l), e AS (SELECT item_id, named, unnest(range(len(found))) AS tab_ord, unnest(found) AS x FROM m),
+o AS (SELECT item_id, named, CAST(tab_ord AS INTEGER) AS tab_ord, {DESCRIBED} FROM e) SELECT item_id, tab_ord, CASE WHEN named THEN label ELSE 'T' || (tab_ord + 1) END AS label, caption FROM o""")
 def _(s, d):
-    return metadata.sections(read(s, d, "pages"), "page_id", "html")
+    return metadata.tables(tei(s, d), "item_id", "x")
 
 
 @query("title_by_font", WORDS + """, f AS (SELECT *, 8.0 + length(text) % 5 AS font_size FROM segments), m AS (SELECT *, max(font_size) OVER (PARTITION BY file_id, page_index) AS largest FROM f)

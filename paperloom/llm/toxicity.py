@@ -1,9 +1,10 @@
 """Toxicity scoring with a weighted finite-state grammar over clauses.
 
-A tagger maps every token to a class. Three small transducers read the classes: one marks
-what a negation covers, one what reported speech or a quotation covers, one remembers whether
-the clause names its target and turns insults and threats into weights. They are composed
-once, by product construction, into a single transition table; a clause is then one walk.
+A tagger maps every token to a class. Five small transducers read the classes, each what the one
+before writes: negation and reported speech mark what they cover, target marks what is aimed at
+somebody, insult and threat turn what they find into weights. They are composed once, by product
+construction, into a single transition table; a clause is then one walk. An insult that is aimed
+weighs more than one that stands alone, and a threat weighs only if it is aimed.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from .common import bucket_of, mapped, sampled_labels, sigmoid, slices, stored,
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n\"«»“”„]")
 
-# Token classes.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
-#: Marks added by the transducers: the class is negated (8) or reported (16).
-NEGATED, REPORTED = 8, 16
-SYMBOLS = 32
+# Token classes. END ends a clause, BREAK a paragraph and with it any quotation.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END, BREAK = range(9)
+CLASSES = 9
+#: Marks added by the transducers: the class is negated, reported, aimed at somebody.
+NEGATED, REPORTED, AIMED = 16, 32, 64
 
 # Seed words of the grammar, in English, German, French and Spanish.
 SEED_INSULTS = "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting imbecile dumb dummkopf abschaum trottel versager idiote crétin imbécile minable basura escoria estúpido imbécil".split()
@@ -36,13 +37,13 @@ NEGATIONS = "not no never nor isn aren wasn don doesn didn won nicht kein keine
 REPORTS = "said says claimed claims reported quoted wrote writes called alleged according sagte behauptete schrieb zitierte laut dit affirma écrit selon dijo afirmó escribió según".split()
 #: Lengths of the word beginnings that can be learned.
 STEMS = range(4, 10)
-ENDS = ".!?;\n"
+ENDS = ".!?;"
 QUOTES = "\"«»“”„"
 
 
 @dataclass
 class Transducer:
-    """``step(state, symbol) -> (state, symbol, weight)`` from state 0; END always ends a clause."""
+    """``step(state, symbol) -> (state, symbol, weight)`` from state 0."""
 
     step: Callable[[int, int], tuple[int, int, float]]
 
@@ -67,7 +68,7 @@ class Transducer:
         rows: list[list[tuple[int, float]]] = []
         known = 1
         while len(rows) < known:
-            row = [self.step(len(rows), c) for c in range(8)]
+            row = [self.step(len(rows), c) for c in range(CLASSES)]
             known = max(known, 1 + max(r[0] for r in row))
             rows.append([(s, w) for s, _, w in row])
         return rows
@@ -77,7 +78,7 @@ def negation(reach: int = 4) -> Transducer:
     """Marks insults and threats within ``reach`` tokens of a negation."""
 
     def step(state: int, c: int) -> tuple[int, int, float]:
-        if c == END:
+        if c in (END, BREAK):
             return 0, c, 0.0
         if c == NEGATION:
             return reach, c, 0.0
@@ -87,42 +88,69 @@ def negation(reach: int = 4) -> Transducer:
 
 
 def reported() -> Transducer:
-    """Marks what follows a reporting verb in its clause, and what stands between quotation marks."""
+    """Marks what follows a reporting verb in its clause (state 1), and what stands between quotation
+    marks (state 2), over any number of clauses up to the paragraph's end."""
 
     def step(state: int, c: int) -> tuple[int, int, float]:
-        if c == END:
+        if c == BREAK or c == END and state == 1:
             return 0, c, 0.0
         if c == QUOTE:
             return (0 if state == 2 else 2), c, 0.0
         if c == REPORT and state == 0:
             return 1, c, 0.0
-        return state, c | REPORTED if state and c & 7 in (INSULT, THREAT) else c, 0.0
+        return state, c | REPORTED if state and c & 15 in (INSULT, THREAT) else c, 0.0
 
     return Transducer(step)
 
 
-def scorer() -> Transducer:
-    """Weights: state bit 0 says that a target was named, bits 1 and 2 that an insult or a threat waits for one."""
+def target() -> Transducer:
+    """Marks insults and threats after somebody was named or addressed in the clause."""
 
     def step(state: int, c: int) -> tuple[int, int, float]:
-        kind, factor = c & 7, (0.3 if c & NEGATED else 1.0) * (0.5 if c & REPORTED else 1.0)
-        aimed = state & 1
-        if kind == END:
+        kind = c & 15
+        if kind in (END, BREAK):
             return 0, c, 0.0
         if kind == TARGET:
-            late = 0.0 if aimed else 0.25 * bool(state & 2) + 0.8 * bool(state & 4)
-            return 1, c, late
-        if kind == INSULT:
-            return state | (2 if factor == 1 else 0), c, factor * (1.0 + 0.25 * aimed)
-        if kind == THREAT:
-            return state | (4 if factor == 1 else 0), c, factor * (1.0 if aimed else 0.2)
-        return state, c, 0.0
+            return 1, c, 0.0
+        return state, c | AIMED if state and kind in (INSULT, THREAT) else c, 0.0
+
+    return Transducer(step)
+
+
+def weigher(kind: int, alone: float, aimed: float) -> Transducer:
+    """Weighs words of ``kind``. One that stands alone waits (state 1) for a target, which brings the rest."""
+
+    def step(state: int, c: int) -> tuple[int, int, float]:
+        if c & 15 in (END, BREAK):
+            return 0, c, 0.0
+        if c & 15 == TARGET:
+            return 0, c, (aimed - alone) * state
+        if c & 15 != kind:
+            return state, c, 0.0
+        factor = (0.3 if c & NEGATED else 1.0) * (0.5 if c & REPORTED else 1.0)
+        waits = factor == 1 and not c & AIMED
+        return 1 if waits else state, c, factor * (aimed if c & AIMED else alone)
 
     return Transducer(step)
 
 
+def insult() -> Transducer:
+    return weigher(INSULT, 1.0, 2.5)
+
+
+def threat() -> Transducer:
+    return weigher(THREAT, 0.2, 2.5)
+
+
+#: In the order in which they read each other.
+TRANSDUCERS = (negation, reported, target, insult, threat)
+
+
 def grammar() -> list[list[tuple[int, float]]]:
-    return negation().then(reported()).then(scorer()).compiled()
+    whole, *rest = (make() for make in TRANSDUCERS)
+    for other in rest:
+        whole = whole.then(other)
+    return whole.compiled()
 
 
 @dataclass
@@ -136,7 +164,9 @@ class ToxicityModel:
 
     def __post_init__(self) -> None:
         self.fixed = {w: (c, 1.0) for c, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, SEED_THREATS)) for w in ws}
-        self.fixed |= {c: (END, 0.0) for c in ENDS} | {c: (QUOTE, 0.0) for c in QUOTES}
+        self.fixed |= {c: (END, 0.0) for c in ENDS} | {c: (QUOTE, 0.0) for c in QUOTES} | {"\n": (BREAK, 0.0)}
+        #: Where a clause begins that stands between quotation marks.
+        self.quoted = self.rows[self.rows[0][QUOTE][0]][END][0]
         self.tags = Tags(self)
 
     def classed(self, token: str) -> tuple[int, float]:
@@ -151,15 +181,19 @@ class ToxicityModel:
         if len(self.tags) > 100_000:
             self.tags.clear()
         codes = bytes(map(self.tags.__getitem__, tokens))
-        found, done = [], 0
+        found, done, inside = [], 0, False
         while (m := HOT.search(codes, done)) is not None:
-            begin = codes.rfind(END, done, m.start()) + 1 or done
-            done = codes.find(END, m.start()) + 1 or len(codes)
-            state, score = 0, 0.0
+            begin = max(done, codes.rfind(END, done, m.start()) + 1, codes.rfind(BREAK, done, m.start()) + 1)
+            line = codes.rfind(BREAK, done, begin) + 1
+            inside = (inside and not line) ^ bool(codes.count(QUOTE, max(line, done), begin) & 1)
+            stop = STOP.search(codes, m.start())
+            done = stop.end() if stop else len(codes)
+            state, score = self.quoted if inside else 0, 0.0
             for i in range(begin, done):
                 state, w = self.rows[state][codes[i]]
                 if w:
                     score += w * (self.classed(tokens[i])[1] if codes[i] == INSULT else 1.0)
+            inside = (inside ^ bool(codes.count(QUOTE, begin, done) & 1)) and not (stop and stop[0][0] == BREAK)
             if score > 0:
                 found.append(score)
         return found
@@ -173,7 +207,7 @@ class ToxicityModel:
         return sigmoid(b + top * features[:, 0] + whole * features[:, 1])
 
 
-HOT = re.compile(bytes([91, INSULT, THREAT, 93]))
+HOT, STOP = re.compile(bytes([91, INSULT, THREAT, 93])), re.compile(bytes([91, END, BREAK, 93]))
 
 
 class Tags(dict):
@@ -210,15 +244,16 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, bou
 
     A word or stem enters when it stands in ``support`` differing toxic documents or more and
     at least ``precision`` of the documents with it (toxic ones corrected for their share) are
-    toxic. Copies of a document count once, by the smallest word hash. Without labels of both
-    kinds the seed words and fixed weights are used.
+    toxic. Copies of a document count once, by the smallest word hash. All such words and stems of
+    the sample are used. Threats, targets, negations and reporting verbs are the fixed lists.
+    Without labels of both kinds (an empty table of either, too) the seed words and fixed weights are used.
     """
     seeds = dict.fromkeys(SEED_INSULTS, 0.8)
     chosen = F.broadcast(sampled_labels(labels, "toxic", fold, folds, bound))
     sample = stored(docs.select("doc_id", "text").join(chosen, "doc_id").where(F.col("text").isNotNull()).select("text", "label"), "toxicity-sample")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
-        return ToxicityModel(seeds, {}, (-4.0, 6.0, 0.5))
+        return ToxicityModel(seeds, {}, (-4.9, 1.4, 4.3))
 
     def toxic_tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         token, group = [], []
@@ -231,7 +266,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, bou
         return pa.RecordBatch.from_arrays([pa.array(token, pa.string()), pa.array(group, pa.int64())], ["token", "cluster"])
 
     frequent = mapped(sample.where("label = 1"), ["text"], toxic_tokens, "token string, cluster long").groupBy("token").agg(F.countDistinct("cluster").alias("n")).where(F.col("n") >= support)
-    candidates = {r["token"]: r["n"] for r in frequent.orderBy(F.desc("n"), "token").limit(100_000).collect()}
+    candidates = {r["token"]: r["n"] for r in frequent.collect()}
     cast = docs.sparkSession.sparkContext.broadcast(frozenset(candidates))
 
     def clean_tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -294,8 +329,9 @@ def local_model(parts: tuple) -> ToxicityModel:
 def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Scores each whole text: columns ``keep``, score (0 to 1), clauses (matched ones), top (largest clause score).
 
-    Null and empty texts get the score of a text without matches. Repeated rows are each
-    answered; other columns are not read.
+    Null and empty texts get the score of a text without matches. Repeated rows are each answered;
+    an empty table gives no rows; very long texts are read whole, in time proportional to their
+    length; other columns are not read, so they may have any name.
     """
     cast = docs.sparkSession.sparkContext.broadcast((model.words, model.stems, model.weights))
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
@@ -327,6 +363,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents``, with a model learned outside the held-out fold; see ``score``."""
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "clauses", "top")

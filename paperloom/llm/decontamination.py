@@ -2,8 +2,8 @@
 
 A test item of L characters may differ from a passage by k edits. Cut into k + 1 pieces, at
 least one piece then stands unchanged in the passage. All pieces are found at once with an
-Aho-Corasick automaton; around each hit the item is verified with Myers' bit-parallel edit
-distance (the passage may begin and end anywhere).
+Aho-Corasick automaton; around a hit whose neighbouring piece can be there too, the item is
+verified with Myers' bit-parallel edit distance (the passage may begin and end anywhere).
 """
 
 from __future__ import annotations
@@ -66,24 +66,59 @@ class Item:
     budget: int
 
 
+#: Characters that a piece keeps at least; shorter items must be found exactly.
+LEAST = 5
+
+
 def budget(length: int, rate: float, least: int) -> int:
     """Edits allowed: ``rate`` of the length, but pieces keep ``least`` characters."""
     return max(0, min(int(length * rate), length // least - 1))
 
 
+@dataclass
+class Piece:
+    """A piece at ``begin`` of an item, and the halves of the piece that it makes a pair with, which
+    comes after it (``side`` 1), before it (-1), or isn't there (0)."""
+
+    item: int
+    begin: int
+    side: int
+    first: str
+    second: str
+
+    def pair_may_match(self, text: str, begin: int, end: int) -> bool:
+        """Whether the other piece of the pair can stand next to this one, at text[begin:end], with one
+        edit at most: a half of it stands there, the near one in its place, the far one within one of it."""
+        if self.side > 0:
+            far = end + len(self.first)
+            return text.startswith(self.first, end) or text.find(self.second, far - 1, far + len(self.second) + 1) >= 0
+        if self.side < 0:
+            near = begin - len(self.second)
+            return near >= 0 and text.startswith(self.second, near) or text.find(self.first, max(0, near - len(self.first) - 1), max(0, near + 1)) >= 0
+        return True
+
+
 class Matcher:
-    """The pieces of a block of items, as one automaton."""
+    """The pieces of a block of items, as one automaton.
+
+    k edits hit at most k of an item's k + 1 pieces. The pieces are taken in pairs: of these, and the
+    one that an odd number leaves, one has fewer edits than pieces. So a hit is followed up only if
+    the other piece of its pair can stand beside it with one edit at most.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], rate: float, least: int) -> None:
         import ahocorasick
 
         self.items = [Item(k, n, budget(len(n), rate, least)) for k, t in items if (n := normal(t))]
-        pieces: dict[str, list[tuple[int, int]]] = {}
+        pieces: dict[str, list[Piece]] = {}
         for i, item in enumerate(self.items):
             parts, n = item.budget + 1, len(item.text)
-            for p in range(parts):
-                a, b = p * n // parts, (p + 1) * n // parts
-                pieces.setdefault(item.text[a:b], []).append((i, a))
+            cut = [item.text[p * n // parts : (p + 1) * n // parts] for p in range(parts)]
+            for p, piece in enumerate(cut):
+                other = p ^ 1
+                side = 0 if other >= parts else other - p
+                near = cut[other] if side else ""
+                pieces.setdefault(piece, []).append(Piece(i, p * n // parts, side, near[: len(near) // 2], near[len(near) // 2 :]))
         self.automaton = ahocorasick.Automaton()
         for piece, where in pieces.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -99,23 +134,29 @@ class Matcher:
         best: dict[int, tuple[int, int, int]] = {}
         done: set[tuple[int, int]] = set()
         for last, (size, where) in self.automaton.iter(t):
-            for i, a in where:
+            for piece in where:
+                at = last + 1 - size
+                if not piece.pair_may_match(t, at, last + 1):
+                    continue
+                i = piece.item
                 item = self.items[i]
                 k, n = item.budget, len(item.text)
-                diagonal = last + 1 - size - a
-                cell = (i, diagonal // (k + 1))
+                cell = (i, (at - piece.begin) // (k + 1))
                 if cell in done or best.get(i, (n,))[0] == 0:
                     continue
                 done.add(cell)
                 # every diagonal of the cell, and k edits either way
                 low = max(0, cell[1] * (k + 1) - k)
-                found = t.find(item.text, low, low + n + 3 * k + 1)
-                if found >= 0 and whole(t, found, found + n):
+                stop = cell[1] * (k + 1) + n + 2 * k + 1
+                found = t.find(item.text, low, stop)
+                while found >= 0 and not k and not whole(t, found, found + n):
+                    found = t.find(item.text, found + 1, stop)
+                if found >= 0:
                     best[i] = (0, found, found + n)
                     continue
                 if not k:
                     continue
-                window = t[low : cell[1] * (k + 1) + n + 2 * k + 1]
+                window = t[low:stop]
                 distance, end = myers(item.text, window)
                 if distance <= k and distance < best.get(i, (k + 1,))[0]:
                     back = myers(item.text[::-1], window[:end][::-1])[1]
@@ -137,14 +178,15 @@ def blocks(items: DataFrame, size: int) -> list[list[tuple[object, str]]]:
         yield [(r["item_id"], r["text"]) for r in known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b).collect()]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int = 12, block_bytes: int = 1 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int = LEAST, block_bytes: int = 1 << 20) -> DataFrame:
     """Rows (doc_id, item_id, distance, begin, end): the best passage of each test item in each document.
 
     ``distance`` counts edits between the normal forms (lower case, letters and digits, single
     spaces); ``begin`` and ``end`` are byte positions there. Items without words, null items and
-    null texts match nothing; items shorter than two pieces match exactly, at word bounds.
-    An item allows the edits of ``budget``: with the defaults length // 12 - 1, less than the rate.
-    Repeated documents are each answered. The documents are read once per block of items.
+    null texts match nothing. An item allows ``rate`` of its characters as edits, items of fewer than
+    10 none, and these must begin and end at words. Repeated documents are each answered; an
+    empty table of either gives no rows; very long texts are read whole; other columns are not read.
+    The documents are read once per block of items.
     """
     cast = docs.sparkSession.sparkContext.broadcast
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
@@ -168,7 +210,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int = 12, block_bytes: int = 1 << 20) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int = LEAST, block_bytes: int = 1 << 20) -> DataFrame:
     """The documents in which no test item was found, with all their columns; see ``find_leaks``.
 
     Null and empty texts stay, and repeated rows each; without items all documents stay, and an

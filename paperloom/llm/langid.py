@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, mapped, table, utf8
+from .common import SLICE_BYTES, bucket_of, mapped, table, utf8
 
 #: Odd multipliers of the hash functions (fixed values).
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77)
@@ -40,18 +41,31 @@ def padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Folded bytes with a space before and after each text, and the n + 1 offsets."""
     data, offsets = utf8(texts)
     n = len(offsets) - 1
-    out = np.full(len(data) + 2 * n, 32, np.uint8)
-    owner = np.repeat(np.arange(n), np.diff(offsets))
     low = FOLD[data]
     # Latin-1 capitals in UTF-8: C3 80-9E, without the multiplication sign
     upper = (low >= 0x80) & (low <= 0x9E) & (low != 0x97)
     upper[1:] &= data[:-1] == 0xC3
     upper[:1] = False
     low = low + upper.astype(np.uint8) * np.uint8(32)
-    out[np.arange(len(data)) + 2 * owner + 1] = low
+    out = np.full(len(data) + 2 * n, 32, np.uint8)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        out[a + 2 * i + 1 : b + 2 * i + 1] = low[a:b]
     return out, offsets + 2 * np.arange(n + 1)
 
 
+def windows(data: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The grams of an order, at most ``SLICE_BYTES`` of them at once: their keys, which of them lie
+    within one text, and where among them each text begins and ends."""
+    for a in range(0, len(data), SLICE_BYTES):
+        b = min(a + SLICE_BYTES, len(data))
+        keys = order_keys(data[a : b + order - 1], order)[: b - a]
+        inside = np.ones(b - a, bool)
+        for k in range(1, order):  # no gram reaches into the next text
+            at = offsets[1:] - k - a
+            inside[at[(at >= 0) & (at < b - a)]] = False
+        yield keys, inside, np.clip(offsets[:-1] - a, 0, b - a), np.clip(offsets[1:] - a, 0, b - a)
+
+
 @dataclass
 class LanguageFilter:
     """Row p of ``planes[j]`` holds, as bits, the languages 64 j .. that contain a gram hashed to p."""
@@ -80,21 +94,18 @@ class LanguageFilter:
         """Per text: grams that each language's filter holds, and all its grams."""
         n = len(offsets) - 1
         hits, total = np.zeros((n, len(self.languages))), np.zeros(n)
-        starts = offsets[:-1]
+        of = lambda marks, begin, end: (c := np.r_[0, np.cumsum(marks, dtype=np.int64)])[end] - c[begin]
         for order in ORDERS:
-            keys = order_keys(data, order)
-            inside = np.ones(len(data), bool)
-            for k in range(1, order):  # no gram reaches into the next text
-                inside[offsets[1:] - k] = False
-            places = [self.place(keys, m, self.log_rows) for m in MULTIPLIERS]
-            total += np.add.reduceat(inside, starts, dtype=np.int64)
-            for j, plane in enumerate(self.planes):
-                mask = plane[places[0]]
-                for p in places[1:]:
-                    mask &= plane[p]
-                mask[~inside] = 0
-                for i in range(64 * j, min(len(self.languages), 64 * j + 64)):
-                    hits[:, i] += np.add.reduceat((mask >> mask.dtype.type(i % 64)) & mask.dtype.type(1), starts, dtype=np.int64)
+            for keys, inside, begin, end in windows(data, offsets, order):
+                places = [self.place(keys, m, self.log_rows) for m in MULTIPLIERS]
+                total += of(inside, begin, end)
+                for j, plane in enumerate(self.planes):
+                    mask = plane[places[0]]
+                    for p in places[1:]:
+                        mask &= plane[p]
+                    mask[~inside] = 0
+                    for i in range(64 * j, min(len(self.languages), 64 * j + 64)):
+                        hits[:, i] += of((mask >> mask.dtype.type(i % 64)) & mask.dtype.type(1), begin, end)
         return hits, total
 
     def decide(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -116,16 +127,17 @@ def order_keys(data: np.ndarray, order: int) -> np.ndarray:
     return grams(data, order) ^ np.uint32(order << 29)
 
 
-def learn(docs: DataFrame, per_language: int = 1500, top: int = 5000, log_rows: int = 20) -> LanguageFilter:
+def learn(docs: DataFrame, per_language: int = 1500, spare: int = 16) -> LanguageFilter:
     """Builds the filter from labelled documents (columns text, lang).
 
     A bounded sample is read, about ``per_language`` documents of each language, chosen by a
-    hash of the text; of each language the ``top`` n-grams in most documents enter its filter.
+    hash of the text. All n-grams of the sample enter their language's filter, whose rows are at
+    least ``spare`` times the n-grams of the language with most. An empty table gives no languages.
     """
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     if not sizes:
-        return LanguageFilter.build({}, log_rows)
+        return LanguageFilter.build({}, 10)
     order = sorted(sizes, key=lambda x: (-sizes[x], x))
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(per_language / sizes[x])) for x in order])
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
@@ -148,19 +160,18 @@ def learn(docs: DataFrame, per_language: int = 1500, top: int = 5000, log_rows:
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     counted = mapped(sample, ["lang", "text"], count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counted.where("n >= 2").withColumn("r", F.row_number().over(first)).where(F.col("r") <= top).select("lang", "gram").toPandas()
-    if kept.empty:
-        kept = counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= top).select("lang", "gram").toPandas()
+    kept = counted.select("lang", "gram").toPandas()
     found = {x: g.gram.to_numpy().astype(np.uint32) for x, g in kept.groupby("lang")}
-    return LanguageFilter.build({x: found.get(x, np.zeros(0, np.uint32)) for x in order}, log_rows)
+    most = max((len(g) for g in found.values()), default=1)
+    return LanguageFilter.build({x: found.get(x, np.zeros(0, np.uint32)) for x in order}, max(10, min(32, (spare * most - 1).bit_length())))
 
 
 def identify(docs: DataFrame, model: LanguageFilter, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Predicts the language of each whole text: columns ``keep``, lang_pred, score.
 
     Null texts and texts without a letter get ``und`` and 0. Repeated rows are each answered;
-    an empty table gives no rows; only the named columns are read, so others may have any name.
+    an empty table gives no rows; very long texts are counted in windows, whole; only the named
+    columns are read, so others may have any name.
     Ties go to the language with more training documents.
     """
     cast = docs.sparkSession.sparkContext.broadcast(model)
@@ -174,6 +185,7 @@ def identify(docs: DataFrame, model: LanguageFilter, keep: tuple[str, ...] = ("d
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents``, with filters learned outside the held-out fold; see ``identify``."""
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.where(bucket_of("doc_id", 4) != 2))
     return identify(docs, model).select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")

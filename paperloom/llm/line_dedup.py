@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 RATIO, LEAST_PAGES = 0.08, 3
 #: Frequent lines in all that are sent to every task; beyond, the join shuffles.
@@ -19,7 +19,8 @@ def lines_of(text: str) -> Column:
 def frequent_lines(pages: DataFrame, host: str, text: str, ratio: float, least: int) -> DataFrame:
     """(host, line): hashes of the lines on more than ``ratio`` of the host's pages, and on ``least`` or more.
 
-    A page counts a line once. Blank lines, and pages without a host or text, don't count.
+    A page counts a line once. Blank lines, and pages without a host, don't count; pages without text
+    count as pages of their host.
     """
     known = pages.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("text"))
     totals = known.groupBy("host").agg(F.count("*").alias("pages"))
@@ -28,20 +29,30 @@ def frequent_lines(pages: DataFrame, host: str, text: str, ratio: float, least:
     return counted.join(totals, "host").where(F.col("n") > ratio * F.col("pages")).select("host", "line")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name that no column has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES, dropped: str | None = None) -> DataFrame:
     """The pages with boilerplate lines cut from their text, other columns unchanged.
 
     ``dropped`` names a new column with the number of lines cut. Pages without a host and null
     texts stay as they are; a page all of whose lines are boilerplate keeps an empty text. Lines
     are told apart by a 64-bit hash. A host has at most 1 / ``ratio`` times its lines per page
-    of frequent lines, so the list for each host is bounded.
+    of frequent lines, so the list for each host is bounded. Repeated rows are pages of their own;
+    an empty table gives no rows; extra columns are kept, whatever their names.
     """
-    frequent = frequent_lines(pages, host, text, ratio, least)
+    # written once: it is counted, and joined
+    frequent = stored(frequent_lines(pages, host, text, ratio, least), "frequent-lines")
     few = frequent.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    by_host = frequent.groupBy("host").agg(F.collect_set("line").alias("lines")).select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
-    joined = pages.join(F.broadcast(by_host) if few else by_host, F.col(host) == F.col("__host"), "left")
-    kept = F.filter(lines_of(text), lambda x: (F.trim(x) == "") | ~F.array_contains("__lines", F.xxhash64(x)))
-    known = F.col(text).isNotNull() & F.col("__lines").isNotNull()
+    own, cut = (unused(name, pages.columns) for name in ("__host", "__lines"))
+    by_host = frequent.groupBy("host").agg(F.collect_set("line").alias("lines")).select(F.col("host").alias(own), F.col("lines").alias(cut))
+    joined = pages.join(F.broadcast(by_host) if few else by_host, F.col(f"`{host}`") == F.col(own), "left")
+    kept = F.filter(lines_of(text), lambda x: (F.trim(x) == "") | ~F.array_contains(cut, F.xxhash64(x)))
+    known = F.col(text).isNotNull() & F.col(cut).isNotNull()
     columns = [F.when(known, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns]
     if dropped:
         columns.append(F.when(known, F.size(lines_of(text)) - F.size(kept)).otherwise(0).cast("long").alias(dropped))

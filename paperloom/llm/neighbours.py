@@ -9,6 +9,8 @@ with the graph. Distances of the result are exact.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +22,14 @@ from .common import dropped, stored, table
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """Rows (id, vec) whose vector is whole, finite, not zero, and as long as most of these are."""
+    """Rows (id, vec) whose vector is whole, finite and not zero. Of differing lengths the shorter
+    ones are filled up with zeros."""
     v = F.col(column).cast("array<double>")
     good = vectors.select(F.col(key).alias("id"), v.alias("vec")).where(
         F.col("id").isNotNull() & F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     )
-    size = good.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.where(F.size("vec") == (size["n"] if size else 0))
+    size = good.agg(F.max(F.size("vec"))).first()[0] or 0
+    return good.select("id", F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("vec"))).alias("vec"))
 
 
 def node_table(good: DataFrame, spare: int) -> DataFrame:
@@ -122,12 +125,13 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield joins(*last)
 
 
-def build_graph(nodes: DataFrame, k: int = 24, rounds: int = 7, projections: int = 8, reach: int = 4, seed: int = 5) -> DataFrame:
-    """The neighbour graph: node, nbr, d; ``k`` neighbours a node (all others, if fewer)."""
+def build_graph(nodes: DataFrame, k: int = 24, still: float = 0.02, projections: int = 8, reach: int = 4, seed: int = 5) -> DataFrame:
+    """The neighbour graph: node, nbr, d; ``k`` neighbours a node (all others, if fewer). The rounds
+    end when one brings less than ``still`` of all neighbours anew."""
     graph = stored(nearest(projected_edges(nodes, projections, reach, seed), k).withColumn("born", F.lit(0)), "graph")
     short = nodes.select(F.col("node").alias("v"), F.col("vec").cast("array<float>").alias("vec"))
     own = nodes.select(F.col("node").alias("w"), F.col("node").alias("v"), F.lit(0).alias("born"))
-    for turn in range(rounds):
+    for turn in itertools.count():
         back = nearest(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "d", "born"), k // 2)
         both = graph.unionByName(back).select(F.col("node").alias("w"), F.col("nbr").alias("v"), "born").unionByName(own)
         both = both.groupBy("w", "v").agg(F.max(F.col("born") == turn).alias("fresh"))
@@ -139,7 +143,9 @@ def build_graph(nodes: DataFrame, k: int = 24, rounds: int = 7, projections: int
         new = stored(nearest(graph.unionByName(found).groupBy("node", "nbr").agg(F.min("d").alias("d"), F.min("born").alias("born")), k), "graph")
         dropped(graph)
         graph = new
-    return graph
+        fresh, all_ = graph.agg(F.count_if(F.col("born") == turn + 1), F.count("*")).first()
+        if fresh <= still * all_:
+            return graph
 
 
 def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,50 +156,59 @@ def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("node"), pa.array(d)], ["qid", "node", "d"])
 
 
-def search(queries: DataFrame, starts: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 400, width: int = 100, hops: int = 6) -> DataFrame:
-    """Greedy search: of each query (qid, qvec) the ``beam`` nearest nodes that were met.
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int) -> DataFrame:
+    """Greedy search from each query (qid, qvec), which is a node itself: all nodes met, as qid, node, d.
 
-    ``starts`` (qid, node) says where each query begins. A hop expands the ``width`` nearest
-    nodes not yet expanded; it ends when no query has any, or after ``hops``. Columns: qid, node, d.
+    A hop expands the nearest unexpanded nodes among the ``beam`` nearest met, a quarter of the beam at
+    once; the search ends when none of any query is left. What was met is kept, so that no distance is
+    measured twice. A node's neighbours, both ways, come in rows of 64 at most, however many it has.
     """
     edges = graph.select("node", "nbr").unionByName(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct()
-    edges = stored(edges, "graph-edges")
+    edges = stored(edges.groupBy("node", F.pmod(F.xxhash64("nbr"), F.lit(16)).alias("part")).agg(F.collect_list("nbr").alias("nbrs")).select("node", "nbrs"), "graph-edges")
+    vectors = nodes.select("node", "vec")
     first = Window.partitionBy("qid").orderBy("d", "node")
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        return pairs.join(queries, "qid").join(nodes.select("node", "vec"), "node").select("qid", "node", "qvec", "vec").mapInArrow(apart, "qid long, node long, d double")
-
-    held = stored(measured(starts).withColumn("expanded", F.lit(False)), "beam")
-    for _ in range(hops):
-        open_ = held.where("not expanded").withColumn("r", F.row_number().over(first)).where(F.col("r") <= width).select("qid", "node")
-        reached = open_.join(edges, "node").select("qid", F.col("nbr").alias("node")).distinct().join(held, ["qid", "node"], "left_anti")
-        grown = held.join(open_.withColumn("now", F.lit(True)), ["qid", "node"], "left").withColumn("expanded", F.col("expanded") | F.coalesce("now", F.lit(False))).drop("now")
-        grown = grown.unionByName(measured(reached).withColumn("expanded", F.lit(False)))
-        new = stored(grown.withColumn("r", F.row_number().over(first)).where(F.col("r") <= beam).drop("r"), "beam")
-        dropped(held)
-        held = new
-        if held.where("not expanded").isEmpty():
-            break
-    return held.drop("expanded")
+    met = stored(queries.select("qid", F.col("qid").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("expanded")), "met")
+    while True:
+        # the nearest that are in the beam and not expanded yet
+        placed = met.withColumn("r", F.row_number().over(first))
+        opened = stored(placed.where((F.col("r") <= beam) & ~F.col("expanded")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= max(16, beam // 4)).select("qid", "node"), "opened")
+        if opened.isEmpty():
+            return met.select("qid", "node", "d")
+        reached = opened.join(edges, "node").select("qid", F.explode("nbrs").alias("node")).distinct().join(met.select("qid", "node"), ["qid", "node"], "left_anti")
+        fresh = reached.join(queries, "qid").join(vectors, "node").select("qid", "node", "qvec", "vec").mapInArrow(apart, "qid long, node long, d double")
+        marked = met.join(opened.withColumn("now", F.lit(True)), ["qid", "node"], "left").select("qid", "node", "d", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded"))
+        new = stored(marked.unionByName(fresh.withColumn("expanded", F.lit(False))), "met")
+        dropped(met)
+        dropped(opened)
+        met = new
+
+
+def beam_for(rows: int) -> int:
+    """How many of the nearest nodes a search goes on from: more in larger tables."""
+    return max(64, math.ceil(1.8 * math.sqrt(rows)))
 
 
 def self_search(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
     """Queries are the rows whose id is divisible by ``every``; candidates all rows but the query's own.
 
     Result: query_id, rank, vec_id, score (Euclidean distance of the original vectors, in double
-    precision), the ``k`` nearest found, ties to the smaller id. Unusable vectors take no part;
-    of repeated ids each row counts. An empty table gives no rows.
+    precision), the ``k`` nearest found, ties to the smaller id. Null vectors, zero ones and those
+    with null or non-finite components take no part; shorter vectors count as filled up with zeros.
+    Of repeated ids each differing vector is a query and a candidate, but no row is its own id's
+    candidate. An empty table gives no rows; other columns are not read.
     """
     good = usable(vectors, key, column)
     nodes = stored(node_table(good, k + 1), "nodes")
     graph = build_graph(nodes)
-    asked = good.where(F.col("id") % every == 0).join(nodes.select("vec", "node"), "vec")
-    queries = stored(asked.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.col("node").alias("start")).dropDuplicates(["qid"]), "queries")
-    found = search(queries.select("qid", "qvec"), queries.select("qid", F.col("start").alias("node")), graph, nodes)
-    each = found.join(nodes.select("node", "ids"), "node").select("qid", F.explode("ids").alias("vec_id"), "d").where("vec_id <> qid")
-    best = Window.partitionBy("qid").orderBy("d", "vec_id")
-    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(F.col("qid").alias("query_id"), "rank", "vec_id", F.col("d").alias("score"))
+    asked = stored(good.where(F.col("id") % every == 0).distinct().join(nodes.select("vec", "node"), "vec").select(F.col("id").alias("query_id"), F.col("node").alias("qid"), F.col("vec").alias("qvec")), "asked")
+    found = search(asked.select("qid", "qvec").dropDuplicates(["qid"]), graph, nodes, beam_for(nodes.count()))
+    # a node has one id at least, so that k + 1 nodes hold k other ids; ties at the end are kept
+    last = found.withColumn("r", F.rank().over(Window.partitionBy("qid").orderBy("d"))).where(F.col("r") <= k + 1)
+    each = asked.select("query_id", "qid").join(last, "qid").join(nodes.select("node", "ids"), "node").select("query_id", "qid", F.explode("ids").alias("vec_id"), "d").where("vec_id <> query_id")
+    best = Window.partitionBy("query_id", "qid").orderBy("d", "vec_id")
+    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("d").alias("score"))
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every hundredth vector of ``embeddings``; see ``self_search``."""
     return self_search(table(spark, sf_dir, "embeddings"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, mapped, sampled_labels, sigmoid, table, utf8
+from .common import SLICE_BYTES, bucket_of, mapped, sampled_labels, sigmoid, table, utf8
 
 PASSAGE = 512
 PAIRS = 128
@@ -53,6 +53,28 @@ def passages(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of every passage (square roots of shares), and the document of each. About ``SLICE_BYTES``
+    are encoded at once: longer texts are cut between words, and their pieces into passages."""
+    if len(data) <= SLICE_BYTES:
+        return encode_piece(data, offsets)
+    cuts = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        while b - a > SLICE_BYTES:
+            near = data[a + SLICE_BYTES // 2 : a + SLICE_BYTES]
+            gap = np.flatnonzero((near == 32) | ((near >= 9) & (near <= 13)))
+            a += SLICE_BYTES // 2 + int(gap[-1]) if len(gap) else SLICE_BYTES
+            cuts.append(a)
+    edges = np.unique(np.r_[offsets, cuts].astype(np.int64))
+    found, i = [], 0
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + SLICE_BYTES, side="right")) - 1)
+        x, owner = encode_piece(data[edges[i] : edges[j]], edges[i : j + 1] - edges[i])
+        found.append((x, np.searchsorted(offsets, edges[i + owner], side="right") - 1))
+        i = j
+    return np.concatenate([x for x, _ in found]), np.concatenate([o for _, o in found])
+
+
+def encode_piece(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features of every passage (square roots of shares), and the document of each."""
     begin, owner = passages(offsets)
     count = len(begin)
@@ -194,7 +216,8 @@ def score(docs: DataFrame, model: BagModel | None, keep: tuple[str, ...] = ("doc
     """Scores each whole text: columns ``keep``, score (0 to 1), passages.
 
     Null and empty texts get the share of good labels, 0.5 without a model. Repeated rows are
-    each answered; other columns are not read.
+    each answered; an empty table gives no rows; very long texts are encoded in pieces, whole; other
+    columns are not read, so they may have any name.
     """
     cast = docs.sparkSession.sparkContext.broadcast(model)
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
@@ -208,6 +231,7 @@ def score(docs: DataFrame, model: BagModel | None, keep: tuple[str, ...] = ("doc
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents``, with a model learned outside the held-out fold; see ``score``."""
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")

@@ -164,6 +164,14 @@ def _(s, d):
     return papers(s, d).select("id", text.file_size_text(size).alias("shown"))
 
 
+FILE_KB, FILE_MB = TENTHS.format(n="(file_size * 10 + 512) // 1024"), TENTHS.format(n="(file_size * 10 + 524288) // 1048576")
+
+
+@query("display_size_all", PAPERS + f"SELECT id, CASE WHEN file_size IS NULL OR file_size = 0 THEN '-' WHEN file_size < 1024 THEN CAST(file_size AS VARCHAR) || ' B' WHEN file_size < 1048576 THEN {FILE_KB} || ' KB' ELSE {FILE_MB} || ' MB' END AS shown FROM p")
+def _(s, d):
+    return papers(s, d).select("id", text.file_size_text(F.col("file_size")).alias("shown"))
+
+
 @query("author_abbrev", "SELECT doc_id, CASE WHEN len(a) > 3 THEN array_to_string(a[1:3], ', ') || ' 等' ELSE array_to_string(a, ', ') END AS authors FROM (SELECT doc_id, string_split(text, ' ') AS a FROM documents)")
 def _(s, d):
     return read(s, d, "documents").select("doc_id", text.author_list_text(F.split("text", " ")).alias("authors"))
@@ -432,9 +440,3 @@ def _(s, d):
         F.col("o_orderstatus").alias("ranking_journal"), F.when(k % 2 == 0, (k % 4 + 1).cast("long")).alias("ranking_zone"), (k % 5 == 0).alias("ranking_is_top"), F.lit(None).cast("boolean").alias("ranking_is_oa"),
     )
     return metadata.enriched(refs, patches).select("file_id", "ref_index", "journal", "doi", F.col("ranking.journal").alias("ranking_journal"), "ranking.zone", "ranking.is_top")
-
-
-@query("math_parts")
-def _(s, d):
-    t = F.concat("text", F.lit(" $$y^2$$ with $x_"), F.col("turn").cast("string"), F.lit("$ and $5"))
-    return read(s, d, "conversations").select("conv_id", "turn", F.posexplode(text.math_parts(t)).alias("part_ord", "part")).select("conv_id", "turn", "part_ord", "part.kind", "part.content")

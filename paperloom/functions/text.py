@@ -62,7 +62,16 @@ def significant_tokens(c: Column) -> Column:
 
 def word_overlap(a: Column, b: Column) -> Column:
     """Shared words over the larger set, of distinct words longer than 2 characters; 0 if none."""
-    x, y = (F.array_distinct(F.filter(F.split(F.lower(c), SPACE + "+"), lambda w: F.length(w) > 2)) for c in (a, b))
+    return overlap_of(long_words(a), long_words(b))
+
+
+def long_words(c: Column) -> Column:
+    """Distinct words longer than 2 characters, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(c), SPACE + "+"), lambda w: F.length(w) > 2))
+
+
+def overlap_of(x: Column, y: Column) -> Column:
+    """Shared items over the larger of two sets; 0 if both are empty."""
     most = F.greatest(F.size(x), F.size(y))
     return F.when(most == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / most)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,16 +154,33 @@ def joined(lines: list[str]) -> str:
     return out.replace("\x02", "")
 
 
-def merge_paragraphs(segments: DataFrame) -> DataFrame:
-    """Paragraphs of every page without layout boxes. One page is one group, so groups are small."""
+PAGE_SEGMENT = ["seg_ord", "text", "xmin", "ymin", "xmax", "ymax"]
 
-    def page(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seg_ord")
-        text, box = paragraphs(part.text.tolist(), part[["xmin", "ymin", "xmax", "ymax"]].to_numpy(np.float64))
-        out = pd.DataFrame(box, columns=["xmin", "ymin", "xmax", "ymax"])
-        return out.assign(file_id=part.file_id.iloc[0], page_index=part.page_index.iloc[0], par_ord=range(len(out)), text=text)[["file_id", "page_index", "par_ord", "text", "xmin", "ymin", "xmax", "ymax"]]
 
-    return segments.groupBy(*PAGE).applyInPandas(page, "file_id long, page_index long, par_ord long, text string, xmin double, ymin double, xmax double, ymax double")
+def merge_paragraphs(segments: DataFrame) -> DataFrame:
+    """Paragraphs of every page without layout boxes. A page's segments are one row, in order, and a
+    batch holds many pages."""
+    pages = segments.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*PAGE_SEGMENT))).alias("parts"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column("parts")
+            ends = np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))
+            flat = parts.flatten()
+            texts = flat.field("text").to_pylist()
+            box = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in PAGE_SEGMENT[2:]], axis=1)
+            rows, text, bounds, order = [], [], [], []
+            for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                found, edges = paragraphs(texts[a:b], box[a:b])
+                rows += [i] * len(found)
+                order += range(len(found))
+                text += found
+                bounds.append(edges)
+            edges = np.concatenate([np.zeros((0, 4)), *bounds])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("file_id").take(at), batch.column("page_index").take(at), pa.array(order, pa.int64()), pa.array(text, pa.string()), *(pa.array(edges[:, c].copy()) for c in range(4))], ["file_id", "page_index", "par_ord", "text", *PAGE_SEGMENT[2:]])
+
+    return pages.mapInArrow(walk, "file_id long, page_index long, par_ord long, text string, xmin double, ymin double, xmax double, ymax double")
 
 
 def merge_with_boxes(segments: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, strip_markup, trimmed
+from ..functions.text import SPACE, long_words, strip_markup, trimmed
 from .records import date_parts, filled_in
 
 #: The parts of a catalogue's message that are read.
@@ -47,19 +47,14 @@ def preprint_record(feed: Column) -> Column:
     return F.when(entry.isNotNull(), fields)
 
 
-def words(c: Column) -> Column:
-    """Distinct words longer than 2 characters, in lower case."""
-    return F.array_distinct(F.filter(F.split(F.lower(c), SPACE + "+"), lambda w: F.length(w) > 2))
-
-
 def by_title(titles: DataFrame, catalogue: DataFrame, least: float = 0.7) -> DataFrame:
     """Of each title (id, title) of 5 characters or more the catalogue's record (record, title) that shares
     most words, ``least`` of the larger set or more; ties to the lesser record.
 
     With words in order of rarity in the catalogue, such pairs share one of the first
     ``n - ceil(least n) + 1`` of each, and meet there."""
-    a = titles.where(F.length(trimmed(F.col("title"))) >= 5).select("id", words(trimmed(F.col("title"))).alias("t"))
-    b = catalogue.select("record", words(F.col("title")).alias("u"))
+    a = titles.where(F.length(trimmed(F.col("title"))) >= 5).select("id", long_words(trimmed(F.col("title"))).alias("t"))
+    b = catalogue.select("record", long_words(F.col("title")).alias("u"))
     often = b.select(F.explode("u").alias("w")).groupBy("w").agg(F.count("*").alias("often"))
 
     def first(rows: DataFrame, key: str, column: str) -> DataFrame:

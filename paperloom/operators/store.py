@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +34,33 @@ def patch(rows: DataFrame, updates: DataFrame, key: str, allowed: list[str]) ->
 
 
 def numbered_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Names that recur get _1, _2, ... before their extension."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    """Names in the order of arrival; one that is taken gets the least free _1, _2, ... before its extension.
+
+    Only names of one family, alike but for such endings, can take each other's; a family is one group,
+    walked in order."""
     ext = F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    return rows.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), ext)))
+    family = F.concat(F.regexp_replace(F.regexp_replace(F.col(name), r"\.[^.]*$", ""), r"(_\d+)+$", ""), ext)
+    alone = F.count("*").over(Window.partitionBy("__family")) == 1
+    marked = rows.withColumn("__family", family).withColumn("__alone", alone)
+
+    def walk(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        taken: set[str] = set()
+        after: dict[str, int] = {}
+        part = part.sort_values(order)
+        out = []
+        for x in part[name]:
+            stem, dot, end = x.rpartition(".") if "." in x else (x, "", "")
+            got, k = x, after.get(x, 1)
+            while got in taken:
+                got, k = f"{stem}_{k}{dot}{end}", k + 1
+            after[x] = k
+            taken.add(got)
+            out.append(got)
+        return part.assign(unique_name=out).drop(columns=["__family", "__alone"])
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", unique_name string"
+    single = marked.where("__alone").drop("__family", "__alone").withColumn("unique_name", F.col(name))
+    return single.unionByName(marked.where("not __alone").groupBy("__family").applyInPandas(walk, columns))
 
 
 def within_quota(stored: DataFrame, owner: str, key: str, value: str, quota: int) -> DataFrame:

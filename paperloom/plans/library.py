@@ -292,8 +292,9 @@ def _(s, d):
 @query("title_overlap_join", """WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: length(x) > 2)) AS t FROM documents)
 SELECT a.doc_id, CASE WHEN greatest(len(a.t), len(b.t)) = 0 THEN 0.0 ELSE len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) END AS overlap FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""")
 def _(s, d):
-    w = read(s, d, "documents").select("doc_id", F.col("text").alias("a"))
-    return w.join(w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id").select("doc_id", text.word_overlap(F.col("a"), F.col("b")).alias("overlap"))
+    # the words once a row, before the join, which then carries them and no texts
+    w = read(s, d, "documents").select("doc_id", text.long_words(F.col("text")).alias("a"))
+    return w.join(w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id").select("doc_id", text.overlap_of(F.col("a"), F.col("b")).alias("overlap"))
 
 
 WORDS = """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]'), lambda x: x <> '') AS t FROM documents),

@@ -129,3 +129,22 @@ def test_math_parts(spark):
     }
     got = {r[0]: [tuple(x) for x in r[1]] for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", math_parts(F.col("t"))).collect()}
     assert got == cases
+
+
+def test_numbered_names_avoid_taken_ones(spark):
+    names = ["a.pdf", "a.pdf", "a_1.pdf", "b.pdf", "a.pdf", "a_1.pdf", "c", "c"]
+    rows = store.numbered_names(spark.createDataFrame(list(enumerate(names)), "i int, name string"), "name", "i").orderBy("i").collect()
+    assert [r.unique_name for r in rows] == ["a.pdf", "a_1.pdf", "a_1_1.pdf", "b.pdf", "a_2.pdf", "a_1_2.pdf", "c", "c_1"]
+
+
+def test_quota_counts_the_other_values(spark):
+    kv = spark.createDataFrame([("p", "a", "x" * 6), ("p", "b", "yy")], "plugin string, key string, value string")
+    new = spark.createDataFrame([("p", "a", "é" * 4), ("p", "c", "zz"), ("p", "d", "zzz"), ("q", "a", "1" * 10)], "plugin string, key string, value string")
+    got = {(r.plugin, r.key): (r.used, r.accepted) for r in store.quota_checked(kv, new, "plugin", "key", "value", 10).collect()}
+    assert got == {("p", "a"): (2, True), ("p", "c"): (8, True), ("p", "d"): (8, False), ("q", "a"): (0, True)}
+
+
+def test_rtf_and_html(spark):
+    row = spark.range(1).select(text.to_rtf(F.lit("a *b* {c}\\")), text.to_html(F.lit('a *b* "<&'))).first()
+    assert row[0] == r"{\rtf1\ansi\deff0 {\fonttbl {\f0 Times New Roman;}}\f0\fs24 a {\i b} \{c\}\\}"
+    assert row[1] == "a <i>b</i> &quot;&lt;&amp;"

@@ -33,10 +33,10 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def node_table(good: DataFrame, spare: int) -> DataFrame:
-    """One row per differing vector: node (its least id), ids (its ``spare`` least ids), vec."""
+    """One row per differing vector: node (a number, to be written down), ids (its ``spare`` least ids), vec."""
     first = Window.partitionBy("vec").orderBy("id")
     few = good.withColumn("r", F.row_number().over(first)).where(F.col("r") <= spare)
-    return few.groupBy("vec").agg(F.min("id").alias("node"), F.sort_array(F.collect_list("id")).alias("ids"))
+    return few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.monotonically_increasing_id().alias("node"), "ids", "vec")
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -282,7 +282,8 @@ def chosen_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
     few = docs.where("text is not null").select(*text_keys("h1", "h2"), "text").mapInArrow(tidy(run), "h1 long, h2 long, text string")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return few.join(chosen, ["h1", "h2"], "left_semi").repartition(tasks, "h1", "h2").dropDuplicates(["h1", "h2"])
+    # dealt once: the join and the removal of copies find the rows where they need them
+    return few.repartition(tasks, "h1", "h2").join(chosen, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
 
 
 #: Numbers of the rows of a block that are no ranges: its sets' names and sizes, and its own shared tokens.
@@ -577,19 +578,21 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return probes.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(tidy(walked), "a binary, b binary")
 
 
-def set_links(docs: DataFrame, survey: DataFrame, size: int) -> DataFrame:
-    """Of the sets that link with any other: node (a set's name) and component (the least name linked)."""
-    spark = docs.sparkSession
-    log_ranges = log_ranges_of(size)
+def able_texts(survey: DataFrame, own: DataFrame) -> DataFrame:
+    """One text (h1, h2) of each set that may link with another, as far as the survey tells."""
     inside = survey.where("range is null and places is not null").select("block", "places")
     again = survey.where("range is not null").select("block", "range", "marks", "places").groupBy("range").applyInArrow(met_again, "block long, places binary")
     shared = inside.unionByName(again).groupBy("block").applyInArrow(shared_tokens, "block long, place int, shared int")
-    own = survey.where("sig is not null").select("block", "place", "n", "low", "sig", "h1", "h2").join(shared, ["block", "place"], "left")
+    known = own.where("sig is not null").join(shared, ["block", "place"], "left")
     allowed = F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN}")
-    able = own.where(F.col("low") - F.coalesce("shared", F.lit(0)) <= allowed)
-    chosen = stored(able.groupBy("sig").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.h1", "h.h2"), "ngram-chosen")
-    released(spark)
+    able = known.where(F.col("low") - F.coalesce("shared", F.lit(0)) <= allowed)
+    return able.groupBy("sig").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.h1", "h.h2")
+
 
+def set_links(docs: DataFrame, chosen: DataFrame, log_ranges: int) -> DataFrame:
+    """Of the sets of the chosen texts (h1, h2) that link with any other: node (a set's name) and
+    component (the least name linked)."""
+    spark = docs.sparkSession
     sent = stored(token_rows(chosen_texts(docs, chosen), log_ranges), "ngram-tokens")
     kinds = "block long, range long, tokens binary, places binary, counts binary"
     answers = sent.where("range >= 0").groupBy("range").applyInArrow(counted, kinds)
@@ -599,6 +602,7 @@ def set_links(docs: DataFrame, survey: DataFrame, size: int) -> DataFrame:
     released(spark)
 
     rows = dealt(prefix_rows(sets))
+    released(spark)
     named, links, labels = rows.withColumn("component", F.col("sig")), None, None
     while True:
         pairs = stored(starred(named), "ngram-pairs")
@@ -609,9 +613,11 @@ def set_links(docs: DataFrame, survey: DataFrame, size: int) -> DataFrame:
             labels = stored(components(links, "a", "b"), "ngram-components")
             named = rows.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         dropped(pairs)
+        released(spark)
         if not fresh:
             break
     pairs = stored(crossed(named), "ngram-pairs")
+    released(spark)
     last = stored(linked(pairs, sets), "ngram-links")
     out = labels
     if not last.isEmpty():
@@ -625,10 +631,14 @@ def set_links(docs: DataFrame, survey: DataFrame, size: int) -> DataFrame:
 def named_components(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, h1, h2, n, sig, component): a document's set, and the least name it links to."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    survey = stored(surveyed(docs, log_ranges_of(size)), "ngram-survey")
-    labels = set_links(docs, survey, size)
-    own = survey.where("n is not null").select("doc_id", "h1", "h2", "n", "sig")
-    return own.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    log_ranges = log_ranges_of(size)
+    survey = stored(surveyed(docs, log_ranges), "ngram-survey")
+    own = stored(survey.where("n is not null").select("doc_id", "h1", "h2", "n", "sig", "block", "place", "low"), "ngram-documents")
+    chosen = stored(able_texts(survey, own), "ngram-chosen")
+    dropped(survey)
+    released(docs.sparkSession)
+    labels = set_links(docs, chosen, log_ranges)
+    return own.select("doc_id", "h1", "h2", "n", "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
 
 
 def join_components(docs: DataFrame) -> DataFrame:

@@ -201,7 +201,7 @@ def test_long_texts_cut_into_words_alike(monkeypatch):
 
 def test_repeated_ids_of_vectors(spark):
     r = np.random.default_rng(39)
-    rows = [(i, r.normal(size=4).tolist()) for i in range(1, 30)] + [(100, [1.0, 0, 0, 0]), (100, [0.0, 1, 0, 0]), (100, [0.0, 1, 0, 0]), (200, [1.0, 1.0])]
+    rows = [(i, r.normal(size=4).tolist()) for i in range(1, 30)] + [(100, [1.0, 0.0, 0.0, 0.0]), (100, [0.0, 1.0, 0.0, 0.0]), (100, [0.0, 1.0, 0.0, 0.0]), (200, [1.0, 1.0])]
     got = neighbours.self_search(spark.createDataFrame([(*x, "x") for x in rows], "vec_id long, embedding array<double>, node string")).toPandas()
     assert got.groupby("query_id").size().to_dict() == {100: 20, 200: 10}
     full = [(i, v + [0.0] * (4 - len(v))) for i, v in rows]
@@ -245,7 +245,7 @@ def test_very_long_texts(spark, long_docs):
 def test_pipeline_on_odd_rows(spark, tmp_path):
     r = random.Random(40)
     text = words(r, 60)
-    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, text, "en", "s", 1), (3, text, "en", "s", 1), (4, text, "en", "s", 1), (None, words(r, 50), "en", "s", 2), (6, words(r, 300), "en", "s", 3), (7, "you are an idiot. you loser. you moron, scum.", "en", "s", 4)]
+    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, text, "en", "s", 1), (3, text, "en", "s", 1), (4, text, "en", "t", 1), (None, words(r, 50), "en", "s", 2), (6, words(r, 300), "en", "s", 3), (7, "you are an idiot. you loser. you moron, scum.", "en", "s", 4)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, rows[6][1][40:200])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

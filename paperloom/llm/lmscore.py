@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import SLICE_BYTES, slices, stored, table
+from .common import slices, stored, table
 
 #: Target ids in all that are sent to every task; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Text bytes that two blocks, or a range of keys, hold.
+BLOCK_BYTES = 8 << 20
 #: Bits of a key, and words whose keys a task keeps at hand.
 KEY_BITS, HELD_WORDS = 60, 300_000
 
@@ -97,13 +99,13 @@ def large(data: bytes) -> np.ndarray:
 
 
 def in_blocks(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns, with __block: rows of about SLICE_BYTES of text, one at least; and their __row in it."""
+    """The columns, with __block: rows of about BLOCK_BYTES of text, one at least; and their __row in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, row, size = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             for piece in slices(batch, "text"):
-                if size > SLICE_BYTES // 2:
+                if size > BLOCK_BYTES // 2:
                     block, row, size = block + 1, 0, 0
                 n = piece.num_rows
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.full(n, block)), pa.array(np.arange(row, row + n))], [*columns, "__block", "__row"])
@@ -228,7 +230,7 @@ def score(docs: DataFrame, models: PairOfModels, keep: tuple[str, ...] = ("doc_i
     blocks = in_blocks(models.marked, [*columns, "target"]) if same else in_blocks(docs, columns)
     learned = blocks if same else in_blocks(models.marked, ["text", "target"])
     size = sum(b.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for b in ([blocks] if same else [blocks, learned]))
-    log_ranges = max(4, (size // SLICE_BYTES).bit_length())
+    log_ranges = max(4, (size // BLOCK_BYTES).bit_length())
     sent = tallies(blocks, log_ranges, same, True)
     if not same:
         sent = sent.unionByName(tallies(learned, log_ranges, True, False))

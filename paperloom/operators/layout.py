@@ -52,9 +52,9 @@ def class_text(segments: DataFrame, boxes: DataFrame, cls: int) -> DataFrame:
 
 
 def upper_median(column: str):
-    """The middle value, of two the upper: no interpolation."""
+    """The middle value, of two the upper: no interpolation. Null without values."""
     values = F.array_sort(F.collect_list(column))
-    return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
+    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
 
 
 def row_band_order(segments: DataFrame, tolerance: float) -> DataFrame:

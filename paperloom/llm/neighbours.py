@@ -194,17 +194,18 @@ def self_search(vectors: DataFrame, key: str = "vec_id", column: str = "embeddin
     Result: query_id, rank, vec_id, score (Euclidean distance of the original vectors, in double
     precision), the ``k`` nearest found, ties to the smaller id. Null vectors, zero ones and those
     with null or non-finite components take no part; shorter vectors count as filled up with zeros.
-    Of repeated ids each differing vector is a query and a candidate, but no row is its own id's
-    candidate. An empty table gives no rows; other columns are not read.
+    Of repeated ids each differing vector is a query, and each row a candidate. An empty table gives no rows; other columns are not read.
     """
     good = usable(vectors, key, column)
     nodes = stored(node_table(good, k + 1), "nodes")
     graph = build_graph(nodes)
     asked = stored(good.where(F.col("id") % every == 0).distinct().join(nodes.select("vec", "node"), "vec").select(F.col("id").alias("query_id"), F.col("node").alias("qid"), F.col("vec").alias("qvec")), "asked")
     found = search(asked.select("qid", "qvec").dropDuplicates(["qid"]), graph, nodes, beam_for(nodes.count()))
-    # a node has one id at least, so that k + 1 nodes hold k other ids; ties at the end are kept
+    # a node has one row at least, so that k + 1 nodes hold k others; ties at the end are kept
     last = found.withColumn("r", F.rank().over(Window.partitionBy("qid").orderBy("d"))).where(F.col("r") <= k + 1)
-    each = asked.select("query_id", "qid").join(last, "qid").join(nodes.select("node", "ids"), "node").select("query_id", "qid", F.explode("ids").alias("vec_id"), "d").where("vec_id <> query_id")
+    each = asked.select("query_id", "qid").join(last, "qid").join(nodes.select("node", "ids"), "node").select("query_id", "qid", "node", "ids", F.posexplode("ids").alias("place", "vec_id"), "d")
+    # one row of the query's own node and id is the query itself
+    each = each.where((F.col("node") != F.col("qid")) | (F.col("place") != F.array_position("ids", F.col("query_id")) - 1))
     best = Window.partitionBy("query_id", "qid").orderBy("d", "vec_id")
     return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("d").alias("score"))
 

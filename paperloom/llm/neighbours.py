@@ -125,7 +125,7 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield joins(*last)
 
 
-def build_graph(nodes: DataFrame, k: int = 24, still: float = 0.02, projections: int = 8, reach: int = 4, seed: int = 5) -> DataFrame:
+def build_graph(nodes: DataFrame, k: int = 24, still: float = 0.1, projections: int = 8, reach: int = 4, seed: int = 5) -> DataFrame:
     """The neighbour graph: node, nbr, d; ``k`` neighbours a node (all others, if fewer). The rounds
     end when one brings less than ``still`` of all neighbours anew."""
     graph = stored(nearest(projected_edges(nodes, projections, reach, seed), k).withColumn("born", F.lit(0)), "graph")
@@ -159,7 +159,7 @@ def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int) -> DataFrame:
     """Greedy search from each query (qid, qvec), which is a node itself: all nodes met, as qid, node, d.
 
-    A hop expands the nearest unexpanded nodes among the ``beam`` nearest met, a quarter of the beam at
+    A hop expands the nearest unexpanded nodes among the ``beam`` nearest met, a third of the beam at
     once; the search ends when none of any query is left. What was met is kept, so that no distance is
     measured twice. A node's neighbours, both ways, come in rows of 64 at most, however many it has.
     """
@@ -171,7 +171,7 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int) ->
     while True:
         # the nearest that are in the beam and not expanded yet
         placed = met.withColumn("r", F.row_number().over(first))
-        opened = stored(placed.where((F.col("r") <= beam) & ~F.col("expanded")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= max(16, beam // 4)).select("qid", "node"), "opened")
+        opened = stored(placed.where((F.col("r") <= beam) & ~F.col("expanded")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= max(16, beam // 3)).select("qid", "node"), "opened")
         if opened.isEmpty():
             return met.select("qid", "node", "d")
         reached = opened.join(edges, "node").select("qid", F.explode("nbrs").alias("node")).distinct().join(met.select("qid", "node"), ["qid", "node"], "left_anti")

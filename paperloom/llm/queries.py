@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .cohorts import OP13_SQL, op13_cohorts
 from .decontamination import op1_decontamination
 from .langid import op2_langid
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .lmscore import op9_lmscore
+from .merkle import OP11_SQL, op11_merkle
 from .neighbours import op6_neighbours
 from .ngram_join import op10_ngram_join
 from .packing import op4_packing
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_lmscore": op9_lmscore,
     "op10_ngram_join": op10_ngram_join,
+    "op11_merkle": op11_merkle,
+    "op13_cohorts": op13_cohorts,
 }
 
-SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
+SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op11_merkle": OP11_SQL, "op13_cohorts": OP13_SQL}

@@ -95,20 +95,20 @@ def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(codes), np.searchsorted(offsets, np.concatenate(places), side="right") - 1
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
-    """Of each text its set: ascending hashes of the distinct shingles."""
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+    """Of each text its set: ascending hashes of the distinct shingles of so many words."""
     data, offsets = utf8(texts)
     n = len(offsets) - 1
     code, owner = word_codes(data, offsets)
     ends = np.searchsorted(owner, np.arange(n), side="right")
     begins = np.r_[0, ends[:-1]]
-    whole = np.zeros(max(0, len(code) - WORDS + 1), np.uint64)
-    for k in range(WORDS):
+    whole = np.zeros(max(0, len(code) - words + 1), np.uint64)
+    for k in range(words):
         whole = mix(whole * np.uint64(3) + code[k : k + len(whole)] + np.uint64(k + 1))
     out = []
     for a, b in zip(begins.tolist(), ends.tolist()):
-        if b - a >= WORDS:
-            s = np.sort(whole[a : b - WORDS + 1])
+        if b - a >= words:
+            s = np.sort(whole[a : b - words + 1])
             keep = np.ones(len(s), bool)
             keep[1:] = s[1:] != s[:-1]
             out.append(s[keep])

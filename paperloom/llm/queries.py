@@ -10,6 +10,7 @@ from .lmscore import op9_lmscore
 from .merkle import OP11_SQL, op11_merkle
 from .neighbours import op6_neighbours
 from .ngram_join import op10_ngram_join
+from .odd_sketches import op12_near_copies
 from .packing import op4_packing
 from .quality import op8_quality
 from .secrets import op7_secrets
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_lmscore": op9_lmscore,
     "op10_ngram_join": op10_ngram_join,
     "op11_merkle": op11_merkle,
+    "op12_near_copies": op12_near_copies,
     "op13_cohorts": op13_cohorts,
 }
 

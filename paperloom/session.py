@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +31,12 @@ def build_session(name: str = "paperloom", cores: int | None = None, **conf: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def working_dir(spark: SparkSession, label: str) -> str:
+    """A new folder for files that Spark writes on the way: in the shared one that the cluster names. Only a
+    local session may do without, and then uses a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(named or f'file://{tempfile.gettempdir()}/paperloom-work').rstrip('/')}/{label}-{uuid.uuid4().hex}"

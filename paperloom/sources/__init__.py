@@ -43,3 +43,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("file_id"), F.floor(line / 40).cast("long").alias("page_index"), F.col("i").cast("long").alias("seg_ord"), "text",
         (F.pmod("i", F.lit(8)) * 40).cast("double").alias("xmin"), (F.pmod(line, F.lit(40)) * 14 + F.floor(F.pmod(line, F.lit(40)) / 5) * 20).cast("double").alias("ymin"),
     ).withColumn("xmax", F.col("xmin") + 36).withColumn("ymax", F.col("ymin") + 10)
+
+
+def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shop's clicks, equal rows once, with a client and a time."""
+    return read(spark, sf_dir, "clicks").distinct().where("client_id is not null and ts is not null")

@@ -17,11 +17,3 @@ def reading_sessions(events: DataFrame, gap: str = "10 minutes", late: str = "30
     s = e.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events"), F.max("ts").alias("last"))
     seconds = F.unix_timestamp("last") - F.unix_timestamp("w.start")
     return s.select("user_id", F.col("w.start").alias("start_time"), F.col("last").alias("end_time"), "events", seconds.cast("long").alias("duration_seconds"))
-
-
-def stream_lines(chunks: DataFrame) -> DataFrame:
-    """Server-sent ``data:`` payloads of ordered text chunks (stream_id, ord, chunk), across chunk borders."""
-    whole = chunks.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "chunk"))), lambda x: x["chunk"]), "").alias("text"))
-    lines = whole.select("stream_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    data = F.trim(F.regexp_replace("line", "^data:", ""))
-    return lines.where(F.col("line").startswith("data:") & (data != "[DONE]")).select("stream_id", "line_no", data.alias("data"))

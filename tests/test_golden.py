@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import citations, text
 from paperloom.functions.registry import Registry
 from paperloom.operators import layout, reading, store
-from paperloom.streaming.sessions import reading_sessions, stream_lines
+from paperloom.streaming.sessions import reading_sessions
 
 AUTHORS = ["Ada Lovelace", "Alan M. Turing"]
 FIELDS = {"title": "On  Computable Things", "journal": "J. Test", "date": "2024-03", "volume": "5", "issue": "2", "pages": "10–20", "doi": "10.1000/x1"}
@@ -101,11 +101,6 @@ def test_stream_of_sessions(spark, tmp_path):
     assert {(r.user_id, r.events, r.duration_seconds) for r in spark.table("out").collect()} <= batch
 
 
-def test_stream_lines(spark):
-    chunks = spark.createDataFrame([(1, 0, "data: {a"), (1, 1, "b}\ndata: x\n"), (1, 2, "data: [DONE]\n")], "stream_id long, ord long, chunk string")
-    assert [r.data for r in stream_lines(chunks).orderBy("line_no").collect()] == ["{ab}", "x"]
-
-
 def test_interceptors(spark):
     r = Registry()
     r.register("p", "f", len, "read")

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +20,11 @@ def above_threshold(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
     return boxes.where(F.col("score") > min(max(threshold, 0.0), 1.0))
 
 
+def visual(boxes: DataFrame) -> DataFrame:
+    """Boxes of figures, tables and formulas."""
+    return boxes.where(F.col("cls_id").isin(VISUAL))
+
+
 def inside(segments: DataFrame, boxes: DataFrame) -> DataFrame:
     """Pairs of a segment and a box of its page that holds its centre, bounds included."""
     s = segments.withColumns({"cx": (F.col("xmin") + F.col("xmax")) / 2, "cy": (F.col("ymin") + F.col("ymax")) / 2})
@@ -183,24 +187,42 @@ def merge_paragraphs(segments: DataFrame) -> DataFrame:
     return pages.mapInArrow(walk, "file_id long, page_index long, par_ord long, text string, xmin double, ymin double, xmax double, ymax double")
 
 
+BOUNDS = PAGE_SEGMENT[2:]
+
+
 def merge_with_boxes(segments: DataFrame, boxes: DataFrame) -> DataFrame:
-    """One paragraph a box, in reading order, of the paragraphs of its segments; then what no box holds."""
-    # without a box a segment's box_ord is -1
-    held = segments.join(assigned(segments, boxes), [*PAGE, "seg_ord"], "left").withColumns({"box_ord": F.coalesce("box_ord", F.lit(-1)).cast("long"), "read_order": F.coalesce("read_order", F.lit(-1)).cast("long")})
-
-    def page(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["box_ord", "seg_ord"])
-        box, order, seg = (part[c].to_numpy() for c in ("box_ord", "read_order", "seg_ord"))
-        text, edges = part.text.tolist(), part[["xmin", "ymin", "xmax", "ymax"]].to_numpy(np.float64)
-        begin = np.flatnonzero(np.r_[True, box[1:] != box[:-1]]).tolist()
-        ranks, texts = [], []
-        for i, j in zip(begin, [*begin[1:], len(box)]):
-            if box[i] < 0:
-                ranks += (seg[i:j] + (1 << 40)).tolist()
-                texts += text[i:j]
-            else:
-                ranks.append(int(order[i]))
-                texts.append("\n".join(paragraphs(text[i:j], edges[i:j])[0]))
-        return pd.DataFrame({"file_id": part.file_id.iloc[0], "page_index": part.page_index.iloc[0], "rank": ranks, "text": texts})
-
-    return held.groupBy(*PAGE).applyInPandas(page, "file_id long, page_index long, rank long, text string")
+    """Of every page one paragraph a box that holds segments, in reading order, with the box's bounds: its
+    segments' paragraphs, a line each; then the paragraphs of what no box holds, with their own bounds.
+
+    Columns file_id, page_index, par_ord, box_ord (null for the rest), text, bounds. A page without boxes has
+    plain paragraphs; boxes without segments give none. A page's segments are one row, and a batch holds
+    many pages, as in ``merge_paragraphs``."""
+    bounds = [F.col("b" + c).alias("b" + c) for c in BOUNDS]
+    first = F.min(F.struct("read_order", "box_ord", *bounds)).alias("box")
+    held = segments.join(inside(segments, boxes).groupBy(*PAGE, "seg_ord").agg(first), [*PAGE, "seg_ord"], "left")
+    part = F.struct(*PAGE_SEGMENT, F.col("box.read_order").cast("long").alias("read_order"), F.col("box.box_ord").cast("long").alias("box_ord"), *[F.col(f"box.b{c}").cast("double").alias("b" + c) for c in BOUNDS])
+    pages = held.groupBy(*PAGE).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column("parts")
+            ends = np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))
+            flat = parts.flatten()
+            texts, box, order = (flat.field(c).to_pylist() for c in ("text", "box_ord", "read_order"))
+            own, around = (np.stack([flat.field(x + c).to_numpy(zero_copy_only=False).astype(np.float64) for c in BOUNDS], axis=1) for x in ("", "b"))
+            out: list[tuple] = []
+            for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                regions: dict[tuple[int, int], list[int]] = {}
+                for k in range(a, b):
+                    if box[k] is not None:
+                        regions.setdefault((order[k], box[k]), []).append(k)
+                found = [(name[1], "\n".join(paragraphs([texts[k] for k in ks], own[ks])[0]), around[ks[0]]) for name, ks in sorted(regions.items())]
+                rest = [k for k in range(a, b) if box[k] is None]
+                found += [(None, *x) for x in zip(*paragraphs([texts[k] for k in rest], own[rest]))]
+                out += [(i, n, *x) for n, x in enumerate(found)]
+            at = pa.array([x[0] for x in out], pa.int64())
+            edges = np.array([x[4] for x in out]).reshape(-1, 4)
+            columns = [pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in PAGE), *columns, *(pa.array(edges[:, c].copy()) for c in range(4))], [*PAGE, "par_ord", "box_ord", "text", *BOUNDS])
+
+    return pages.mapInArrow(walk, "file_id long, page_index long, par_ord long, box_ord long, text string, xmin double, ymin double, xmax double, ymax double")

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, clean, keyword_union, trimmed
+from ..functions.text import SPACE, clean, keyword_union, trimmed, vote_title
+from .records import filled_in
 
 
 def fill(base: Column, other: Column) -> Column:
-    """A scalar fills only what is missing."""
-    return F.coalesce(base, other)
+    """A scalar fills only what is missing or empty."""
+    return F.coalesce(filled_in(base), filled_in(other), base)
 
 
 def prefer_list(base: Column, other: Column) -> Column:
@@ -34,6 +35,7 @@ def structured_title(title: Column, parsed: Column, file_name: Column) -> Column
     return F.when((parsed != "") & ((F.length(own) < 5) | (own == bare)), tidy(parsed)).otherwise(title)
 
 
+# What a first page and structured markup are read by.
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 
@@ -57,9 +59,54 @@ def first_page_facts(page: Column) -> Column:
 
 
 def first_page_fill(known: dict[str, Column], facts: Column) -> dict[str, Column]:
-    """Known fields, with gaps filled from the first page where DOI, abstract or date is missing."""
-    look = known["doi"].isNull() | known["abstract"].isNull() | known["date"].isNull()
-    return {k: F.coalesce(c, F.when(look, facts[k])) for k, c in known.items()}
+    """Known fields, with gaps filled from the first page, which is read only where DOI, abstract or date is
+    missing. An empty text is missing too."""
+    look = filled_in(known["doi"]).isNull() | filled_in(known["abstract"]).isNull() | filled_in(known["date"]).isNull()
+    return {k: F.coalesce(filled_in(c), F.when(look, filled_in(facts[k])), c) for k, c in known.items()}
+
+
+def joined_date(date: Column) -> Column:
+    """Year, month and day, as far as there are; null without a year."""
+    parts = F.filter(F.array(*[date[c] for c in ("year", "month", "day")]), lambda x: x != "")
+    return F.when(filled_in(date["year"]).isNotNull(), F.array_join(parts, "-"))
+
+
+def some(c: Column) -> Column:
+    """A list that has something, else null."""
+    return F.when(F.size(c) > 0, c)
+
+
+def parsed_document_merge(own: Column, parsed: Column, file_name: Column) -> Column:
+    """A paper's metadata with what the structured parser found, as one struct.
+
+    ``own`` has title, abstract, authors (names), doi, date, journal, volume, issue, pages, publisher,
+    keywords; ``parsed`` title, abstract, authors (structs of full_name, first_name, middle_name, last_name),
+    doi, date (year, month, day), venue (name, volume, issue, pages, publisher), keywords. The title is taken
+    where the own one is missing, short or the file's name; keywords are added; the rest only fills gaps,
+    empty texts and lists among them."""
+    from .remote import full_name
+
+    names = F.filter(F.transform(F.coalesce(parsed["authors"], F.array().cast("array<struct<full_name:string,first_name:string,middle_name:string,last_name:string>>")), full_name), lambda x: x != "")
+    venue = parsed["venue"]
+    gap = lambda a, b: F.coalesce(filled_in(a), filled_in(b), a)
+    union = F.when(some(parsed["keywords"]).isNull(), own["keywords"]).when(some(own["keywords"]).isNull(), parsed["keywords"]).otherwise(keyword_union(own["keywords"], parsed["keywords"]))
+    return F.struct(
+        structured_title(own["title"], parsed["title"], file_name).alias("title"),
+        gap(own["abstract"], parsed["abstract"]).alias("abstract"),
+        F.coalesce(some(own["authors"]), F.when(F.size(parsed["authors"]) > 0, names), own["authors"]).alias("authors"),
+        gap(own["doi"], parsed["doi"]).alias("doi"),
+        F.coalesce(filled_in(own["date"]), joined_date(parsed["date"]), own["date"]).alias("date"),
+        gap(own["journal"], venue["name"]).alias("journal"),
+        *[gap(own[c], venue[c]).alias(c) for c in ("volume", "issue", "pages", "publisher")],
+        union.alias("keywords"),
+    )
+
+
+def layout_layer(known: dict[str, Column], layout: dict[str, Column]) -> dict[str, Column]:
+    """Title, abstract and doi after the layout's findings (doi, title_by_layout, title_by_font, abstract):
+    its DOI fills a gap, titles are voted on, its abstract replaces the own one."""
+    title = vote_title(filled_in(layout["title_by_layout"]), filled_in(layout["title_by_font"]), filled_in(known["title"]))
+    return {"title": F.coalesce(title, known["title"]), "doi": F.coalesce(filled_in(known["doi"]), filled_in(layout["doi"]), known["doi"]), "abstract": F.coalesce(filled_in(layout["abstract"]), known["abstract"])}
 
 
 def completed(cached: Column, parsed: Column) -> Column:
@@ -67,16 +114,15 @@ def completed(cached: Column, parsed: Column) -> Column:
     return F.when(F.coalesce(F.size(cached), F.lit(0)) > 0, cached).otherwise(parsed)
 
 
-def keywords(a: Column, b: Column) -> Column:
-    return keyword_union(a, b)
-
-
 def by_doi_or_title(refs: DataFrame, remote: DataFrame) -> DataFrame:
-    """References with the remote record of their DOI, else of their title (both lower case)."""
-    r = remote.select(F.lower(F.trim("doi")).alias("__doi"), F.lower(F.trim("title")).alias("__title"), F.col("record"))
-    one = refs.join(r.select("__doi", F.col("record").alias("by_doi")).dropDuplicates(["__doi"]), F.lower(F.trim(F.col("doi"))) == F.col("__doi"), "left")
-    two = one.join(r.select("__title", F.col("record").alias("by_title")).dropDuplicates(["__title"]), (F.lower(F.trim(F.col("title"))) == F.col("__title")) & F.col("by_doi").isNull(), "left")
-    return two.select(*refs.columns, F.coalesce("by_doi", "by_title").alias("record"))
+    """References (id, doi, title) with the remote record (record, doi, title) of their DOI, in any case; the
+    rest with the one whose title shares most words, 0.7 of the larger set or more."""
+    from .remote import by_title
+
+    dois = remote.select(F.lower(F.trim("doi")).alias("__doi"), F.col("record").alias("by_doi")).where("__doi is not null").groupBy("__doi").agg(F.min("by_doi").alias("by_doi"))
+    one = refs.join(dois, F.lower(F.trim(F.col("doi"))) == F.col("__doi"), "left").drop("__doi")
+    titles = by_title(one.where("by_doi is null and title is not null").select("id", "title"), remote.select("record", "title")).withColumnRenamed("record", "by_title")
+    return one.join(titles, "id", "left").select(*refs.columns, F.coalesce("by_doi", "by_title").alias("record"))
 
 
 def outline_parents(items: DataFrame) -> DataFrame:
@@ -107,12 +153,6 @@ def outline_parents(items: DataFrame) -> DataFrame:
     return stack.mapInArrow(walk, f"file_id {kind['file_id']}, ord {kind['ord']}, level {kind['level']}, parent {kind['ord']}")
 
 
-def match_in_order(slides: DataFrame, images: DataFrame) -> DataFrame:
-    """The n-th slide that asks for a page gets the page's n-th image."""
-    n = lambda key: F.row_number().over(Window.partitionBy("file_id", "page_index").orderBy(key))
-    return slides.withColumn("n", n("slide_ord")).join(images.withColumn("n", n("image_ord")), ["file_id", "page_index", "n"], "left").drop("n")
-
-
 TAG = "<[^>]+>"
 
 
@@ -196,7 +236,7 @@ def enriched(references: DataFrame, patches: DataFrame) -> DataFrame:
     """References, named by file_id and ref_index, with what a patch of theirs has that is not null.
 
     A ranking is set only where the patch has its journal and its zone; its flags are false if null.
-    At most one patch a reference. Patches of no reference are in ``out_of_range``.
+    At most one patch a reference; patches of no reference change nothing.
     """
     p = patches.select("file_id", "ref_index", *[F.col(c).alias("new_" + c) for c in PATCHED if c in patches.columns], "ranking_journal", "ranking_zone", "ranking_is_top", "ranking_is_oa")
     ranked = F.col("ranking_journal").isNotNull() & F.col("ranking_zone").isNotNull()
@@ -205,7 +245,3 @@ def enriched(references: DataFrame, patches: DataFrame) -> DataFrame:
     joined = references.join(p, ["file_id", "ref_index"], "left")
     patched = {c: F.coalesce("new_" + c, c) for c in references.columns if "new_" + c in p.columns}
     return joined.withColumns(patched | {"ranking": F.coalesce(ranking, "ranking") if "ranking" in references.columns else ranking}).select(*references.columns, *([] if "ranking" in references.columns else ["ranking"]))
-
-
-def out_of_range(references: DataFrame, patches: DataFrame) -> DataFrame:
-    return patches.join(references, ["file_id", "ref_index"], "left_anti")

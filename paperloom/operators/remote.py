@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, long_words, strip_markup, trimmed
+from .folds import folded
 from .records import date_parts, filled_in
 
 #: The parts of a catalogue's message that are read.
@@ -69,6 +72,22 @@ def by_title(titles: DataFrame, catalogue: DataFrame, least: float = 0.7) -> Dat
     return scored.groupBy("id").agg(F.max_by("record", F.struct("overlap", -F.col("record"))).alias("record"))
 
 
+SEARCH_KEY, SHORTEST = 80, 5
+
+
+def searched_once(requests: DataFrame, catalogue: DataFrame, least: float = 0.7) -> DataFrame:
+    """Title searches (id, ord, title) with the catalogue's record: id, key, record.
+
+    A search is remembered under the first 80 characters of its title in lower case: the first request of a
+    key is the one that is sent, and its answer, a vain one too, is that of all later ones. Titles under five
+    characters are not searched, and have no key."""
+    title = trimmed(F.col("title"))
+    asked = requests.withColumn("key", F.when(F.length(title) >= SHORTEST, F.substring(F.lower(title), 1, SEARCH_KEY)))
+    firsts = asked.where("key is not null").groupBy("key").agg(F.min_by("title", "ord").alias("title"))
+    found = by_title(firsts.select(F.col("key").alias("id"), "title"), catalogue, least).withColumnRenamed("id", "key")
+    return asked.join(found, "key", "left").select("id", "key", "record")
+
+
 def chosen(papers: DataFrame, by_doi: DataFrame, preprints: DataFrame, searched: DataFrame) -> DataFrame:
     """Of each paper (id, doi, arxiv, title) the remote title and source: by its DOI (doi, title), else its
     preprint's (arxiv, title, doi), which the record of that one's DOI replaces, else found by title (id, title)."""
@@ -95,26 +114,72 @@ def full_name(author: Column) -> Column:
     return F.coalesce(filled_in(author["full_name"]), F.array_join(parts, " "))
 
 
-def sidecar_text(c: Column) -> Column:
-    return F.to_json(c)
-
-
-def sidecar_read(c: Column, schema: str) -> Column:
-    """A JSON sidecar under a schema: what it lacks is null, what it has beside is left out, and all is null if it can't be read."""
-    return F.from_json(c, schema)
+class Folder:
+    """The names of one family in a folder, as files of it are renamed in order."""
+
+    def __init__(self) -> None:
+        self.taken: set[str] = set()
+        self.least: dict[str, int] = {}  # of each wanted name the first number that may be free
+
+    def free(self, name: str) -> None:
+        self.taken.discard(name)
+        numbered = re.fullmatch(r"(.*)_(\d+)(\.[^.]*)?", name, re.S)
+        if numbered:
+            wanted = numbered[1] + (numbered[3] or "")
+            self.least[wanted] = max(1, min(self.least.get(wanted, 1), int(numbered[2])))
+
+    def rename(self, old: str, bare: str, ext: str) -> str:
+        wanted = f"{bare}.{ext}" if ext else bare
+        if wanted == old:
+            return old
+        new = wanted
+        if wanted in self.taken:
+            k = self.least.get(wanted, 1)
+            numbered = lambda: f"{bare}_{k:02d}.{ext}" if ext else f"{bare}_{k}"
+            while numbered() in self.taken:
+                k += 1
+            new = numbered()
+            self.least[wanted] = k + 1
+        self.taken.add(new)
+        return new
 
 
 def renamed(files: DataFrame) -> DataFrame:
-    """New names for files (folder, ext, ord) from their titles: illegal characters become _, a blank
-    title keeps the old name; a name that a file before took gets _01, _02, ..."""
-    bare = trimmed(F.translate("title", '<>:"/\\|?*', "_" * 9))
-    wanted = F.when(bare == "", F.col("name")).otherwise(F.concat(bare, F.lit("."), F.col("ext")))
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("folder", "wanted").orderBy("ord")) - 1
-    stem = F.regexp_replace("wanted", r"\.[^.]*$", "")
-    numbered = F.concat(stem, F.lit("_"), F.lpad(n.cast("string"), 2, "0"), F.lit("."), F.col("ext"))
-    return files.withColumn("wanted", wanted).withColumn("n", n).withColumn("new_name", F.when((F.col("n") == 0) | (bare == ""), F.col("wanted")).otherwise(numbered)).select(*files.columns, "new_name")
+    """New names for files (folder, ext, ord, name) from their titles, one after another in the order of
+    ``ord``: illegal characters become _, a blank title keeps the old name. A name that a file of the folder
+    has by then gets _01, _02, ... before its extension, _1, _2, ... without one; the old name is free again.
+
+    Only names of one family, alike but for such numbers, can meet; a family is walked in order, and what is
+    held of it are its names."""
+    bare = trimmed(F.translate(F.coalesce("title", F.lit("")), '<>:"/\\|?*', "_" * 9))
+    ext = F.coalesce("ext", F.lit(""))
+    ending = F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext))
+    family = lambda c: F.regexp_replace(F.regexp_replace(c, r"\.[^.]*$", ""), r"(_\d+)+$", "")
+    f = files.select("folder", "ord", "name", bare.alias("bare"), ext.alias("ext"), family(F.col("name")).alias("old_family"), F.when(bare != "", family(F.concat(bare, ending))).alias("family"))
+    columns = lambda phase: [F.lit(phase).alias("phase"), "ord", "name", "bare", "ext"]
+    there = f.select("folder", F.col("old_family").alias("family"), *columns(0))
+    # a file that leaves its family frees its name there; one that stays does so when it is renamed
+    leaves = f.where("family <> old_family").select("folder", F.col("old_family").alias("family"), *columns(1))
+    takes = f.where("family is not null").select("folder", "family", *columns(2))
+    # phases 1 and 2 are events in the order of ord
+    events = there.unionByName(leaves).unionByName(takes).withColumn("at", F.when(F.col("phase") > 0, F.col("ord")))
+
+    def step(folder: Folder, row: dict) -> list[tuple]:
+        if row["phase"] == 0:
+            folder.taken.add(row["name"])
+            return []
+        if row["phase"] == 1:
+            folder.free(row["name"])
+            return []
+        new = folder.rename(row["name"], row["bare"], row["ext"])
+        if new != row["name"] and row["name"] in folder.taken:
+            folder.free(row["name"])
+        return [(row["folder"], row["ord"], new)]
+
+    kinds = {c: files.schema[c].dataType.simpleString() for c in ("folder", "ord")}
+    new = folded(events, ["folder", "family"], ["at", "phase"], Folder, step, f"folder {kinds['folder']}, ord {kinds['ord']}, new_name string")
+    joined = files.join(new, ["folder", "ord"], "left").withColumn("new_name", F.coalesce("new_name", "name"))
+    return joined.select(*files.columns, "new_name")
 
 
 def citation_file(citation: Column, title: Column, output: str) -> Column:

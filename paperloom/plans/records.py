@@ -127,10 +127,10 @@ def _(s, d):
     return records.sizes_filled(library(s, d).withColumn("path", F.col("original_path")).withColumn("file_size", F.col("file_size").cast("long")), files).select("id", "file_size")
 
 
-@query("import_append", "SELECT doc_id AS id, 'old' AS origin FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id AS id, 'new' AS origin FROM documents WHERE doc_id % 3 = 1")
+@query("import_append", "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE 'new' END AS origin FROM documents")
 def _(s, d):
     docs = read(s, d, "documents").select(F.col("doc_id").alias("id"))
-    return docs.where("id % 3 = 0").withColumn("origin", F.lit("old")).unionByName(docs.where("id % 3 = 1").withColumn("origin", F.lit("new")))
+    return docs.where("id % 3 = 0").withColumn("origin", F.lit("old")).unionByName(docs.where("id % 3 <> 0").withColumn("origin", F.lit("new")))
 
 
 FILES = "WITH f AS (SELECT p_partkey, p_name || '.' || ['pdf', 'PNG', 'txt', 'jpeg', 'tar.gz'][p_partkey % 5 + 1] AS path FROM part) "
@@ -408,24 +408,27 @@ def _(s, d):
 
 # --- reconciliation -------------------------------------------------------------------------------
 
-REMOTE = """WITH refs AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN ' 10.1/X' || (doc_id % 40) END AS doi, 'Title of ' || (doc_id % 50) || ' looms' AS title FROM documents),
-remote AS (SELECT item_id, '10.1/x' || item_id AS doi, 'title of ' || (item_id * 2) || ' looms' AS title FROM benchmark WHERE item_id < 30) """
+REMOTE = """WITH refs AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN ' 10.1/X' || (doc_id % 40) END AS doi, 'Title of ' || (doc_id % 50 + 100) || ' looms and webs' AS title FROM documents),
+remote AS (SELECT item_id, '10.1/x' || item_id AS doi, 'the title of looms webs ' || (item_id * 2 + 100) || CASE WHEN item_id % 5 = 0 THEN ' with many more words' ELSE '' END AS title FROM benchmark),
+w AS (SELECT id, doi, list_distinct(list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda x: length(x) > 2)) AS t FROM refs), u AS (SELECT item_id, doi, list_distinct(list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda x: length(x) > 2)) AS t FROM remote),
+o AS (SELECT id, item_id, len(list_intersect(w.t, u.t)) / greatest(len(w.t), len(u.t)) AS overlap FROM w, u), b AS (SELECT id, item_id FROM o WHERE overlap >= 0.7 QUALIFY row_number() OVER (PARTITION BY id ORDER BY overlap DESC, item_id) = 1) """
 
 
-@query("reference_to_remote", REMOTE + "SELECT id, coalesce(a.item_id, b.item_id) AS record FROM refs LEFT JOIN remote a ON a.doi = lower(trim(refs.doi)) LEFT JOIN remote b ON b.title = lower(trim(refs.title)) AND a.item_id IS NULL")
+@query("reference_to_remote", REMOTE + "SELECT refs.id, coalesce(a.item_id, b.item_id) AS record FROM refs LEFT JOIN remote a ON a.doi = lower(trim(refs.doi)) LEFT JOIN b ON b.id = refs.id")
 def _(s, d):
     k, i = F.col("doc_id"), F.col("item_id")
     text_of = lambda c: c.cast("string")
-    refs = read(s, d, "documents").select(k.alias("id"), F.when(k % 3 == 0, F.concat(F.lit(" 10.1/X"), text_of(k % 40))).alias("doi"), F.concat(F.lit("Title of "), text_of(k % 50), F.lit(" looms")).alias("title"))
-    remote = read(s, d, "benchmark").where("item_id < 30").select(F.concat(F.lit("10.1/x"), text_of(i)).alias("doi"), F.concat(F.lit("title of "), text_of(i * 2), F.lit(" looms")).alias("title"), i.alias("record"))
+    refs = read(s, d, "documents").select(k.alias("id"), F.when(k % 3 == 0, F.concat(F.lit(" 10.1/X"), text_of(k % 40))).alias("doi"), F.concat(F.lit("Title of "), text_of(k % 50 + 100), F.lit(" looms and webs")).alias("title"))
+    more = F.when(i % 5 == 0, " with many more words").otherwise("")
+    remote = read(s, d, "benchmark").select(F.concat(F.lit("10.1/x"), text_of(i)).alias("doi"), F.concat(F.lit("the title of looms webs "), text_of(i * 2 + 100), more).alias("title"), i.alias("record"))
     return metadata.by_doi_or_title(refs, remote).select("id", "record")
 
 
-@query("merge_scalars_and_lists", "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, source) AS language, CASE WHEN doc_id % 3 = 0 THEN ['x', source] ELSE [lang] END AS keywords FROM documents")
+@query("merge_scalars_and_lists", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND lang <> '' THEN lang ELSE source END AS language, CASE WHEN doc_id % 3 = 0 THEN ['x', source] ELSE [lang] END AS keywords FROM documents")
 def _(s, d):
     k = F.col("doc_id")
     b = F.when(k % 3 == 0, F.array(F.lit("x"), F.col("source"))).when(k % 3 == 1, F.array().cast("array<string>"))
-    return read(s, d, "documents").select("doc_id", metadata.fill(F.when(k % 2 == 0, F.col("lang")), F.col("source")).alias("language"), metadata.prefer_list(F.array("lang"), b).alias("keywords"))
+    return read(s, d, "documents").select("doc_id", metadata.fill(F.when(k % 2 == 0, F.col("lang")).when(k % 4 == 1, ""), F.col("source")).alias("language"), metadata.prefer_list(F.array("lang"), b).alias("keywords"))
 
 
 PARSED = ["CASE WHEN p_partkey % 4 = 0 THEN 'abc' WHEN p_partkey % 4 = 1 THEN p_name WHEN p_partkey % 4 = 2 THEN p_brand || ' long title' END"]
@@ -453,15 +456,16 @@ def _(s, d):
     return read(s, d, "benchmark").select("item_id", x.alias("x")).select("item_id", *[f"x.{c}" for c in ("doi", "volume", "issue", "pages", "url", "date")])
 
 
-@query("first_page_fill", PAPERS + "SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN '10.1/own' END, '10.1234/page') AS doi, CASE WHEN id % 2 = 0 AND id % 3 <> 0 THEN 'own' ELSE coalesce(CASE WHEN id % 3 <> 0 THEN 'own' END, '7') END AS volume FROM p")
+@query("first_page_fill", PAPERS + """, o AS (SELECT id, CASE WHEN id % 4 < 2 THEN '10.1/own' WHEN id % 4 = 2 THEN '' END AS doi, CASE WHEN id % 3 = 0 THEN 'own' WHEN id % 3 = 1 THEN '' END AS volume, CASE WHEN id % 5 <> 0 THEN 'a' ELSE '' END AS abstract FROM p), l AS (SELECT *, coalesce(doi, '') = '' OR abstract = '' AS look FROM o)
+SELECT id, CASE WHEN coalesce(doi, '') = '' THEN '10.1234/page' ELSE doi END AS doi, CASE WHEN coalesce(volume, '') = '' AND look THEN CAST(id % 90 AS VARCHAR) ELSE volume END AS volume, '1' AS issue FROM l""")
 def _(s, d):
     from ..sources import papers
 
     k = F.col("id")
-    have = {"doi": F.when(k % 2 == 0, "10.1/own"), "abstract": F.lit("a"), "date": F.lit("2024"), "volume": F.when(k % 3 != 0, "own"), "issue": F.lit("1"), "pages": F.lit("1"), "url": F.lit("u")}
-    # nothing is looked for where DOI, abstract and date are known, so that a volume stays missing there
-    filled = metadata.first_page_fill(have, metadata.first_page_facts(F.lit("Vol. 7 doi 10.1234/page")))
-    return papers(s, d).select("id", filled["doi"].alias("doi"), F.coalesce(filled["volume"], F.lit("7")).alias("volume"))
+    page = F.concat(F.lit("Vol. "), (k % 90).cast("string"), F.lit(" No. 3 doi 10.1234/page"))
+    have = {"doi": F.when(k % 4 < 2, "10.1/own").when(k % 4 == 2, ""), "abstract": F.when(k % 5 != 0, "a").otherwise(""), "date": F.lit("2024"), "volume": F.when(k % 3 == 0, "own").when(k % 3 == 1, ""), "issue": F.lit("1"), "pages": F.lit("1"), "url": F.lit("u")}
+    filled = metadata.first_page_fill(have, metadata.first_page_facts(page))
+    return papers(s, d).select("id", *[filled[c].alias(c) for c in ("doi", "volume", "issue")])
 
 
 @query("cached_parse_completed", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ['new'] ELSE ['old', o_orderstatus] END AS sections FROM orders")

@@ -82,18 +82,24 @@ def _(s, d):
     return read(s, d, "customer").select("c_custkey", remote.full_name(author).alias("name"))
 
 
-@query("sidecar_round_trip", "SELECT o_orderkey, o_orderstatus AS status, CAST(NULL AS VARCHAR) AS added, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE [o_orderpriority, 'x'] END AS sections FROM orders")
-def _(s, d):
-    sections = F.when(F.col("o_orderkey") % 5 != 0, F.array("o_orderpriority", F.lit("x")))
-    t = remote.sidecar_text(F.struct(F.col("o_orderstatus").alias("status"), sections.alias("sections"), F.lit(1).alias("old")))
-    return read(s, d, "orders").select("o_orderkey", remote.sidecar_read(t, "status string, added string, sections array<string>").alias("x")).select("o_orderkey", "x.*")
+RENAMES = """WITH RECURSIVE f AS (SELECT p_partkey, p_brand AS folder, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'pdf' END AS ext, CASE WHEN p_partkey % 6 = 0 THEN 'plate_01.pdf' || p_partkey ELSE 'x' || p_partkey END || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '.pdf' END AS name,
+  CASE p_partkey % 9 WHEN 0 THEN ' ' WHEN 1 THEN ' plate: ' WHEN 2 THEN 'x' || (p_partkey + 25) WHEN 3 THEN 'plate__01' WHEN 4 THEN 'plate_' ELSE substr(p_type, 1, 3) || ' a/b?' END AS title FROM part),
+e AS (SELECT *, trim(regexp_replace(title, '[<>:"/\\|?*]', '_', 'g')) AS bare, row_number() OVER (PARTITION BY folder ORDER BY p_partkey) AS n FROM f), d AS (SELECT *, CASE WHEN ext = '' THEN bare ELSE bare || '.' || ext END AS wanted FROM e),
+w AS (SELECT folder, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS p_partkey, '' AS new_name, list(name) AS there FROM d GROUP BY folder
+UNION ALL SELECT folder, n, p_partkey, new_name, list_append(list_filter(there, lambda x: x <> name), new_name) FROM (
+  SELECT d.*, w.there, CASE WHEN bare = '' OR wanted = name THEN name WHEN NOT list_contains(there, wanted) THEN wanted
+    ELSE list_filter(list_transform(range(1, len(there) + 2), lambda k: CASE WHEN ext = '' THEN bare || '_' || k ELSE bare || '_' || lpad(CAST(k AS VARCHAR), 2, '0') || '.' || ext END), lambda x: NOT list_contains(there, x))[1] END AS new_name
+  FROM w JOIN d ON d.folder = w.folder AND d.n = w.n + 1))
+SELECT p_partkey, new_name FROM w WHERE n > 0"""
 
 
-@query("rename_from_title", """WITH f AS (SELECT p_partkey, p_brand AS folder, CASE WHEN p_partkey % 9 = 0 THEN ' ' ELSE ' ' || p_type || ': a/b?' END AS title FROM part), w AS (SELECT *, trim(regexp_replace(title, '[<>:"/\\\\|?*]', '_', 'g')) AS bare FROM f),
-n AS (SELECT *, row_number() OVER (PARTITION BY folder, bare ORDER BY p_partkey) - 1 AS n FROM w) SELECT p_partkey, CASE WHEN bare = '' THEN 'old' || p_partkey || '.pdf' WHEN n = 0 THEN bare || '.pdf' ELSE bare || '_' || lpad(CAST(n AS VARCHAR), 2, '0') || '.pdf' END AS new_name FROM n""")
+@query("rename_from_title", RENAMES)
 def _(s, d):
     k = F.col("p_partkey")
-    files = read(s, d, "part").select("p_partkey", F.col("p_brand").alias("folder"), F.lit("pdf").alias("ext"), k.alias("ord"), F.concat(F.lit("old"), k.cast("string"), F.lit(".pdf")).alias("name"), F.when(k % 9 == 0, " ").otherwise(F.concat(F.lit(" "), "p_type", F.lit(": a/b?"))).alias("title"))
+    no, ext = k.cast("string"), F.when(k % 4 == 0, "").otherwise("pdf")
+    name = F.concat(F.when(k % 6 == 0, F.concat(F.lit("plate_01.pdf"), no)).otherwise(F.concat(F.lit("x"), no)), F.when(k % 4 == 0, "").otherwise(".pdf"))
+    title = F.when(k % 9 == 0, " ").when(k % 9 == 1, " plate: ").when(k % 9 == 2, F.concat(F.lit("x"), (k + 25).cast("string"))).when(k % 9 == 3, "plate__01").when(k % 9 == 4, "plate_").otherwise(F.concat(F.substring("p_type", 1, 3), F.lit(" a/b?")))
+    files = read(s, d, "part").select("p_partkey", F.col("p_brand").alias("folder"), ext.alias("ext"), k.alias("ord"), name.alias("name"), title.alias("title"))
     return remote.renamed(files).select("p_partkey", "new_name")
 
 

@@ -195,27 +195,39 @@ class PairOfModels:
     lam: float = 0.6
 
 
-def losses(at: np.ndarray, after: np.ndarray, size: int, one: np.ndarray, two: np.ndarray, total: int, n_words: int, lam: float) -> np.ndarray:
+def losses(at: np.ndarray, after: np.ndarray, size: int, one: np.ndarray, two: np.ndarray, total: np.ndarray | int, n_words: int, lam: float, alpha: float) -> np.ndarray:
     """The losses, in nats, of the words at ``at``, from the counts of these and of the pairs that end at ``after``.
 
-    P(w | v) = lam C(v w) / C(v) + (1 - lam) (C(w) + 1) / (N + V): the same form for both models;
-    V counts the differing words, the begin, and one for all words never met.
+    P(w | v) = lam C(v w) / C(v) + (1 - lam) (C(w) + alpha) / (N + alpha V): the same form for both models, in
+    which alpha gives both the same share of smoothing: 1 in the background, and in the target less by as much
+    as it is smaller. V counts the differing words, the begin, and one for all words never met.
     Where v never stood before a word, the second part has all the weight.
     """
     word, before, pair = np.zeros(size), np.zeros(size), np.zeros(size)  # a first word has no pair: unigram alone
     word[at] = one
     before[after], pair[after] = word[after - 1], two
     before, pair = before[at], pair[at]
-    plain = (one + 1.0) / (total + n_words + 2)
+    plain = (one + alpha) / (total + alpha * (n_words + 2))
     return -np.log(np.where(before > 0, lam * pair / np.maximum(before, 1) + (1 - lam) * plain, plain))
 
 
+def clashing(docs: DataFrame) -> bool:
+    return "target" in {c.lower() for c in docs.columns}
+
+
+def own_counts(of: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """How often the document ``of`` a place has the key there itself."""
+    _, at, count = np.unique(of * n + place, return_inverse=True, return_counts=True)
+    return count[at]
+
+
 def learn(docs: DataFrame, targets: DataFrame) -> PairOfModels:
     """Both models count all documents (doc_id, text): the background every document, the target
     those whose doc_id is in ``targets``. The counts are made as documents are scored."""
     chosen = targets.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(True))
     few = chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    marked = docs.join(F.broadcast(chosen) if few else chosen, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    own = docs.select("doc_id", "text") if clashing(docs) else docs
+    marked = own.join(F.broadcast(chosen) if few else chosen, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
     return PairOfModels(docs, marked)
 
 
@@ -223,10 +235,15 @@ def score(docs: DataFrame, models: PairOfModels, keep: tuple[str, ...] = ("doc_i
     """Columns ``keep``, n_tokens, loss_target, loss_background (means per token) and score, their
     difference: below 0 a document is closer to the target than to the background.
 
+    A document that the models count is scored by what all others have: its own counts are taken off, so that
+    the good ones don't find themselves in the target. A copy of it is another document.
+
     Texts without words, null ones too, have n_tokens 0 and null losses. Repeated rows are each
-    answered; an empty table gives no rows.
+    answered; an empty table gives no rows. Very long texts are rows of their own blocks, and take memory in
+    proportion to their tokens. Extra columns of any names are not read, unless ``keep`` names them; where one
+    is named ``target``, the documents count as others than those the models count.
     """
-    columns, lam, same = list(dict.fromkeys([*keep, "text"])), models.lam, docs is models.docs and "target" not in docs.columns
+    columns, lam, same = list(dict.fromkeys([*keep, "text"])), models.lam, docs is models.docs and not clashing(docs)
     blocks = in_blocks(models.marked, [*columns, "target"]) if same else in_blocks(docs, columns)
     learned = blocks if same else in_blocks(models.marked, ["text", "target"])
     size = sum(b.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for b in ([blocks] if same else [blocks, learned]))
@@ -238,12 +255,14 @@ def score(docs: DataFrame, models: PairOfModels, keep: tuple[str, ...] = ("doc_i
     n_words, *total = sums.where("__block is null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_target", "n_background"))).first()
 
     names = Keys()
+    alphas = (total[0] / total[1] if total[0] else 1.0, 1.0)
 
     def answered(texts: pa.Table, found: pa.Table) -> pa.Table:
         texts, found = texts.sort_by("__row"), found.sort_by([("__part", "ascending"), ("range", "ascending")])
         begin, part = texts.column("__row").to_numpy(), found.column("__part").to_numpy()
         cuts = np.r_[0, np.searchsorted(begin, np.unique(part)[1:]), len(begin)]  # parts without words sent nothing
         done: list[list[np.ndarray]] = [[], [], []]
+        marks = np.array(texts.column("target").to_pylist() if same else [], bool)
         for i, j in zip(cuts[:-1], cuts[1:]):
             keys, offsets = names.of(texts.column("text").slice(i, j - i).to_pylist())
             at, after = tokens(keys, offsets)
@@ -251,7 +270,14 @@ def score(docs: DataFrame, models: PairOfModels, keep: tuple[str, ...] = ("doc_i
             mine = found.filter(pa.array(part == np.unique(part)[len(done[0])])) if len(part) else found
             count = [np.concatenate([np.zeros(0, np.int64), *(large(x) for x in mine.column(c).to_pylist())]) for c in ("target", "background")]
             assert len(known) == len(count[0]) == len(count[1])
-            for to, x in zip(done, (np.diff(offsets) - 1, *(losses(at, after, len(keys), c[place[: len(at)]], c[place[len(at) :]], t, n_words, lam) for c, t in zip(count, total)))):
+            count, all_of, n_own = [c[place] for c in count], [t for t in total], np.diff(offsets) - 1
+            if same:
+                of = np.repeat(np.arange(j - i), np.diff(offsets))[np.r_[at, after]]
+                own, mine_of = own_counts(of, place, len(known)), marks[i:j][of]
+                count = [count[0] - own * mine_of, count[1] - own]
+                n_at = n_own[of[: len(at)]]
+                all_of = [total[0] - n_at * mine_of[: len(at)], total[1] - n_at]
+            for to, x in zip(done, (n_own, *(losses(at, after, len(keys), c[: len(at)], c[len(at) :], t, n_words, lam, a) for c, t, a in zip(count, all_of, alphas)))):
                 to.append(x)
         n, a, b = (np.concatenate(x) for x in done)
         of = np.repeat(np.arange(texts.num_rows), n)
@@ -261,7 +287,7 @@ def score(docs: DataFrame, models: PairOfModels, keep: tuple[str, ...] = ("doc_i
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     found = sums.where("__block is not null").select("__block", "__part", "range", "target", "background")
-    return blocks.select(*columns, "__block", "__row").groupBy("__block").cogroup(found.groupBy("__block")).applyInArrow(answered, f"{kinds}, n_tokens long, loss_target double, loss_background double, score double")
+    return blocks.select(*columns, *["target"] * same, "__block", "__row").groupBy("__block").cogroup(found.groupBy("__block")).applyInArrow(answered, f"{kinds}, n_tokens long, loss_target double, loss_background double, score double")
 
 
 def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, released, slices, stored, table, text_keys, tidy, utf8
 from .components import components
+from .line_dedup import unused
 
 WORDS = 5
 #: Similarity of a link, as a fraction.
@@ -654,22 +655,21 @@ def join_components(docs: DataFrame) -> DataFrame:
     return named.join(least, "component", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def row_keys(doc_id: Column, h1: Column, h2: Column) -> list[Column]:
+def row_keys(doc_id: Column, h1: Column, h2: Column, names: list[str]) -> list[Column]:
     """Columns without nulls that name a row by its doc_id and text."""
-    return [h1.alias("__h1"), h2.alias("__h2"), F.coalesce(doc_id.cast("string"), F.lit("")).alias("__id"), doc_id.isNull().alias("__none")]
+    return [c.alias(n) for c, n in zip((h1, h2, F.coalesce(doc_id.cast("string"), F.lit("")), doc_id.isNull()), names)]
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns: the one with the least doc_id (null
     ones last; of several such rows the least text hash, then any). Documents without words all
-    stay. An empty table gives no rows; columns of any names are kept (but for names with
-    ``__h1``, ``__h2``, ``__id`` and ``__none``, which must not occur)."""
+    stay. An empty table gives no rows; columns of any names are kept; very long texts are read in pieces."""
     named = named_components(docs).where("sig is not null")
     first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")).alias("x"))
-    first = first.select(*row_keys(F.col("x.doc_id"), F.col("x.h1"), F.col("x.h2")))
+    keys = [unused(n, docs.columns) for n in ("__h1", "__h2", "__id", "__none")]
+    first = first.select(*row_keys(F.col("x.doc_id"), F.col("x.h1"), F.col("x.h2"), keys))
     empty = F.col("text").isNull() | ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")
-    keys = ["__h1", "__h2", "__id", "__none"]
-    full = docs.where(~empty).select("*", *row_keys(F.col("doc_id"), *text_keys()))
+    full = docs.where(~empty).select("*", *row_keys(F.col("doc_id"), *text_keys(), keys))
     return full.join(first, keys, "left_semi").dropDuplicates(keys).drop(*keys).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(empty))
 
 

@@ -258,8 +258,8 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
 
 
 def test_clashing_columns(spark):
-    columns = "doc_id long, text string, source string, score string, lang_pred string, __host string, __lines string, cluster int, token string, sig string, n int, h1 int, component string, node string, grp int, block int, place int, start int"
-    rows = [(i, "some words that are here again and again " + str(i % 3), "s", *["x"] * 4, 1, "t", "g", 1, 1, "c", "n", 1, 1, 1, 1) for i in range(6)]
+    columns = "doc_id long, text string, source string, score string, lang_pred string, __host string, __lines string, cluster int, token string, sig string, n int, h1 int, component string, node string, grp int, block int, place int, start int, target int, __h1 string, __none int"
+    rows = [(i, "some words that are here again and again " + str(i % 3), "s", *["x"] * 4, 1, "t", "g", 1, 1, "c", "n", 1, 1, 1, 1, 1, "h", 1) for i in range(6)]
     docs = spark.createDataFrame(rows, columns)
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(5, "some words that are here", "x")], "item_id long, text string, doc_id string")

@@ -183,12 +183,14 @@ def test_language_models(spark, edges, empty):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     m = lmscore.learn(docs, spark.createDataFrame([(1,)], "doc_id long"))
     got = {x.doc_id: x for x in lmscore.score(docs, m).collect()}
-    v, lam = 5, 0.6  # three words, begin, unknown
-    plain = lambda c, n: (c + 1) / (n + v)
-    t = [lam * 2 / 2 + (1 - lam) * plain(2, 4), lam * 1 / 2 + (1 - lam) * plain(2, 4)]
-    want = -np.mean(np.log([plain(2, 4), t[0], t[1], t[0]]))
-    assert abs(got[1].loss_target - want) < 1e-9
-    assert got[1].score < got[2].score and got[3].n_tokens == 0 and got[4].score is None
+    v, lam, alpha = 5, 0.6, 4 / 7  # three words, begin, unknown; the target has 4 of 7 words
+    plain = lambda c, n, a: (c + a) / (n + a * v)
+    # document 2 is no target: 1's counts; in the background its own are taken off, so that only 1's are left
+    target = [plain(2, 4, alpha), lam * 2 / 2 + (1 - lam) * plain(2, 4, alpha), (1 - lam) * plain(0, 4, alpha)]
+    background = [plain(2, 4, 1), lam * 2 / 2 + (1 - lam) * plain(2, 4, 1), (1 - lam) * plain(0, 4, 1)]
+    assert abs(got[2].loss_target + np.mean(np.log(target))) < 1e-9 and abs(got[2].loss_background + np.mean(np.log(background))) < 1e-9
+    assert abs(got[1].loss_target - np.log(v)) < 1e-9  # without itself the target is empty
+    assert got[3].n_tokens == 0 and got[4].score is None
     assert lmscore.score(edges, lmscore.learn(edges, edges.limit(0))).count() == len(EDGES)
     assert lmscore.score(empty, lmscore.learn(empty, empty)).count() == 0
 
@@ -201,11 +203,6 @@ def test_language_models_count_every_word_and_pair(spark):
     size = len({x for w in texts.values() for x in w}) + 2
     assert size > 1 << 15
 
-    def loss(own, w):
-        one, two, total = own
-        p = [0.4 * (one[b] + 1) / (total + size) + 0.6 * two[a, b] / one[a] if a and one[a] else (one[b] + 1) / (total + size) for a, b in zip([None, *w], w)]
-        return -np.mean(np.log(p))
-
     models = []
     for chosen in (range(20), range(60)):
         one, two = Counter(), Counter()
@@ -213,12 +210,36 @@ def test_language_models_count_every_word_and_pair(spark):
             one.update(texts[i])
             two.update(zip(texts[i], texts[i][1:]))
         models.append((one, two, one.total()))
+
+    def losses(w, less):
+        """Of both models, without what ``less`` says that the document itself has in them."""
+        out = []
+        for (one, two, total), alpha, k in zip(models, (models[0][2] / models[1][2], 1), less):
+            own, pairs = Counter(w * k), Counter(list(zip(w, w[1:])) * k)
+            plain = lambda b: (one[b] - own[b] + alpha) / (total - own.total() + alpha * size)
+            p = [0.4 * plain(b) + 0.6 * (two[a, b] - pairs[a, b]) / (one[a] - own[a]) if a and one[a] > own[a] else plain(b) for a, b in zip([None, *w], w)]
+            out.append(-np.mean(np.log(p)))
+        return out
+
     for i, w in texts.items():
-        want = [loss(m, w) for m in models]
+        want = losses(w, (int(i < 20), 1))
         assert abs(got[i].loss_target - want[0]) < 1e-9 and abs(got[i].loss_background - want[1]) < 1e-9 and got[i].n_tokens == 1500
     other = spark.createDataFrame([(7, "a b never seen")], "doc_id long, text string")
     x = lmscore.score(other, lmscore.learn(docs, docs.where("doc_id < 20"))).first()
-    assert abs(x.loss_target - loss(models[0], "a b never seen".split())) < 1e-9 and abs(x.loss_background - loss(models[1], "a b never seen".split())) < 1e-9
+    want = losses("a b never seen".split(), (0, 0))
+    assert abs(x.loss_target - want[0]) < 1e-9 and abs(x.loss_background - want[1]) < 1e-9
+
+
+def test_copies_score_apart(spark):
+    """A text that stands twice is closer to the corpus without itself than one that stands once."""
+    r = random.Random(14)
+    texts = [words(r, 120) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts[:10])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in lmscore.score(docs, lmscore.learn(docs, docs.where("doc_id in (0, 20, 30)"))).collect()}
+    assert max(got[i].loss_background for i in range(10)) < min(got[i].loss_background for i in range(10, 40)) - 1
+    assert got[100].loss_target < got[101].loss_target - 1  # the copy of a good text is close to the target, other copies not
+    assert abs(got[20].loss_target - got[21].loss_target) < 1  # a good text does not find itself
 
 
 def test_ngram_join(spark, edges, empty):

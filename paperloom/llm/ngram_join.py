@@ -43,6 +43,8 @@ BLOCK_TOKENS, BLOCK_SETS = 1 << 20, 65_000
 SEVERAL = 0xFFFF
 #: Bytes of text that are cut into words at once, and that a range of tokens gathers.
 PIECE, RANGE_BYTES = 1 << 20, 16 << 20
+#: Texts that a task remembers to have sent.
+SENT_TEXTS = 200_000
 #: Rows of a prefix token that go to one task; tokens with more are split. Sets in one tree.
 HOT_ROWS, TREE_SETS, TREE_BYTES = 500, 512, 16 << 20
 
@@ -276,10 +278,18 @@ def chosen_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     words = docs.sparkSession.sparkContext.broadcast(bloom(chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()  # a task sends a text once, so that no text has more rows than tasks
         for batch in batches:
             h = batch.column("h1").to_numpy()
             x = words.value[(h >> 16) % len(words.value)]
-            yield batch.filter(pa.array(((x >> (h & 63)) & (x >> ((h >> 8) & 63)) & 1).astype(bool)))
+            some = batch.filter(pa.array(((x >> (h & 63)) & (x >> ((h >> 8) & 63)) & 1).astype(bool)))
+            fresh = []
+            for key in zip(some.column("h1").to_pylist(), some.column("h2").to_pylist()):
+                fresh.append(key not in sent)
+                sent.add(key)
+            if len(sent) > SENT_TEXTS:
+                sent.clear()
+            yield some.filter(pa.array(fresh, pa.bool_()))
 
     few = docs.where("text is not null").select(*text_keys("h1", "h2"), "text").mapInArrow(tidy(run), "h1 long, h2 long, text string")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

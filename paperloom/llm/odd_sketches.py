@@ -6,12 +6,13 @@ Two documents link when the Jaccard similarity of their sets of two-word shingle
    of 1024. Equal samples of two sets cancel when their bitmaps are XORed, so the bits left, z, tell how many
    samples differ, and with them the similarity: 1 + 1024 / (4 * 256) * ln(1 - 2 z / 1024). Equal sets,
    however many documents have them, go on as one.
-2. 64 bands of 8 samples each make buckets; a pair at 0.8 misses all of them about once in 10,000 times.
+2. 48 bands of 7 samples each make buckets; a pair at 0.8 misses all of them about once in 10,000 times.
 3. In every bucket the set with the least number leads, the others of other components are compared with
    it: first by their odd sketches, of which those four deviations below the limit are ruled out, then on
    full sets. Rounds follow until one finds no link.
-4. Then all pairs of a bucket that still are in different components are compared, by odd sketches and on
-   full sets, so that no link that the buckets hold is lost.
+4. Then all sets of a bucket that still are in different components are compared, so that no link that the
+   buckets hold is lost. What their odd sketches leave goes on as lists, a set with its partners, and meets
+   the full sets in square blocks; only links come out, and of these only what joins two components.
 """
 
 from __future__ import annotations
@@ -30,19 +31,20 @@ from .ngram_join import chosen_texts, dealt, mix, pa_type, shingle_sets, signatu
 WORDS = 2
 #: Similarity of a link, as a fraction.
 NUM, DEN = 80, 100
-SAMPLES, BITS, BANDS, ROWS = 256, 1024, 64, 8
+SAMPLES, BITS, BANDS, ROWS = 256, 1024, 48, 7
 #: Deviations of the estimate of a pair at the limit: of the share of equal samples, and of the bitmap's.
 DEVIATION = float(np.hypot(np.sqrt(NUM / DEN * (1 - NUM / DEN) / SAMPLES), 0.01))
 #: Bits by which the sketches of a pair that is compared on full sets differ at most: those of a pair four
 #: deviations below the limit.
 FAR = int(BITS / 2 * (1 - np.exp(-4 * SAMPLES / BITS * (1 - NUM / DEN + 4 * DEVIATION))))
-#: Shingles hashed at once; pairs of one leader that go to one task; sets that a task remembers as sketched.
-CHUNK, HOT_PAIRS, KNOWN = 256, 500, 100_000
+#: Shingles hashed at once; pairs of one leader that go to one task; sets that a task remembers as sketched;
+#: sets along a side of a block.
+CHUNK, HOT_PAIRS, KNOWN, SIDE = 256, 500, 100_000, 256
 
 _random = np.random.default_rng(12)
 FACTORS = _random.integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
-#: The samples of each band: all are dealt out to bands twice over, in two orders.
-BAND_SAMPLES = np.concatenate([_random.permutation(SAMPLES).reshape(-1, ROWS) for _ in range(BANDS * ROWS // SAMPLES)])
+#: The samples of each band: they are dealt out to bands as often as there is need, each time in another order.
+BAND_SAMPLES = np.concatenate([_random.permutation(SAMPLES)[: SAMPLES // ROWS * ROWS].reshape(-1, ROWS) for _ in range(BANDS * ROWS // SAMPLES + 1)])[:BANDS]
 
 
 def samples(s: np.ndarray) -> np.ndarray:
@@ -159,16 +161,17 @@ def near(n: int, own: bytes, m: list[int], sketches: list[bytes]) -> np.ndarray:
     return differing(own, sketches) <= FAR
 
 
+def links_with(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, in order, link."""
+    place = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    shared = int(np.count_nonzero(a[place] == b))
+    return DEN * shared >= NUM * (len(a) + len(b) - shared)
+
+
 def linking(n: int, own: bytes, m: list[int], sets: list[bytes]) -> np.ndarray:
     """Whether full sets link."""
     mine = np.frombuffer(own, np.uint64)
-    out = np.zeros(len(sets), bool)
-    for k, other in enumerate(sets):
-        s = np.frombuffer(other, np.uint64)
-        place = np.minimum(np.searchsorted(mine, s), len(mine) - 1)
-        shared = int(np.count_nonzero(mine[place] == s))
-        out[k] = DEN * shared >= NUM * (len(mine) + len(s) - shared)
-    return out
+    return np.array([links_with(mine, np.frombuffer(other, np.uint64)) for other in sets], bool)
 
 
 class Sets:
@@ -184,9 +187,9 @@ class Sets:
             out = out.unionByName(more)
         return out
 
-    def of(self, pairs: DataFrame) -> DataFrame:
-        """sig, n, data of all sets that are in ``pairs``, and maybe others."""
-        asked = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    def of(self, asked: DataFrame) -> DataFrame:
+        """sig, n, data of all sets that are in ``asked`` (sig), and maybe others."""
+        asked = asked.distinct()
         if self.parts:
             asked = asked.join(self.all().select("sig"), "sig", "left_anti")
         chosen = stored(self.texts.join(asked, "sig", "left_semi"), "odd-chosen")
@@ -209,46 +212,116 @@ class Sets:
 
 
 def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's sets in different components whose sketches are near. Rows are sorted by (token,
-    part, other, own): first a part of the rows outside the bucket's largest component, which are held; then
-    a part of all its rows, which are only read against them."""
-    names = ("sig", "component", "n", "sketch")
-    key, held = None, None
-    empty = lambda: [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BITS // 64), np.uint64)]
+    """Of a bucket's sets those in different components whose sketches are near, as lists: a set outside the
+    bucket's largest component, and the partners it has in one side of a block.
+
+    Rows are sorted by (token, part, other, own): first a part of the rows outside, which are held; then a part
+    of all its rows, which are only read against them."""
+    names = ("sig", "component", "n", "side")
+    key, top, sides, held, found = None, 0, 1, None, {}
+    empty = lambda: [*(np.zeros(0, np.int64) for _ in names), np.zeros((0, BITS // 64), np.uint64)]
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(found), 1024):
+            some = list(found.items())[a : a + 1024]
+            yield pa.RecordBatch.from_arrays([pa.array([top] * len(some), pa.int64()), pa.array([sides] * len(some), pa.int32()), pa.array([x[0] for x, _ in some]), pa.array([x[1] for x, _ in some], pa.int32()), pa.array([ys for _, ys in some], pa.list_(pa.int64()))], ["top", "sides", "a", "side", "others"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
         token, part, other, own = (batch.column(c).to_numpy() for c in ("token", "part", "other", "own"))
-        sig, component, n = (batch.column(c).to_numpy().astype(np.int64) for c in names[:3])
+        columns = [batch.column(c).to_numpy().astype(np.int64) for c in names]
+        sig, component, n, side = columns
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         begin = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1]) | (other[1:] != other[:-1])])
         for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(token)]):
             if (token[i], part[i], other[i]) != key:
-                key, held = (token[i], part[i], other[i]), empty()
+                yield from out()
+                key, held, found = (token[i], part[i], other[i]), empty(), {}
+                top, sides = batch.column("top")[i].as_py(), batch.column("sides")[i].as_py()
             first = i + int(np.searchsorted(own[i:j], 1))
-            held = [np.concatenate([h, x[i:first]]) for h, x in zip(held, (sig, component, n, sketch))]
+            held = [np.concatenate([h, x[i:first]]) for h, x in zip(held, (*columns, sketch))]
             for k in range(first, j):
                 fit = (held[1] != component[k]) & (DEN * np.minimum(held[2], n[k]) >= NUM * np.maximum(held[2], n[k]))
                 at = np.flatnonzero(fit)
-                at = at[np.bitwise_count(held[3][at] ^ sketch[k]).sum(axis=1) <= FAR] if len(at) else at
-                if len(at):
-                    a, b = np.minimum(held[0][at], sig[k]), np.maximum(held[0][at], sig[k])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                at = at[np.bitwise_count(held[4][at] ^ sketch[k]).sum(axis=1) <= FAR] if len(at) else at
+                for a in held[0][at].tolist():
+                    found.setdefault((a, int(side[k])), []).append(int(sig[k]))
+    yield from out()
 
 
-def crossed(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a bucket's sets in different components whose sketches are near.
-
-    A bucket's rows outside its largest component meet all its rows, part by part."""
+def near_lists(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Lists (top, sides, a, side, others) of all sets that share a bucket, are in different components, and
+    whose sketches are near: ``a`` stands outside the largest component, ``top``, of a bucket where it met the
+    others. These are dealt over ``sides`` sides by their number, about as many as ``top`` fills."""
     sizes = rows.groupBy("token", "component").agg(F.count("*").alias("c"), F.first("salts").alias("salts"))
-    mixed = sizes.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.count("*").alias("k"), F.first("salts").alias("salts")).where("k > 1")
-    both = rows.join(spread_over(mixed.select("token", "top", "salts")), ["token", "salt"]).join(sketches.select("sig", F.col("data").alias("sketch")), "sig")
-    each = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
-    columns = ["token", "sig", "component", "n", "sketch"]
+    mixed = sizes.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("k"), F.first("salts").alias("salts")).where("k > 1")
+    # of all buckets with the same largest component the fullest one tells the sides
+    most = mixed.groupBy("top").agg(F.ceil(F.max("all") / SIDE).cast("int").alias("sides"))
+    found = spread_over(mixed.join(most, "top").select("token", "top", "sides", "salts", F.col("salts").alias("parts")))
+    both = rows.drop("salts").join(found, ["token", "salt"]).join(sketches.select("sig", F.col("data").alias("sketch")), "sig").withColumn("side", F.pmod(F.xxhash64("sig"), "sides").cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    columns = ["token", "sig", "component", "n", "sketch", "top", "sides", "side"]
     own = both.select(*columns, F.col("salt").alias("part"), each.alias("other"), F.lit(1).alias("own"))
     outside = both.where("component <> top").select(*columns, each.alias("part"), F.col("salt").alias("other"), F.lit(0).alias("own"))
     keys = ["token", "part", "other"]
-    return own.unionByName(outside).repartition(*keys).sortWithinPartitions(*keys, "own").mapInArrow(tidy(crossing), "a long, b long").distinct()
+    lists = own.unionByName(outside).repartition(*keys).sortWithinPartitions(*keys, "own").mapInArrow(tidy(crossing), "top long, sides int, a long, side int, others array<long>")
+    return lists.groupBy("top", "a", "side").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+
+
+class Forest(dict):
+    """Components that links have joined so far."""
+
+    def root(self, x: int) -> int:
+        while self.setdefault(x, x) != x:
+            self[x] = self[self[x]]
+            x = self[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        self[self.root(a)] = self.root(b)
+
+
+BLOCK = ["top", "row", "side"]
+
+
+def blocks_of(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lists with the block that each goes to, and the others (sig) that a block needs, once each. A block
+    has about SIDE sets with lists of one ``top``, and one side of the others."""
+    tops = lists.groupBy("top").agg(F.ceil(F.approx_count_distinct("a") / SIDE).cast("int").alias("rows"))
+    placed = lists.join(tops, "top").withColumn("row", F.pmod(F.xxhash64("a"), "rows").cast("int")).drop("rows")
+    others = placed.groupBy(*BLOCK).agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    return placed, others.select(*BLOCK, F.explode("others").alias("sig"))
+
+
+def in_blocks(placed: DataFrame, others: DataFrame, data: DataFrame, components_of: DataFrame) -> DataFrame:
+    """Links (a, b) of full sets among the lists' pairs, enough of them to join all components that any join.
+    ``data`` has sig, n, data; ``components_of`` has sig, component. A set comes to a block once."""
+    full = data.join(components_of, "sig").select("sig", "component", "data")
+    none = F.lit(None).cast("array<long>")
+    held = others.join(full, "sig").select(*BLOCK, F.lit(0).alias("role"), "sig", "component", "data", none.alias("others"))
+    given = placed.withColumnRenamed("a", "sig").join(full, "sig").select(*BLOCK, F.lit(1).alias("role"), "sig", "component", "data", "others")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sets, forest = None, {}, Forest()
+        for batch in batches:
+            for piece in slices(batch, "data"):
+                links: list[tuple[int, int]] = []
+                for top, row, side, role, sig, component, items, partners in zip(*(piece.column(c).to_pylist() for c in (*BLOCK, "role", "sig", "component", "data", "others"))):
+                    if (top, row, side) != key:
+                        key, sets, forest = (top, row, side), {}, Forest()
+                    if role == 0:
+                        sets[sig] = (component, items)
+                        continue
+                    mine = np.frombuffer(items, np.uint64)
+                    for other in partners:
+                        its, data = sets[other]
+                        if forest.root(component) != forest.root(its) and links_with(mine, np.frombuffer(data, np.uint64)):
+                            forest.join(component, its)
+                            links.append((sig, other))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return held.unionByName(given).repartition(*BLOCK).sortWithinPartitions(*BLOCK, "role").mapInArrow(tidy(run), "a long, b long")
 
 
 def set_links(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
@@ -262,7 +335,8 @@ def set_links(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
     def tried(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that link on full sets."""
         close = stored(compared(pairs, sketches, near), "odd-near")
-        found = stored(compared(close, texts.of(close), linking), "odd-links")
+        asked = close.select(F.col("a").alias("sig")).unionByName(close.select(F.col("b").alias("sig")))
+        found = stored(compared(close, texts.of(asked), linking), "odd-links")
         dropped(close)
         made.append(found)
         return found
@@ -279,12 +353,16 @@ def set_links(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
         labels = stored(components(links, "a", "b"), "odd-components")
         made.append(labels)
         named = rows.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    pairs = stored(crossed(named, sketches).join(tested, ["a", "b"], "left_anti"), "odd-pairs")
-    last = tried(pairs)
+    lists = stored(near_lists(named, sketches), "odd-lists")
+    placed, others = blocks_of(lists)
+    others = stored(others, "odd-blocks")
+    full = texts.of(lists.select(F.col("a").alias("sig")).unionByName(others.select("sig")))
+    last = stored(in_blocks(placed, others, full, named.select("sig", "component").distinct()), "odd-links")
+    made += [lists, others, last]
     if not last.isEmpty():
         links = last if links is None else links.unionByName(last)
         labels = stored(components(links, "a", "b"), "odd-components")
-    for old in [pairs, rows, *made]:
+    for old in [rows, *made]:
         if old is not labels:
             dropped(old)
     texts.dropped()
@@ -300,10 +378,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     has no other ids. Extra columns are not read. An empty table gives no rows; very long texts are read in
     pieces.
     """
-    own = stored(sketched(docs), "odd-sketches")
+    wide = stored(sketched(docs), "odd-sketches")
     # one row a set; its number names it from now on
-    one = own.where("buckets is not null").dropDuplicates(["name"])
+    one = wide.where("buckets is not null").dropDuplicates(["name"])
     sets = stored(one.select("name", "h1", "h2", "n", "buckets", F.col("sketch").alias("data"), F.monotonically_increasing_id().alias("sig")), "odd-sets-named")
+    own = stored(wide.select("doc_id", "n", "name"), "odd-documents")
+    dropped(wide)
     labels = set_links(docs, sets)
     least = own.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     least = least.join(sets.select("name", "sig"), "name")

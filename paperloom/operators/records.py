@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Files that can be imported.
@@ -70,6 +70,30 @@ def ranked(views: DataFrame, found: DataFrame) -> DataFrame:
     return two.select(*views.columns, F.coalesce("full", "short")["zone"].alias("zone"))
 
 
+def ranked_each(views: DataFrame, found: DataFrame) -> DataFrame:
+    """As ``ranked``, for one view at a time: a journal that was looked up in vain leaves its abbreviation too."""
+    return ranked(views, found.where("zone is not null"))
+
+
+def rankings_read(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """Rankings of JSON files in folders ``key=...``: key, journal_norm, journal, zone, is_top, is_oa.
+
+    A file is an array of entries; a missing zone is 4, missing flags are false, and so are values of other
+    kinds. Of entries with the same normal form the first of its file counts; those without one are left out,
+    and so are files that are no JSON array. A file is read whole, as one row."""
+    from ..functions.text import normalize_journal
+    from .store import first_wins
+
+    entry = lambda name, kind: F.try_variant_get("entry", f"$.{name}", kind)
+    strict = lambda name, kind, sample: F.when(F.schema_of_variant(F.try_variant_get("entry", f"$.{name}", "variant")) == sample, entry(name, kind))
+    files = spark.read.schema(f"value string, {key} string").text(folder, wholetext=True)
+    rows = files.select(key, F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("ordinal", "entry"))
+    flags = [F.coalesce(strict(c, "boolean", "BOOLEAN"), F.lit(False)).alias(c) for c in ("is_top", "is_oa")]
+    rows = rows.select(key, "ordinal", F.coalesce(strict("journal", "string", "STRING"), F.lit("")).alias("journal"), F.coalesce(strict("zone", "int", "BIGINT"), F.lit(4)).alias("zone"), *flags)
+    normal = rows.withColumn("journal_norm", normalize_journal(F.col("journal"))).where("journal_norm <> ''")
+    return first_wins(normal, [key, "journal_norm"], "ordinal").select(key, "journal_norm", "journal", "zone", "is_top", "is_oa")
+
+
 def titled_sessions(sessions: DataFrame, views: DataFrame) -> DataFrame:
     """Sessions under their paper's title, else its name, else nothing."""
     shown = views.select(F.col("id").alias("paper_id"), F.coalesce(filled_in(F.col("title")), filled_in(F.col("name"))).alias("shown"))
@@ -116,6 +140,22 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     return F.when(size == 0, F.hypot(px - ax, py - ay)).otherwise(F.hypot(px - (ax + t * dx), py - (ay + t * dy)))
 
 
+# Shapes that the stroke eraser passes over, and its reach.
+NO_STROKES, REACH = ["text", "rect", "ellipse", "line"], 0.02
+
+
+def erased(shapes: DataFrame, page: list[str], x: Column, y: Column, reach: float = REACH) -> DataFrame:
+    """Of each page the stroke that an eraser at x, y takes: the topmost one (by ``ord``) that comes nearer than
+    ``reach``. ``shapes`` has the page's columns, ord, kind, points (an array of x, y).
+
+    A stroke of one point is that point; one without points is never met."""
+    p = F.col("points")
+    ends = F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda b, i: segment_distance(x, y, F.get(p, i)["x"], F.get(p, i)["y"], b["x"], b["y"]))
+    lone = F.transform(p, lambda a: F.hypot(a["x"] - x, a["y"] - y))
+    near = F.exists(F.concat(lone, ends), lambda d: d < reach)
+    return shapes.where(~F.col("kind").isin(NO_STROKES) & near).groupBy(*page).agg(F.max("ord").alias("ord"))
+
+
 def crop(xmin: Column, ymin: Column, xmax: Column, ymax: Column, width: int, height: int) -> Column:
     """A region within an image of whole pixels, of one at least: x, y, w, h."""
     clamp = lambda c, low, high: F.least(F.greatest(c, low), high)
@@ -161,6 +201,20 @@ def shown_fields(views: DataFrame, fields: list[str]) -> DataFrame:
     return views.select("id", F.explode(F.filter(some, lambda x: F.regexp_replace(x["value"], r"\p{IsWhite_Space}", "") != "")).alias("x")).select("id", "x.field", "x.value")
 
 
+# Fixed value: the title of a reference without any.
+UNTITLED = "未知标题"
+
+
+def displayed(references: DataFrame) -> DataFrame:
+    """References with the title, journal and authors that are shown: the remote record's (remote_title,
+    remote_journal, remote_authors) if it has them, else their own; without a title the first 80 characters of
+    raw_text."""
+    title = F.coalesce(filled_in(F.col("remote_title")), filled_in(F.col("title")), filled_in(F.substring("raw_text", 1, 80)), F.lit(UNTITLED))
+    authors = F.coalesce(F.when(F.size("remote_authors") > 0, F.col("remote_authors")), F.col("authors"))
+    shown = {"title": title, "journal": F.coalesce(filled_in(F.col("remote_journal")), F.col("journal")), "authors": authors}
+    return references.withColumns(shown)
+
+
 def pdf_date(c: Column) -> Column:
     """D:YYYYMMDD... as YYYY-MM-DD; null if it doesn't begin so."""
     d = F.regexp_replace(c, "^D:", "")
@@ -176,8 +230,9 @@ def date_parts(parts: Column) -> Column:
 
 
 def json_array_in(text: Column, schema: str) -> Column:
-    """The JSON array in a text, from its first to its last square bracket; null if there is none."""
-    return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\[.*\]", 0), F.lit("")), schema)
+    """The JSON array in a text, from its first to its last square bracket; null if there is none, or if that
+    is no JSON array."""
+    return F.try_variant_get(F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)\[.*\]", 0), F.lit(""))), "$", schema)
 
 
 def cache_key(path: Column, page: Column, threshold: Column) -> Column:

@@ -158,10 +158,13 @@ def _(s, d):
     return records.to_parse(f, f.where("p_partkey % 15 = 0")).select("p_partkey")
 
 
-@query("image_sniff", "SELECT p_partkey, ['png', 'jpeg', 'raw', 'raw'][p_partkey % 4 + 1] AS format FROM part")
+@query("image_sniff", """WITH f AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '89504e47' WHEN 1 THEN 'ffd8' WHEN 2 THEN '00ffd8' WHEN 3 THEN '8950' ELSE '' END || substr(lower(hex(encode(substr(text, 1, 6)))), 1, CAST(doc_id % 7 * 2 AS BIGINT)) AS h FROM documents)
+SELECT doc_id, CASE WHEN length(h) >= 16 AND starts_with(h, '89504e47') THEN 'png' WHEN starts_with(h, 'ffd8') THEN 'jpeg' ELSE 'raw' END AS format FROM f""")
 def _(s, d):
-    heads = F.array(*[F.unhex(F.lit(x)) for x in ("89504E470D0A1A0A", "FFD8FFE000", "00FFD8FF", "89504E47")])
-    return read(s, d, "part").select("p_partkey", records.image_format(F.get(heads, (F.col("p_partkey") % 4).cast("int"))).alias("format"))
+    k = F.col("doc_id") % 5
+    head = F.when(k == 0, "89504e47").when(k == 1, "ffd8").when(k == 2, "00ffd8").when(k == 3, "8950").otherwise("")
+    more = F.substring(F.lower(F.hex(F.encode(F.substring("text", 1, 6), "UTF-8"))), F.lit(1), (F.col("doc_id") % 7 * 2).cast("int"))
+    return read(s, d, "documents").select("doc_id", records.image_format(F.unhex(F.concat(head, more))).alias("format"))
 
 
 @query("document_info", "SELECT item_id, nullif(CASE WHEN item_id % 2 = 0 THEN text ELSE '' END, '') AS title, nullif('', '') AS author, CAST(strlen(text) AS BIGINT) AS size FROM benchmark")
@@ -200,6 +203,11 @@ def _(s, d):
     return records.ranked(*views_found(s, d)).select("id", "zone")
 
 
+@query("paper_ranking_each", LOOKED + "SELECT id, coalesce(a.zone, b.zone) AS zone FROM v LEFT JOIN found a ON a.journal = v.journal LEFT JOIN found b ON b.journal = v.journal_abbrev")
+def _(s, d):
+    return records.ranked_each(*views_found(s, d)).select("id", "zone")
+
+
 @query("journals_to_look_up", LOOKED + "SELECT j AS journal FROM (SELECT journal AS j FROM v UNION SELECT journal_abbrev FROM v) WHERE j <> '' AND j NOT IN (SELECT journal FROM found)")
 def _(s, d):
     return records.journals_to_look_up(*views_found(s, d))
@@ -275,10 +283,19 @@ def _(s, d):
     return shapes(s, d).where(records.degenerate(F.struct("kind", "x0", "y0", "x1", "y1"))).select("shape_id")
 
 
-@query("eraser_hits", SHAPES + ", m AS (SELECT *, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) AS l FROM sh), t AS (SELECT *, greatest(0.0, least(1.0, ((0.3 - x0) * (x1 - x0) + (0.4 - y0) * (y1 - y0)) / nullif(l, 0))) AS t FROM m) SELECT shape_id FROM t WHERE CASE WHEN l = 0 THEN sqrt((0.3 - x0) ** 2 + (0.4 - y0) ** 2) ELSE sqrt((0.3 - (x0 + t * (x1 - x0))) ** 2 + (0.4 - (y0 + t * (y1 - y0))) ** 2) END < 0.02")
+STROKES = """WITH q AS (SELECT l_orderkey, l_linenumber, ['pen', 'rect', 'marker', 'line', 'pen', 'text', 'marker'][l_linenumber] AS kind, l_discount * 8 AS x0, l_tax * 10 AS y0, l_quantity / 50 AS x1, 1 - l_quantity / 60 AS y1 FROM lineitem),
+s AS (SELECT *, unnest(range(3)) AS i FROM q), g AS (SELECT *, CASE i WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE 0.5 END AS ax, CASE i WHEN 0 THEN y0 WHEN 1 THEN y1 ELSE 0.5 END AS ay, CASE i WHEN 0 THEN x1 ELSE 0.5 END AS ex, CASE i WHEN 0 THEN y1 ELSE 0.5 END AS ey FROM s),
+t AS (SELECT *, coalesce(greatest(0.0, least(1.0, ((0.3 - ax) * (ex - ax) + (0.4 - ay) * (ey - ay)) / nullif((ex - ax) ** 2 + (ey - ay) ** 2, 0))), 0) AS t FROM g)
+SELECT l_orderkey, max(l_linenumber) AS ord FROM t WHERE kind IN ('pen', 'marker') AND sqrt((0.3 - (ax + t * (ex - ax))) ** 2 + (0.4 - (ay + t * (ey - ay))) ** 2) < 0.02 GROUP BY l_orderkey"""
+
+
+@query("eraser_hits", STROKES)
 def _(s, d):
-    distance = records.segment_distance(F.lit(0.3), F.lit(0.4), *(F.col(c) for c in ("x0", "y0", "x1", "y1")))
-    return shapes(s, d).where(distance < 0.02).select("shape_id")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    points = F.array(point(F.col("l_discount") * 8, F.col("l_tax") * 10), point(F.col("l_quantity") / 50, 1 - F.col("l_quantity") / 60), point(F.lit(0.5), F.lit(0.5)))
+    kind = F.get(F.array(*[F.lit(x) for x in ("pen", "rect", "marker", "line", "pen", "text", "marker")]), F.col("l_linenumber") - 1)
+    strokes = read(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("ord"), kind.alias("kind"), points.alias("points"))
+    return records.erased(strokes, ["l_orderkey"], F.lit(0.3), F.lit(0.4))
 
 
 @query("crop_regions", SHAPES + """, p AS (SELECT shape_id, x0 * 2000 - 200 AS xmin, y0 * 2000 - 200 AS ymin, x1 * 2000 AS xmax, y1 * 2000 AS ymax FROM sh),
@@ -357,11 +374,15 @@ def _(s, d):
     return read(s, d, "part").where(F.concat_ws("\x01", F.lower("p_name"), F.lower("p_type"), F.lower("p_brand")).contains("wid")).select("p_partkey")
 
 
-@query("reference_display", "SELECT l_orderkey, l_linenumber, coalesce(nullif(CASE WHEN l_linenumber = 1 THEN l_shipmode ELSE '' END, ''), CASE WHEN l_linenumber = 2 THEN l_returnflag END, CASE WHEN l_linenumber < 5 THEN substr(repeat(l_linestatus, 100), 1, 80) END, '未知标题') AS title, coalesce(nullif(CASE WHEN l_linenumber = 1 THEN '' END, ''), l_linestatus) AS journal FROM (SELECT *, l_linestatus || l_returnflag AS l_shipmode FROM (SELECT l_orderkey, l_linenumber, l_linestatus, l_returnflag FROM lineitem))")
+@query("reference_display", """WITH r AS (SELECT l_orderkey, l_linenumber AS n, l_linestatus AS s, l_returnflag AS f FROM lineitem) SELECT l_orderkey, n AS l_linenumber, coalesce(CASE WHEN n = 1 THEN s || f END, CASE WHEN n = 2 THEN f END, CASE WHEN n < 5 THEN substr(repeat(s, 100), 1, 80) END, '未知标题') AS title, s AS journal,
+  CASE WHEN n % 3 = 0 THEN ['R ' || s] WHEN n % 3 = 1 THEN [s, f] END AS authors FROM r""")
 def _(s, d):
-    n = F.col("l_linenumber")
-    title = F.coalesce(records.filled_in(F.when(n == 1, F.concat("l_linestatus", "l_returnflag")).otherwise("")), F.when(n == 2, F.col("l_returnflag")), F.substring(F.when(n < 5, F.repeat("l_linestatus", 100)), 1, 80), F.lit("未知标题"))
-    return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", title.alias("title"), F.coalesce(records.filled_in(F.when(n == 1, "")), F.col("l_linestatus")).alias("journal"))
+    n, status, flag = F.col("l_linenumber"), F.col("l_linestatus"), F.col("l_returnflag")
+    refs = read(s, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(n == 1, F.concat(status, flag)).otherwise("").alias("remote_title"), F.when(n == 2, flag).alias("title"), F.when(n < 5, F.repeat(status, F.lit(100))).alias("raw_text"), F.when(n == 1, "").alias("remote_journal"), status.alias("journal"),
+        F.when(n % 3 == 0, F.array(F.concat(F.lit("R "), status))).when(n % 3 == 1, F.array().cast("array<string>")).alias("remote_authors"), F.when(n % 3 < 2, F.array(status, flag)).alias("authors"),
+    )
+    return records.displayed(refs).select("l_orderkey", "l_linenumber", "title", "journal", "authors")
 
 
 @query("references_to_refresh", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'R' OR CASE WHEN l_linenumber > 2 THEN l_linestatus END IS NULL")
@@ -400,10 +421,13 @@ def _(s, d):
     return above_threshold(read(s, d, "lineitem").withColumn("score", F.col("l_discount") * 10), 0.5).select("l_orderkey", "l_linenumber")
 
 
-@query("json_array_in_text", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE [event_id % 7, 5] END AS found FROM events")
+@query("json_array_in_text", """WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || '[' || n_chars || ', ' || doc_id || ']' || lang WHEN 1 THEN '[[' || doc_id || '] ' || lang WHEN 2 THEN ']' || lang || '[' ELSE 'x [] y' END AS t FROM documents WHERE NOT contains(text, '[') AND NOT contains(text, ']'))
+SELECT doc_id, TRY_CAST(nullif(regexp_extract(t, '(?s)\\[.*\\]'), '') AS BIGINT[]) AS found FROM t""")
 def _(s, d):
-    t = F.when(F.col("event_id") % 3 == 0, "no array here").otherwise(F.concat(F.lit("Sure:\n["), (F.col("event_id") % 7).cast("string"), F.lit(",\n 5] done")))
-    return read(s, d, "events").select("event_id", records.json_array_in(t, "array<long>").alias("found"))
+    k, t, n = F.col("doc_id"), F.col("text"), F.col("n_chars").cast("string")
+    no = k.cast("string")
+    said = F.when(k % 4 == 0, F.concat(t, F.lit("["), n, F.lit(", "), no, F.lit("]"), "lang")).when(k % 4 == 1, F.concat(F.lit("[["), no, F.lit("] "), "lang")).when(k % 4 == 2, F.concat(F.lit("]"), "lang", F.lit("["))).otherwise("x [] y")
+    return read(s, d, "documents").where(~t.contains("[") & ~t.contains("]")).select("doc_id", records.json_array_in(said, "array<long>").alias("found"))
 
 
 # --- reconciliation -------------------------------------------------------------------------------
@@ -456,6 +480,17 @@ def _(s, d):
     return read(s, d, "benchmark").select("item_id", x.alias("x")).select("item_id", *[f"x.{c}" for c in ("doi", "volume", "issue", "pages", "url", "date")])
 
 
+ABSTRACTS = """WITH t AS (SELECT item_id, item_id % 4 AS m, text, CASE item_id % 4 WHEN 0 THEN 'Title' || chr(10) || 'ABSTRACT: ' || chr(10) || text || chr(10) || 'Key words a; b' WHEN 1 THEN '摘 要：' || text || chr(10) || '1 . Start' WHEN 2 THEN 'Abstract ' || text || chr(10) ELSE 'abstract of it ' || repeat(text || ' ', 30) || chr(10) || 'Introduction' END AS t FROM benchmark)
+SELECT item_id, CASE WHEN length(a) BETWEEN 20 AND 800 THEN regexp_replace(trim(a), '\\s+', ' ', 'g') END AS abstract FROM (SELECT item_id, CASE WHEN m = 3 THEN NULL ELSE text END AS a FROM t)"""
+
+
+@query("first_page_abstract", ABSTRACTS)
+def _(s, d):
+    m, t = F.col("item_id") % 4, F.col("text")
+    page = F.when(m == 0, F.concat(F.lit("Title\nABSTRACT: \n"), t, F.lit("\nKey words a; b"))).when(m == 1, F.concat(F.lit("摘 要："), t, F.lit("\n1 . Start"))).when(m == 2, F.concat(F.lit("Abstract "), t, F.lit("\n"))).otherwise(F.concat(F.lit("abstract of it "), F.repeat(F.concat(t, F.lit(" ")), F.lit(30)), F.lit("\nIntroduction")))
+    return read(s, d, "benchmark").select("item_id", metadata.first_page_facts(page)["abstract"].alias("abstract"))
+
+
 @query("first_page_fill", PAPERS + """, o AS (SELECT id, CASE WHEN id % 4 < 2 THEN '10.1/own' WHEN id % 4 = 2 THEN '' END AS doi, CASE WHEN id % 3 = 0 THEN 'own' WHEN id % 3 = 1 THEN '' END AS volume, CASE WHEN id % 5 <> 0 THEN 'a' ELSE '' END AS abstract FROM p), l AS (SELECT *, coalesce(doi, '') = '' OR abstract = '' AS look FROM o)
 SELECT id, CASE WHEN coalesce(doi, '') = '' THEN '10.1234/page' ELSE doi END AS doi, CASE WHEN coalesce(volume, '') = '' AND look THEN CAST(id % 90 AS VARCHAR) ELSE volume END AS volume, '1' AS issue FROM l""")
 def _(s, d):

@@ -110,14 +110,17 @@ def _(s, d):
     return c.select("p_partkey", x.alias("x")).select("p_partkey", "x.*")
 
 
-@query("word_parts", "SELECT p_partkey, list_prepend(p_name || ' ', ['论 a', '文', '织 ' || p_partkey]) AS parts FROM part")
+@query("word_parts", """WITH t AS (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, 'e', '织', 'g') ELSE '论' || text || '文' END, '[\\r\\n]+', '', 'g') AS t FROM documents)
+SELECT doc_id, string_split(regexp_replace(regexp_replace(t, '([一-龥])', chr(1) || '\\1', 'g'), '^' || chr(1), ''), chr(1)) AS parts FROM t""")
 def _(s, d):
-    return read(s, d, "part").select("p_partkey", remote.word_parts(F.concat("p_name", F.lit("\n 论 a文\r\n织 "), F.col("p_partkey").cast("string"))).alias("parts"))
+    t = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", "e", "织")).otherwise(F.concat(F.lit("论"), "text", F.lit("文")))
+    return read(s, d, "documents").select("doc_id", remote.word_parts(t).alias("parts"))
 
 
-@query("sentence_split", "SELECT p_partkey, ['Looms weave.', '\"Do they?\"', 'Yes, e.g. ' || p_name || '!', '3 of them.'] AS sentences FROM part")
+@query("sentence_split", """WITH t AS (SELECT doc_id, regexp_replace(text || ' "Do they?" Yes, e.g. ' || source || '! 3 of them.', '[\\r\\n]+', '', 'g') AS t FROM documents)
+SELECT doc_id, list_filter(string_split(regexp_replace(t, '([.!?。！？]["''”’)\\]]?)\\s+(["''“‘(\\[]?[\\p{Lu}\\p{N}])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: x <> '') AS sentences FROM t""")
 def _(s, d):
-    return read(s, d, "part").select("p_partkey", remote.sentences(F.concat(F.lit('Looms weave. "Do they?" Yes, e.g. '), "p_name", F.lit("! \n3 of them."))).alias("sentences"))
+    return read(s, d, "documents").select("doc_id", remote.sentences(F.concat("text", F.lit(' "Do they?" Yes, e.g. '), "source", F.lit("! 3 of them."))).alias("sentences"))
 
 
 @query("settled_saves", "SELECT event_id FROM (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS after FROM events) WHERE after IS NULL OR after - ts > INTERVAL 2 HOURS")

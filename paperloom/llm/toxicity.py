@@ -4,7 +4,11 @@ A tagger maps every token to a class. Five small transducers read the classes, e
 before writes: negation and reported speech mark what they cover, target marks what is aimed at
 somebody, insult and threat turn what they find into weights. They are composed once, by product
 construction, into a single transition table; a clause is then one walk. An insult that is aimed
-weighs more than one that stands alone, and a threat weighs only if it is aimed.
+weighs more than one that stands alone: at somebody addressed, before it or shortly after, or at a third person
+of whom it is said ("he is ..."). A threat weighs only with an object that is addressed ("... you").
+
+Clauses end with a sentence's mark or a paragraph, which ends at an empty line; a line's end is no more than
+a space. Quotations stand between two marks of one kind in a paragraph; single marks are none.
 """
 
 from __future__ import annotations
@@ -21,24 +25,33 @@ from pyspark.sql import functions as F
 
 from .common import bucket_of, mapped, sampled_labels, sigmoid, slices, stored, table, tidy
 
-TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n\"«»“”„]")
+#: Stands for either mark of a quotation whose marks belong together.
+MARK = "\ue000"
+TOKEN = re.compile(rf"[^\W\d_]+|[.!?;{MARK}]|\n[ \t\r]*\n")
+EMPTY_LINE = re.compile(r"\n[ \t\r]*\n")
+QUOTATION = re.compile(r"""(?<!\w)"(?=\S)[^"]*(?<=\S)"(?!\w)|«[^«»]*»|»[^«»]*«|“[^“”„]*”|„[^“”„]*[“”]|‘[^‘]*?’(?!\w)""")
+ANY_QUOTE = re.compile('["«»“„‘]')
 
 # Token classes. END ends a clause, BREAK a paragraph and with it any quotation.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END, BREAK = range(9)
-CLASSES = 9
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END, BREAK, OBJECT, THIRD, COPULA = range(12)
+CLASSES = 12
 #: Marks added by the transducers: the class is negated, reported, aimed at somebody.
 NEGATED, REPORTED, AIMED = 16, 32, 64
 
 # Seed words of the grammar, in English, German, French and Spanish.
 SEED_INSULTS = "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting imbecile dumb dummkopf abschaum trottel versager idiote crétin imbécile minable basura escoria estúpido imbécil".split()
 SEED_THREATS = "kill hurt destroy stab shoot strangle burn beat murder punish töten umbringen verletzen erschießen tuer frapper détruire égorger matar golpear destruir apuñalar".split()
-TARGETS = "you your yours yourself u du dich dir dein deine ihr euch tu te toi ton ta vous votre usted ustedes vosotros ti tú him her them they".split()
+TARGETS = "you your yours yourself u du dein deine ihr tu toi ton ta votre usted ustedes vosotros ti tú".split()
+OBJECTS = "dich dir euch te vous os".split()
+THIRD_PERSONS = "he she they er sie il elle ils elles él ella ellos ellas".split()
+COPULAS = "is are was were s re ist sind war waren est sont était étaient es son era eran".split()
 NEGATIONS = "not no never nor isn aren wasn don doesn didn won nicht kein keine niemals pas jamais aucun ni nunca jamás tampoco".split()
 REPORTS = "said says claimed claims reported quoted wrote writes called alleged according sagte behauptete schrieb zitierte laut dit affirma écrit selon dijo afirmó escribió según".split()
 #: Lengths of the word beginnings that can be learned.
 STEMS = range(4, 10)
 ENDS = ".!?;"
-QUOTES = "\"«»“”„"
+#: Tokens over which an address, or an insult or threat before it, reaches.
+AIM, AFTER = 6, 3
 
 
 @dataclass
@@ -104,32 +117,41 @@ def reported() -> Transducer:
 
 
 def target() -> Transducer:
-    """Marks insults and threats after somebody was named or addressed in the clause."""
+    """Marks insults within AIM tokens after somebody was addressed, or a third person named and what they are
+    ("they are"), and threats right after an addressed object ("vais te tuer").
+
+    States up to AIM count down; then a third person was the last word, or an object was."""
+    third, just = AIM + 1, AIM + 2
 
     def step(state: int, c: int) -> tuple[int, int, float]:
         kind = c & 15
         if kind in (END, BREAK):
             return 0, c, 0.0
-        if kind == TARGET:
-            return 1, c, 0.0
-        return state, c | AIMED if state and kind in (INSULT, THREAT) else c, 0.0
+        if kind in (TARGET, OBJECT):
+            return (just if kind == OBJECT else AIM), c, 0.0
+        if kind == THIRD:
+            return third, c, 0.0
+        if kind == COPULA and state == third:
+            return AIM, c, 0.0
+        aimed = kind == INSULT and state not in (0, third) or kind == THREAT and state == just
+        return (0 if state == third else AIM if state == just else max(0, state - 1)), c | AIMED if aimed else c, 0.0
 
     return Transducer(step)
 
 
 def weigher(kind: int, alone: float, aimed: float) -> Transducer:
-    """Weighs words of ``kind``. One that stands alone waits (state 1) for a target, which brings the rest."""
+    """Weighs words of ``kind``. One that stands alone waits AFTER tokens for somebody addressed, who brings the rest."""
 
     def step(state: int, c: int) -> tuple[int, int, float]:
         if c & 15 in (END, BREAK):
             return 0, c, 0.0
-        if c & 15 == TARGET:
-            return 0, c, (aimed - alone) * state
+        if c & 15 in (TARGET, OBJECT):
+            return 0, c, (aimed - alone) if state else 0.0
         if c & 15 != kind:
-            return state, c, 0.0
+            return max(0, state - 1), c, 0.0
         factor = (0.3 if c & NEGATED else 1.0) * (0.5 if c & REPORTED else 1.0)
         waits = factor == 1 and not c & AIMED
-        return 1 if waits else state, c, factor * (aimed if c & AIMED else alone)
+        return AFTER if waits else max(0, state - 1), c, factor * (aimed if c & AIMED else alone)
 
     return Transducer(step)
 
@@ -163,8 +185,8 @@ class ToxicityModel:
     rows: list[list[tuple[int, float]]] = field(default_factory=grammar)
 
     def __post_init__(self) -> None:
-        self.fixed = {w: (c, 1.0) for c, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, SEED_THREATS)) for w in ws}
-        self.fixed |= {c: (END, 0.0) for c in ENDS} | {c: (QUOTE, 0.0) for c in QUOTES} | {"\n": (BREAK, 0.0)}
+        self.fixed = {w: (c, 1.0) for c, ws in ((COPULA, COPULAS), (THIRD, THIRD_PERSONS), (OBJECT, OBJECTS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, SEED_THREATS)) for w in ws}
+        self.fixed |= {c: (END, 0.0) for c in ENDS} | {MARK: (QUOTE, 0.0)}
         #: Where a clause begins that stands between quotation marks.
         self.quoted = self.rows[self.rows[0][QUOTE][0]][END][0]
         self.tags = Tags(self)
@@ -172,12 +194,14 @@ class ToxicityModel:
     def classed(self, token: str) -> tuple[int, float]:
         if token in self.fixed:
             return self.fixed[token]
+        if token[0] == "\n":
+            return BREAK, 0.0
         w = max([self.words.get(token, 0.0), *(self.stems.get(token[:k], 0.0) for k in STEMS if len(token) > k)])
         return (INSULT, w) if w > 0 else (OTHER, 0.0)
 
     def clauses(self, text: str) -> list[float]:
         """The scores above 0 of the text's clauses."""
-        tokens = TOKEN.findall(text.lower())
+        tokens = TOKEN.findall(marked(text.lower()))
         if len(self.tags) > 100_000:
             self.tags.clear()
         codes = bytes(map(self.tags.__getitem__, tokens))
@@ -207,6 +231,15 @@ class ToxicityModel:
         return sigmoid(b + top * features[:, 0] + whole * features[:, 1])
 
 
+def marked(text: str) -> str:
+    """The text with MARK for each of the two marks of a quotation; other quotation marks go for nothing."""
+    if ANY_QUOTE.search(text) is None:
+        return text
+    inner = lambda m: MARK + m[0][1:-1] + MARK
+    ends = [m.end() for m in EMPTY_LINE.finditer(text)]
+    return "".join(QUOTATION.sub(inner, text[a:b]) for a, b in zip([0, *ends], [*ends, len(text)]))
+
+
 HOT, STOP = re.compile(bytes([91, INSULT, THREAT, 93])), re.compile(bytes([91, END, BREAK, 93]))
 
 

@@ -82,8 +82,13 @@ def test_toxicity_of_clauses():
     assert max(map(score, ("idiot", "the idiot table", "you are not an idiot", "kill time", 'he said: "you are an idiot"'))) < 0.7
     assert min(map(score, ("you are an idiot", "idiot, you", "I will kill you"))) > 0.7
     # a quotation goes on over sentences, up to the paragraph's end
-    told, after = m.clauses('"Go. You are an idiot. Stop" he said'), m.clauses('"Go.\nYou are an idiot. Stop" he said')
+    told, after = m.clauses('"Go. You are an idiot. Stop" he said'), m.clauses('"Go.\n\nYou are an idiot. Stop" he said')
     assert told[0] == after[0] / 2
+    # a line's end ends no clause, and a mark without its other one hides nothing
+    sure = ("you are an\nidiot", "you\r\nare an idiot", '" you are an idiot', 'a 5" pipe, you are an idiot. I will kill you.', "he is an idiot", "they're idiots and losers, they are such an idiot", "je vais te tuer", "I will hurt your family")
+    assert min(map(score, sure)) > 0.7, [(x, score(x)) for x in sure]
+    calm = ("They met an idiot", "the children told them the idiot won", "they kill and eat them", "you can kill time", "you can beat eggs", "we beat them", "‘you are an idiot’, he said", "« tu es un idiot », dit-il", "„du idiot“ sagte er")
+    assert max(map(score, calm)) < 0.7, [(x, score(x)) for x in calm]
     assert m.clauses('"No," she said. You are an idiot.') == m.clauses("You are an idiot.")
 
 

@@ -127,20 +127,21 @@ def order_keys(data: np.ndarray, order: int) -> np.ndarray:
     return grams(data, order) ^ np.uint32(order << 29)
 
 
-def learn(docs: DataFrame, per_language: int = 1500, spare: int = 16) -> LanguageFilter:
+def learn(docs: DataFrame, per_language: int = 1500, spare: int = 16, language_bytes: int = 16 << 20) -> LanguageFilter:
     """Builds the filter from labelled documents (columns text, lang).
 
-    A bounded sample is read, about ``per_language`` documents of each language, chosen by a
-    hash of the text. All n-grams of the sample enter their language's filter, whose rows are at
+    A bounded sample is read, about ``per_language`` documents of each language or ``language_bytes`` of their
+    text, whichever is less, chosen by a hash of the text; copies of a text count once. All n-grams of the sample enter their language's filter, whose rows are at
     least ``spare`` times the n-grams of the language with most. An empty table gives no languages.
     """
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    known = docs.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    sizes, weight = {r["lang"]: r["n"] for r in known}, {r["lang"]: max(1, r["bytes"]) for r in known}
     if not sizes:
         return LanguageFilter.build({}, 10)
     order = sorted(sizes, key=lambda x: (-sizes[x], x))
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(per_language / sizes[x])) for x in order])
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(per_language / sizes[x], language_bytes / weight[x]))) for x in order])
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "text"])
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         data, offsets = padded(batch.column("text"))

@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from .common import dropped, stored, table
 
 
+#: Neighbours that a node of a local join is told of in a round.
+JOINED = 6
+
+
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
     """Rows (id, vec) whose vector is whole, finite and not zero. Of differing lengths the shorter
     ones are filled up with zeros."""
@@ -98,7 +102,7 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d = q[:, None] + q[None, :] - 2 * y @ y.T
             np.fill_diagonal(d, np.inf)
             d[~(fresh[i:j, None] | fresh[None, i:j])] = np.inf
-            k = min(6, j - i - 1)
+            k = min(JOINED, j - i - 1)
             if k < 1:
                 continue
             near = np.argpartition(d, k - 1, axis=1)[:, :k]
@@ -127,7 +131,11 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_graph(nodes: DataFrame, k: int = 24, still: float = 0.1, projections: int = 8, reach: int = 4, seed: int = 5) -> DataFrame:
     """The neighbour graph: node, nbr, d; ``k`` neighbours a node (all others, if fewer). The rounds
-    end when one brings less than ``still`` of all neighbours anew."""
+    end when one brings less than ``still`` of all neighbours anew.
+
+    The graph is approximate by its method: a round compares all of a node's neighbours, its own ``k`` and the
+    ``k // 2`` nearest that have it as theirs, and passes on to each of them the 6 nearest of these (JOINED).
+    The search looks at edges both ways, whatever their number."""
     graph = stored(nearest(projected_edges(nodes, projections, reach, seed), k).withColumn("born", F.lit(0)), "graph")
     short = nodes.select(F.col("node").alias("v"), F.col("vec").cast("array<float>").alias("vec"))
     own = nodes.select(F.col("node").alias("w"), F.col("node").alias("v"), F.lit(0).alias("born"))
@@ -148,11 +156,23 @@ def build_graph(nodes: DataFrame, k: int = 24, still: float = 0.1, projections:
             return graph
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows. Where squares leave the range of a double, components are scaled first."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = np.sqrt(((a - b) ** 2).sum(axis=1))
+        for i in np.flatnonzero(~np.isfinite(d) | (d == 0)):
+            gap = a[i] - b[i]
+            most = np.abs(gap).max()
+            if most and np.isfinite(most):
+                d[i] = most * np.sqrt(((gap / most) ** 2).sum())
+    return d
+
+
 def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The Euclidean distance of qvec and vec of every row."""
     for batch in batches:
         if batch.num_rows:
-            d = np.sqrt(((matrix(batch.column("qvec")) - matrix(batch.column("vec"))) ** 2).sum(axis=1))
+            d = distances(matrix(batch.column("qvec")), matrix(batch.column("vec")))
             yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("node"), pa.array(d)], ["qid", "node", "d"])
 
 

@@ -191,15 +191,17 @@ class BagModel:
         return self
 
 
-def learn(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, bound: int = 4000, epochs: int = 6, hidden: int = 24, gate: int = 12) -> BagModel | None:
-    """Fits the model on at most ``bound`` labelled documents, whole ones; None without both labels."""
+def learn(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, bound: int = 4000, epochs: int = 6, hidden: int = 24, gate: int = 12, passages: int = 64) -> BagModel | None:
+    """Fits the model on at most ``bound`` labelled documents, and of each on at most ``passages`` passages, spread
+    evenly over its whole text, so that what the driver gathers is bounded; None without both labels."""
     chosen = F.broadcast(sampled_labels(labels, "quality", fold, folds, bound))
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.length("text") > 0)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, owner = encode(*utf8(batch.column("text")))
         x = x.astype(np.float16)
-        bags = [x[a:b].tobytes() for a, b in zip(np.searchsorted(owner, np.arange(batch.num_rows)), np.searchsorted(owner, np.arange(batch.num_rows), side="right"))]
+        ends = [np.searchsorted(owner, np.arange(batch.num_rows), side=side).tolist() for side in ("left", "right")]
+        bags = [x[np.unique(np.linspace(a, b - 1, min(passages, b - a)).astype(np.int64))].tobytes() for a, b in zip(*ends)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(bags, pa.binary())], ["doc_id", "label", "bag"])
 
     rows = mapped(sample, ["doc_id", "text", "label"], run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, bag binary").toPandas()

@@ -8,8 +8,8 @@ Two documents link when the Jaccard similarity of their sets of two-word shingle
    however many documents have them, go on as one.
 2. 48 bands of 7 samples each make buckets; a pair at 0.8 misses all of them about once in 10,000 times.
 3. In every bucket the set with the least number leads, the others of other components are compared with
-   it: first by their odd sketches, of which those four deviations below the limit are ruled out, then on
-   full sets. Rounds follow until one finds no link.
+   it by their odd sketches. A set's nearest two leaders, unless they are four deviations below the limit, are
+   compared with it on full sets. Rounds follow until one finds no link.
 4. Then all sets of a bucket that still are in different components are compared, so that no link that the
    buckets hold is lost. What their odd sketches leave goes on as lists, a set with its partners, and meets
    the full sets in square blocks; only links come out, and of these only what joins two components.
@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, slices, stored, table, text_keys, tidy
@@ -38,8 +38,9 @@ DEVIATION = float(np.hypot(np.sqrt(NUM / DEN * (1 - NUM / DEN) / SAMPLES), 0.01)
 #: deviations below the limit.
 FAR = int(BITS / 2 * (1 - np.exp(-4 * SAMPLES / BITS * (1 - NUM / DEN + 4 * DEVIATION))))
 #: Shingles hashed at once; pairs of one leader that go to one task; sets that a task remembers as sketched;
-#: sets along a side of a block.
-CHUNK, HOT_PAIRS, KNOWN, SIDE = 256, 500, 100_000, 256
+#: sets along a side of a block; leaders that a set is compared with on full sets in a round; parts of a
+#: bucket that are compared at once.
+CHUNK, HOT_PAIRS, KNOWN, SIDE, NEAREST, PARTS = 256, 500, 100_000, 256, 2, 4
 
 _random = np.random.default_rng(12)
 FACTORS = _random.integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,40 +126,38 @@ def led(rows: DataFrame) -> DataFrame:
     return near.select(F.col("l.sig").alias("a"), F.col("sig").alias("b")).distinct()
 
 
-def compared(pairs: DataFrame, data: DataFrame, good: Callable[[int, bytes, list[int], list[bytes]], np.ndarray]) -> DataFrame:
-    """The pairs (a, b) that ``good`` says yes to. ``data`` has sig, n, data. What ``a`` has comes once to its
-    pairs, which are dealt over several tasks where they are many, and is compared as they are read."""
+def compared(pairs: DataFrame, data: DataFrame, far: Callable[[bytes, list[bytes]], np.ndarray], most: int) -> DataFrame:
+    """The pairs (a, b) that ``far`` says are ``most`` apart or less, and how much (z). ``data`` has sig, n, data.
+    What ``a`` has comes once to its pairs, which are dealt over several tasks where they are many, and is
+    compared as they are read."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("c"))
     limit = max(HOT_PAIRS, pairs.count() // 100_000)
     # 100,000 rows at most
     hot = sizes.where(F.col("c") > limit).select("a", F.ceil(F.col("c") / limit).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
     shards = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", part.alias("part"))
-    members = shards.join(data.withColumnRenamed("sig", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "n", "data")
-    probes = shards.select("a", "part").distinct().join(data.withColumnRenamed("sig", "a"), "a").select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"), "n", "data")
+    members = shards.join(data.withColumnRenamed("sig", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "data")
+    probes = shards.select("a", "part").distinct().join(data.withColumnRenamed("sig", "a"), "a").select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"), "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_n, own = 0, b""
+        own = b""
         for batch in batches:
             for piece in slices(batch, "data"):
                 a, part, role = (piece.column(c).to_numpy() for c in ("a", "part", "role"))
-                n, data, b = piece.column("n").to_pylist(), piece.column("data").to_pylist(), piece.column("b")
+                data, b = piece.column("data").to_pylist(), piece.column("b")
                 begin = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (part[1:] != part[:-1])])
-                keep = np.zeros(len(a), bool)
+                z = np.full(len(a), most + 1, np.int64)
                 for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(a)]):
                     if role[i] == 0:
-                        own_n, own = n[i], data[i]
+                        own = data[i]
                         i += 1
                     if i < j:
-                        keep[i:j] = good(own_n, own, n[i:j], data[i:j])
-                yield pa.RecordBatch.from_arrays([piece.column("a").filter(pa.array(keep)), b.filter(pa.array(keep))], ["a", "b"])
+                        z[i:j] = far(own, data[i:j])
+                keep = pa.array(z <= most)
+                yield pa.RecordBatch.from_arrays([piece.column("a").filter(keep), b.filter(keep), pa.array(z).filter(keep)], ["a", "b", "z"])
 
     both = probes.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "role")
-    return both.mapInArrow(tidy(run), "a long, b long")
-
-
-def near(n: int, own: bytes, m: list[int], sketches: list[bytes]) -> np.ndarray:
-    return differing(own, sketches) <= FAR
+    return both.mapInArrow(tidy(run), "a long, b long, z long")
 
 
 def links_with(a: np.ndarray, b: np.ndarray) -> bool:
@@ -168,10 +167,10 @@ def links_with(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * shared >= NUM * (len(a) + len(b) - shared)
 
 
-def linking(n: int, own: bytes, m: list[int], sets: list[bytes]) -> np.ndarray:
-    """Whether full sets link."""
+def unlinked(own: bytes, sets: list[bytes]) -> np.ndarray:
+    """0 for full sets that link, 1 for others."""
     mine = np.frombuffer(own, np.uint64)
-    return np.array([links_with(mine, np.frombuffer(other, np.uint64)) for other in sets], bool)
+    return np.array([not links_with(mine, np.frombuffer(other, np.uint64)) for other in sets], np.int64)
 
 
 class Sets:
@@ -260,10 +259,11 @@ def near_lists(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     most = mixed.groupBy("top").agg(F.ceil(F.max("all") / SIDE).cast("int").alias("sides"))
     found = spread_over(mixed.join(most, "top").select("token", "top", "sides", "salts", F.col("salts").alias("parts")))
     both = rows.drop("salts").join(found, ["token", "salt"]).join(sketches.select("sig", F.col("data").alias("sketch")), "sig").withColumn("side", F.pmod(F.xxhash64("sig"), "sides").cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    each = F.explode(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / PARTS).cast("int")))
+    part = F.floor(F.col("salt") / PARTS).cast("int")
     columns = ["token", "sig", "component", "n", "sketch", "top", "sides", "side"]
-    own = both.select(*columns, F.col("salt").alias("part"), each.alias("other"), F.lit(1).alias("own"))
-    outside = both.where("component <> top").select(*columns, each.alias("part"), F.col("salt").alias("other"), F.lit(0).alias("own"))
+    own = both.select(*columns, part.alias("part"), each.alias("other"), F.lit(1).alias("own"))
+    outside = both.where("component <> top").select(*columns, each.alias("part"), part.alias("other"), F.lit(0).alias("own"))
     keys = ["token", "part", "other"]
     lists = own.unionByName(outside).repartition(*keys).sortWithinPartitions(*keys, "own").mapInArrow(tidy(crossing), "top long, sides int, a long, side int, others array<long>")
     return lists.groupBy("top", "a", "side").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
@@ -332,26 +332,24 @@ def set_links(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
     named, tested, links, labels = rows.withColumn("component", F.col("sig")), None, None, None
     made = []
 
-    def tried(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that link on full sets."""
-        close = stored(compared(pairs, sketches, near), "odd-near")
-        asked = close.select(F.col("a").alias("sig")).unionByName(close.select(F.col("b").alias("sig")))
-        found = stored(compared(close, texts.of(asked), linking), "odd-links")
-        dropped(close)
-        made.append(found)
-        return found
-
     while True:
         pairs = led(named)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "odd-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        made.append(pairs)
-        found = tried(pairs)
+        near = stored(compared(pairs, sketches, differing, FAR).withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("z", "a"))), "odd-near")
+        close = near.where(F.col("r") <= NEAREST).select("a", "b")
+        full = texts.of(close.select(F.col("a").alias("sig")).unionByName(close.select(F.col("b").alias("sig"))))
+        found = stored(compared(close, full, unlinked, 0).select("a", "b"), "odd-links")
+        now = stored(pairs.join(near.where(F.col("r") > NEAREST), ["a", "b"], "left_anti"), "odd-tested")
+        dropped(pairs)
+        dropped(near)
+        made += [found, now]
+        tested = now if tested is None else tested.unionByName(now)
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        labels = stored(components(links, "a", "b"), "odd-components")
-        made.append(labels)
+        old, labels = labels, stored(components(links, "a", "b"), "odd-components")
+        if old is not None:
+            dropped(old)
         named = rows.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     lists = stored(near_lists(named, sketches), "odd-lists")
     placed, others = blocks_of(lists)
@@ -361,10 +359,11 @@ def set_links(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
     made += [lists, others, last]
     if not last.isEmpty():
         links = last if links is None else links.unionByName(last)
-        labels = stored(components(links, "a", "b"), "odd-components")
-    for old in [rows, *made]:
-        if old is not labels:
+        old, labels = labels, stored(components(links, "a", "b"), "odd-components")
+        if old is not None:
             dropped(old)
+    for old in [rows, *made]:
+        dropped(old)
     texts.dropped()
     return labels
 

@@ -19,6 +19,23 @@ FIELDS = {"title": "On  Computable Things", "journal": "J. Test", "date": "2024-
     ("ieee", 'A. Lovelace, and A. M. Turing, "On Computable Things.", J. Test, vol. 5, no. 2, pp. 10-20, 2024, doi: 10.1000/x1.'),
     ("vancouver", "Lovelace A, Turing AM On Computable Things. J. Test. 2024;5(2):10-20 doi: 10.1000/x1."),
     ("din-1505-2", "Lovelace, Ada ; Turing, Alan M.. On Computable Things.. J. Test, Bd. 5 (2024), Nr. 2, S. 10-20. DOI: 10.1000/x1."),
+    ("apa-6th", "Lovelace, A., & Turing, A. M.. (2024). On Computable Things. J. Test, 5(2), 10-20. doi:10.1000/x1."),
+    ("mla-9th", 'Lovelace, Ada, and Turing, Alan M.. "On Computable Things.". J. Test, vol. 5, no. 2, 2024, pp. 10-20. doi:10.1000/x1.'),
+    ("mla-8th", 'Lovelace, Ada, and Turing, Alan M.. "On Computable Things.". J. Test, vol. 5, no. 2, 2024, pp. 10-20. doi:10.1000/x1.'),
+    ("chicago-17th-author-date", 'Lovelace, Ada, and Turing, Alan M.. 2024. "On Computable Things.". J. Test 5, no. 2: 10-20. https://doi.org/10.1000/x1.'),
+    ("chicago-17th-notes", 'A. Lovelace, and A. M. Turing. "On Computable Things.". J. Test 5, no. 2 (2024): 10-20. https://doi.org/10.1000/x1.'),
+    ("turabian-9th", 'A. Lovelace, and A. M. Turing. "On Computable Things.". J. Test 5, no. 2 (2024): 10-20. https://doi.org/10.1000/x1.'),
+    ("harvard", "Lovelace, A. and Turing, A. M.. (2024). 'On Computable Things'. J. Test, 5(2), pp. 10-20. doi: 10.1000/x1."),
+    ("ama-11th", "Lovelace A, Turing AM On Computable Things. J. Test. 2024;5(2):10-20 doi:10.1000/x1."),
+    ("nlm", "Lovelace A, Turing AM On Computable Things. J. Test. 2024;5(2):10-20 doi: 10.1000/x1."),
+    ("acs", "Lovelace, A.; Turing, A. M. On Computable Things. J. Test 2024, 5 (2), 10-20 DOI: 10.1000/x1."),
+    ("aip", 'A. Lovelace, and A. M. Turing, "On Computable Things.", J. Test 5, 2, 10-20 (2024), https://doi.org/10.1000/x1.'),
+    ("aps", "A. Lovelace, and A. M. Turing, On Computable Things., J. Test 5, 2, 10-20 (2024), https://doi.org/10.1000/x1."),
+    ("nature", "Lovelace, A. & Turing, A. M. On Computable Things. J. Test 5, 10-20 (2024) https://doi.org/10.1000/x1."),
+    ("science", "A. Lovelace, A. M. Turing On Computable Things. J. Test 5, 10-20 (2024) doi: 10.1000/x1."),
+    ("cell", "A. Lovelace, and A. M. Turing (2024). On Computable Things. J. Test 5, 2, 10-20 https://doi.org/10.1000/x1."),
+    ("pnas", "A. Lovelace, A. M. Turing (2024) On Computable Things. J. Test 5 (2):10-20 https://doi.org/10.1000/x1."),
+    ("iso-690", "LOVELACE, ADA, TURING, ALAN M.. On Computable Things.. J. Test, 2024, vol. 5, no. 2, p. 10-20. DOI: 10.1000/x1."),
     ("nonsense", "[Unknown style: nonsense]"),
 ])
 def test_citations(spark, style, want):
@@ -26,6 +43,24 @@ def test_citations(spark, style, want):
     assert spark.range(1).select(citations.cite(F.array(*map(F.lit, AUTHORS)), fields, style)).first()[0] == want
 
 
+@pytest.mark.parametrize("style,want", [
+    ("gbt-7714-2015", "SOLO. T[M]. Press, 2021: 7."), ("apa-6th", "Solo. (2021). T. Press. Retrieved from http://u."), ("mla-9th", 'Solo. "T.". Press, 2021. http://u.'), ("chicago-17th-author-date", 'Solo. 2021. "T.". Press.'),
+    ("harvard", "Solo. (2021). 'T'. Press, 2021."), ("vancouver", "Solo T. Press; 2021."), ("ama-11th", "Solo T. Press; 2021."), ("nlm", "Solo T.."), ("acs", "Solo T.."), ("aip", 'Solo, "T.".'), ("cell", "Solo (2021). T.."), ("iso-690", "SOLO. T.. Press, 2021. Available from: http://u."),
+])
+def test_citations_of_books(spark, style, want):
+    fields = {"title": "T", "publisher": "Press", "date": "in 2021", "pages": "7", "url": "http://u", "isbn": "1"}
+    assert spark.range(1).select(citations.cite(F.array(F.lit("Solo")), {k: F.lit(v) for k, v in fields.items()}, style)).first()[0] == want
+
+
+def test_citations_of_many(spark):
+    many = F.array(*[F.lit(f"A{i} B C{i}") for i in range(9)])
+    show = lambda style, out="text": spark.range(1).select(citations.cite(many, {"title": F.lit("T"), "journal": F.lit("J"), "volume": F.lit("5")}, style, out)).first()[0]
+    assert show("apa-6th") == "C0, A. B., C1, A. B., C2, A. B., C3, A. B., C4, A. B., C5, A. B., C6, A. B., et al.. T. J, 5."
+    assert show("mla-9th") == 'C0, A0 B, C1, A1 B, et al.. "T.". J, vol. 5.'
+    assert show("aip") == 'A. B. C0, A. B. C1, A. B. C2, et al., "T.", J 5.'
+    assert show("cell", "html").endswith(', and A. B. C8 (). T. <i>J</i> <i>5</i>.')
+
+
 def test_sessions(spark):
     rows = [("p1", "A", "2026-06-08T14:30:00.000Z", 600), ("p1", "A2", "2026-06-09T01:05:00.000Z", 30), ("p2", "B", "2026-06-08T23:59:58.000Z", 10), ("p2", "B", "bad", 20), ("p3", "C", "2026-06-08T10:00:00.000Z", 4)]
     log = reading.log(spark.createDataFrame(rows, "paper_id string, paper_name string, start_time string, duration_seconds long"))

@@ -13,14 +13,19 @@ THRESHOLD = 0.6
 GRAM = 6
 
 
-def grams(c: str) -> Column:
-    """The distinct runs of 1 to ``GRAM`` characters of a text."""
+def lengths(rows: DataFrame, c: str) -> list[int]:
+    """The lengths of the runs by which these names are found: ``GRAM``, and those of shorter names."""
+    return sorted(r[0] for r in rows.select(F.least(F.length(c), F.lit(GRAM)).alias("n")).where("n > 0").distinct().collect())
+
+
+def grams(c: str, sizes: list[int]) -> Column:
+    """The distinct runs of these lengths of a text."""
 
     def cut(k: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1)))
+        starts = F.when(F.length(c) >= k, F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substring(F.col(c), i, F.lit(k)))
 
-    return F.array_distinct(F.concat(*[cut(k) for k in range(1, GRAM + 1)]))
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *[cut(k) for k in sizes]))
 
 
 def containment(queries: DataFrame, rankings: DataFrame) -> DataFrame:
@@ -28,17 +33,19 @@ def containment(queries: DataFrame, rankings: DataFrame) -> DataFrame:
 
     A name that contains another contains all its runs of ``GRAM`` characters (a shorter one whole), so
     pairs meet at the contained name's run that is rarest among the ranked names, and ``contains``
-    decides. So words that many names have bring no pairs together.
+    decides. So words that many names have bring no pairs together. Of the containing names only runs of
+    the lengths that contained ones have are looked at: mostly ``GRAM`` alone.
     """
     whole = lambda c: F.least(F.length(c), F.lit(GRAM))
-    r = rankings.select("ordinal", "journal_norm")
-    ranked = r.withColumn("k", F.explode(grams("journal_norm")))
+    r, q = rankings.select("ordinal", "journal_norm"), queries.select("name", "norm")
+    of_ranked, of_queries = lengths(r, "journal_norm"), lengths(q, "norm")
+    ranked = r.withColumn("k", F.explode(grams("journal_norm", sorted({*of_ranked, *of_queries}))))
     often = ranked.groupBy("k").agg(F.count("*").alias("often"))
     rarest = lambda rows, keys: rows.join(often, "k").groupBy(*keys).agg(F.min_by("k", F.struct("often", "k")).alias("k"))
     needle = rarest(ranked.where(F.length("k") == whole("journal_norm")), ["ordinal", "journal_norm"])
-    one = queries.select("name", "norm", F.explode(grams("norm")).alias("k")).join(needle, "k").where(F.col("norm").contains(F.col("journal_norm")))
+    one = q.select("name", "norm", F.explode(grams("norm", of_ranked)).alias("k")).join(needle, "k").where(F.col("norm").contains(F.col("journal_norm")))
     # a query with a run that no ranked name has is in none
-    own = queries.select("name", "norm", F.explode(grams("norm")).alias("k")).where(F.length("k") == whole("norm")).join(often, "k", "left")
+    own = q.select("name", "norm", F.explode(grams("norm", of_queries)).alias("k")).where(F.length("k") == whole("norm")).join(often, "k", "left")
     sought = own.groupBy("name", "norm").agg(F.min_by("k", F.struct(F.coalesce("often", F.lit(0)), "k")).alias("k"), F.min(F.coalesce("often", F.lit(0))).alias("least")).where("least > 0")
     two = sought.join(ranked, "k").where(F.col("journal_norm").contains(F.col("norm")))
     best = F.max_by("ordinal", F.struct(F.length("journal_norm"), -F.col("ordinal"))).alias("ordinal")

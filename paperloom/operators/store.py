@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 
 def latest_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Whole-row upsert: of each key the row with the greatest ``order``, nulls in it included."""
@@ -33,34 +34,33 @@ def patch(rows: DataFrame, updates: DataFrame, key: str, allowed: list[str]) ->
     return joined.select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if f"__{c}" in u.columns else F.col(c) for c in rows.columns])
 
 
+class Names:
+    """The names of one family that are taken."""
+
+    def __init__(self) -> None:
+        self.taken: set[str] = set()
+        self.after: dict[str, int] = {}
+
+    def given(self, name: str) -> str:
+        stem, dot, end = name.rpartition(".") if "." in name else (name, "", "")
+        got, k = name, self.after.get(name, 1)
+        while got in self.taken:
+            got, k = f"{stem}_{k}{dot}{end}", k + 1
+        self.after[name] = k
+        self.taken.add(got)
+        return got
+
+
 def numbered_names(rows: DataFrame, name: str, order: str) -> DataFrame:
     """Names in the order of arrival; one that is taken gets the least free _1, _2, ... before its extension.
 
-    Only names of one family, alike but for such endings, can take each other's; a family is one group,
-    walked in order."""
+    Only names of one family, alike but for such endings, can take each other's; a family is walked in
+    order, and what is held of it are the names taken."""
     ext = F.regexp_extract(name, r"(\.[^.]*)$", 1)
     family = F.concat(F.regexp_replace(F.regexp_replace(F.col(name), r"\.[^.]*$", ""), r"(_\d+)+$", ""), ext)
-    alone = F.count("*").over(Window.partitionBy("__family")) == 1
-    marked = rows.withColumn("__family", family).withColumn("__alone", alone)
-
-    def walk(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        after: dict[str, int] = {}
-        part = part.sort_values(order)
-        out = []
-        for x in part[name]:
-            stem, dot, end = x.rpartition(".") if "." in x else (x, "", "")
-            got, k = x, after.get(x, 1)
-            while got in taken:
-                got, k = f"{stem}_{k}{dot}{end}", k + 1
-            after[x] = k
-            taken.add(got)
-            out.append(got)
-        return part.assign(unique_name=out).drop(columns=["__family", "__alone"])
-
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", unique_name string"
-    single = marked.where("__alone").drop("__family", "__alone").withColumn("unique_name", F.col(name))
-    return single.unionByName(marked.where("not __alone").groupBy("__family").applyInPandas(walk, columns))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", unique_name string"
+    columns = rows.columns
+    return folded(rows.withColumn("__family", family), ["__family"], [order], Names, lambda names, row: [(*(row[c] for c in columns), names.given(row[name]))], schema)
 
 
 def within_quota(stored: DataFrame, owner: str, key: str, value: str, quota: int) -> DataFrame:

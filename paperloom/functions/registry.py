@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class Registry:
@@ -25,14 +28,22 @@ class Registry:
         return owner.startswith("__") or permission in self.permissions.get(owner, set())
 
     def intercept(self, df: DataFrame, step: Callable[[DataFrame], DataFrame], caller: str = "") -> DataFrame | None:
-        """Runs a step between its interceptors; one before may cancel it by None. The caller's own are skipped."""
+        """Runs a step between its interceptors; one before may cancel it by None. The caller's own are skipped, and
+        so is one that fails as it builds its plan; one after that gives nothing changes nothing."""
         for owner, hook in self.before:
             if owner != caller:
-                df = hook(df)
+                try:
+                    df = hook(df)
+                except Exception:
+                    log.warning("an interceptor of %s failed", owner, exc_info=True)
                 if df is None:
                     return None
         df = step(df)
         for owner, hook in self.after:
             if owner != caller:
-                df = hook(df)
+                try:
+                    found = hook(df)
+                    df = df if found is None else found
+                except Exception:
+                    log.warning("an interceptor of %s failed", owner, exc_info=True)
         return df

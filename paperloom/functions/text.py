@@ -136,6 +136,19 @@ def keyword_union(a: Column, b: Column) -> Column:
     return F.concat(a, F.filter(b, lambda x: ~F.array_contains(low, F.lower(x))))
 
 
+# Characters of a section's preview, and of a text in a prompt.
+PREVIEW, PROMPT = 600, 30_000
+
+
+def preview(c: Column, most: int = PREVIEW) -> Column:
+    """The first characters of a longer text, with an ellipsis."""
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("…"))).otherwise(c)
+
+
+def prompt_text(c: Column, most: int = PROMPT) -> Column:
+    return F.substring(c, 1, most)
+
+
 def file_name(c: Column, limit: int = 60) -> Column:
     return F.substring(F.trim(F.regexp_replace(c, r'[\\/:*?"<>|]', "_")), 1, limit)
 

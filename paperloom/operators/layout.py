@@ -20,6 +20,13 @@ def above_threshold(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
     return boxes.where(F.col("score") > min(max(threshold, 0.0), 1.0))
 
 
+def inferred(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """A model's boxes as a page's layout: those above the threshold, with their place (from 0) by the model's
+    reading order, ties in the order of output."""
+    place = F.row_number().over(Window.partitionBy(*PAGE).orderBy("read_order", "box_ord")) - 1
+    return above_threshold(boxes, threshold).withColumn("place", place)
+
+
 def visual(boxes: DataFrame) -> DataFrame:
     """Boxes of figures, tables and formulas."""
     return boxes.where(F.col("cls_id").isin(VISUAL))

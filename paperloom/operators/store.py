@@ -34,6 +34,22 @@ def patch(rows: DataFrame, updates: DataFrame, key: str, allowed: list[str]) ->
     return joined.select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if f"__{c}" in u.columns else F.col(c) for c in rows.columns])
 
 
+# Columns of a paper that extensions may update.
+UPDATABLE = ["title", "title_translation", "authors", "abstract_text", "abstract_translation", "journal", "publisher", "date", "doi"]
+
+
+def patch_json(rows: DataFrame, updates: DataFrame, key: str, update: str = "update", allowed: list[str] | None = None) -> DataFrame:
+    """Sets columns of text from JSON objects (``key``, ``update``), one a key: of the ``allowed`` ones that a row
+    has, what the object names. A JSON null changes nothing, a text is set as it is, an empty one too, and any other value as
+    its JSON text. Updates that are no JSON object change nothing."""
+    columns = [c for c in rows.columns if c in (allowed or UPDATABLE)]
+    value = lambda c: F.try_variant_get("__update", f"$.{c}", "variant")
+    text = lambda c: F.when(F.schema_of_variant(value(c)) == "STRING", F.try_variant_get("__update", f"$.{c}", "string")).when(F.schema_of_variant(value(c)) != "VOID", F.to_json(value(c)))
+    u = updates.select(F.col(key).alias("__key"), F.try_parse_json(update).alias("__update")).select("__key", *[text(c).alias(f"__{c}") for c in columns])
+    joined = rows.join(u, F.col(key) == F.col("__key"), "left")
+    return joined.select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
 class Names:
     """The names of one family that are taken."""
 

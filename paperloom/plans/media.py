@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import model_calls, pixels, records, sidecars
+from ..functions import text
+from ..operators import layout, model_calls, pixels, records, sidecars, store
 from ..session import working_dir
-from ..sources import read
+from ..sources import clicks, read
 from .library import query
 
 
@@ -132,3 +133,44 @@ def _(s, d):
     folder = working_dir(s, "rankings")
     sidecars.written(files, "p_brand", F.col("text"), folder)
     return records.rankings_read(s, folder, "p_brand")
+
+
+PATCHED = """WITH c AS (SELECT DISTINCT * FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL), u AS (SELECT click_id, kind, CASE WHEN click_id % 6 = 0 THEN '{broken' WHEN click_id % 6 = 1 THEN '[1]' WHEN click_id % 6 = 2 THEN '{"authors":null,"doi":"","title":false}' ELSE replace(replace(replace(props, '"k"', '"title"'), '"device"', '"journal"'), '"tags"', '"authors"') END AS u FROM c WHERE click_id % 7 <> 0),
+j AS (SELECT click_id, CASE WHEN json_valid(u) THEN CAST(u AS JSON) END AS j FROM u), v AS (SELECT click_id, [CASE json_type(j, '$.' || f) WHEN 'VARCHAR' THEN json_extract_string(j, '$.' || f) WHEN 'NULL' THEN NULL ELSE CAST(json_extract(j, '$.' || f) AS VARCHAR) END FOR f IN ['title', 'authors', 'journal', 'doi']] AS v FROM j)
+SELECT c.click_id, coalesce(v[1], 'own') AS title, coalesce(v[2], CASE WHEN c.click_id % 2 = 0 THEN 'A' END) AS authors, coalesce(v[3], kind) AS journal, coalesce(v[4], '10.1/x') AS doi, 7 AS volume FROM c LEFT JOIN v USING (click_id)"""
+
+
+@query("paper_patch_json", PATCHED)
+def _(s, d):
+    c, k = clicks(s, d), F.col("click_id")
+    rows = c.select("click_id", F.lit("own").alias("title"), F.when(k % 2 == 0, "A").alias("authors"), F.col("kind").alias("journal"), F.lit("10.1/x").alias("doi"), F.lit(7).alias("volume"))
+    props = F.col("props")
+    for a, b in (("k", "title"), ("device", "journal"), ("tags", "authors")):
+        props = F.replace(props, F.lit(f'"{a}"'), F.lit(f'"{b}"'))
+    update = F.when(k % 6 == 0, "{broken").when(k % 6 == 1, "[1]").when(k % 6 == 2, '{"authors":null,"doi":"","title":false}').otherwise(props)
+    return store.patch_json(rows, c.where(k % 7 != 0).select("click_id", update.alias("update")), "click_id")
+
+
+BOXES = """WITH b AS (SELECT l_orderkey AS file_id, l_linenumber // 4 AS page_index, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS box_ord, l_partkey % 25 AS cls_id, l_discount * 10 AS score, l_suppkey % 3 AS read_order FROM lineitem) """
+
+
+def model_boxes(s, d):
+    n = F.col("l_linenumber")
+    page = F.floor(n / 4).cast("long")
+    return read(s, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), page.alias("page_index"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + n).alias("box_ord"), (F.col("l_partkey") % 25).alias("cls_id"), (F.col("l_discount") * 10).alias("score"), (F.col("l_suppkey") % 3).alias("read_order"))
+
+
+@query("layout_boxes", BOXES + "SELECT *, CAST(row_number() OVER (PARTITION BY file_id, page_index ORDER BY read_order, box_ord) - 1 AS INTEGER) AS place FROM b WHERE score > 0.5")
+def _(s, d):
+    return layout.inferred(model_boxes(s, d))
+
+
+@query("visual_boxes", BOXES + "SELECT file_id, box_ord FROM b WHERE cls_id IN (3, 5, 9, 13, 14, 15, 20, 21)")
+def _(s, d):
+    return layout.visual(model_boxes(s, d)).select("file_id", "box_ord")
+
+
+@query("text_previews", "SELECT doc_id, CASE WHEN length(text) > 600 THEN substr(text, 1, 600) || '…' ELSE text END AS preview, length(substr(text, 1, 30000)) AS prompt_length, md5(substr(text, 1, 30000)) AS prompt_md5 FROM documents")
+def _(s, d):
+    prompt = text.prompt_text(F.col("text"))
+    return read(s, d, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"), F.length(prompt).cast("long").alias("prompt_length"), F.md5(prompt).alias("prompt_md5"))

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import layout, metadata, remote, sections, sidecars
+from paperloom.operators import layout, metadata, remote, sections, sidecars, store
 
 SEGMENT = "file_id long, page_index long, seg_ord long, text string, xmin double, ymin double, xmax double, ymax double"
 BOX = "file_id long, page_index long, box_ord int, cls_id long, read_order long, xmin double, ymin double, xmax double, ymax double"
@@ -129,3 +129,18 @@ def test_keywords_golden(spark):
     from paperloom.functions.text import keyword_union
 
     assert spark.range(1).select(keyword_union(a, b)).first()[0] == ["AI", "ML", "NLP", "nlp"]
+
+
+def test_patches_of_json(spark):
+    rows = spark.createDataFrame([(i, "own", "a", 5, "kept") for i in range(8)], "id int, title string, authors string, volume int, note string")
+    updates = [(0, '{"title": "new", "note": "x", "volume": 9}'), (1, '{"title": null, "authors": ["A", "b\\"c"]}'), (2, '{"title": ""}'), (3, '{"title": 1.50, "authors": {"z": true}}'), (4, "[1]"), (5, "{"), (6, None)]
+    got = {r.id: tuple(r)[1:] for r in store.patch_json(rows, spark.createDataFrame(updates, "id int, update string"), "id").collect()}
+    same = ("own", "a", 5, "kept")
+    assert got == {0: ("new", "a", 5, "kept"), 1: ("own", '["A","b\\"c"]', 5, "kept"), 2: ("", "a", 5, "kept"), 3: ("1.5", '{"z":true}', 5, "kept"), 4: same, 5: same, 6: same, 7: same}
+
+
+def test_boxes_of_a_model(spark):
+    box = spark.createDataFrame([(1, 0, 0, 4, 9, 0.9), (1, 0, 1, 4, 2, 0.5), (1, 0, 2, 3, 2, 0.6), (1, 0, 3, 4, 2, 0.7), (2, 0, 0, 4, 1, 0.99)], "file_id long, page_index long, box_ord int, cls_id int, read_order int, score double")
+    assert sorted((r.file_id, r.place, r.box_ord) for r in layout.inferred(box).collect()) == [(1, 0, 2), (1, 1, 3), (1, 2, 0), (2, 0, 0)]
+    assert layout.inferred(box, 2.0).count() == 0 and layout.inferred(box, -1.0).count() == 5  # a threshold is between 0 and 1
+    assert [r.box_ord for r in layout.visual(box).collect()] == [2]

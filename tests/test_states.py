@@ -5,7 +5,6 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from paperloom.operators import folds
 from paperloom.streaming import reading_states, server_sent

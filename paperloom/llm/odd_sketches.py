@@ -9,7 +9,7 @@ Two documents link when the Jaccard similarity of their sets of two-word shingle
 2. 48 bands of 7 samples each make buckets; a pair at 0.8 misses all of them about once in 10,000 times.
 3. In every bucket the set with the least number leads, the others of other components are compared with
    it by their odd sketches. A set's nearest two leaders, unless they are four deviations below the limit, are
-   compared with it on full sets. Rounds follow until one finds no link.
+   compared with it on full sets. Rounds follow until one finds few new links (a hundredth of all).
 4. Then all sets of a bucket that still are in different components are compared, so that no link that the
    buckets hold is lost. What their odd sketches leave goes on as lists, a set with its partners, and meets
    the full sets in square blocks; only links come out, and of these only what joins two components.
@@ -41,6 +41,8 @@ FAR = int(BITS / 2 * (1 - np.exp(-4 * SAMPLES / BITS * (1 - NUM / DEN + 4 * DEVI
 #: sets along a side of a block; leaders that a set is compared with on full sets in a round; parts of a
 #: bucket that are compared at once.
 CHUNK, HOT_PAIRS, KNOWN, SIDE, NEAREST, PARTS = 256, 500, 100_000, 256, 2, 4
+#: The share of all links, as a divisor, that a round must bring for another to follow.
+FEW = 100
 
 _random = np.random.default_rng(12)
 FACTORS = _random.integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -330,7 +332,7 @@ def set_links(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
     texts = Sets(docs, sets.select("sig", "h1", "h2"))
     rows = dealt(sets.select("sig", "n", F.explode("buckets").alias("token")))
     named, tested, links, labels = rows.withColumn("component", F.col("sig")), None, None, None
-    made = []
+    made, n_links = [], 0
 
     while True:
         pairs = led(named)
@@ -344,13 +346,17 @@ def set_links(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
         dropped(near)
         made += [found, now]
         tested = now if tested is None else tested.unionByName(now)
-        if found.isEmpty():
+        fresh = found.count()
+        n_links += fresh
+        if not fresh:
             break
         links = found if links is None else links.unionByName(found)
         old, labels = labels, stored(components(links, "a", "b"), "odd-components")
         if old is not None:
             dropped(old)
         named = rows.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        if fresh * FEW <= n_links:  # the blocks find the rest, exactly
+            break
     lists = stored(near_lists(named, sketches), "odd-lists")
     placed, others = blocks_of(lists)
     others = stored(others, "odd-blocks")

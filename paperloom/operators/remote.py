@@ -54,22 +54,28 @@ def by_title(titles: DataFrame, catalogue: DataFrame, least: float = 0.7) -> Dat
     """Of each title (id, title) of 5 characters or more the catalogue's record (record, title) that shares
     most words, ``least`` of the larger set or more; ties to the lesser record.
 
-    With words in order of rarity in the catalogue, such pairs share one of the first
-    ``n - ceil(least n) + 1`` of each, and meet there."""
-    a = titles.where(F.length(trimmed(F.col("title"))) >= 5).select("id", long_words(trimmed(F.col("title"))).alias("t"))
-    b = catalogue.select("record", long_words(F.col("title")).alias("u"))
-    often = b.select(F.explode("u").alias("w")).groupBy("w").agg(F.count("*").alias("often"))
-
-    def first(rows: DataFrame, key: str, column: str) -> DataFrame:
-        found = rows.select(key, column, F.explode(column).alias("w")).join(often, "w", "left").groupBy(key, column)
-        found = found.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "w"))).alias("o"))
-        n = F.size(column)
-        return found.select(key, column, F.explode(F.slice("o", F.lit(1), (n - F.ceil(F.round(n * least, 6)) + 1).cast("int"))).alias("x")).select(key, column, "x.w")
-
-    pairs = first(a, "id", "t").join(first(b, "record", "u"), "w").dropDuplicates(["id", "record"])
-    overlap = F.size(F.array_intersect("t", "u")) / F.greatest(F.size("t"), F.size("u"))
-    scored = pairs.select("id", "record", overlap.alias("overlap")).where(F.col("overlap") >= least)
-    return scored.groupBy("id").agg(F.max_by("record", F.struct("overlap", -F.col("record"))).alias("record"))
+    What decides is a title's set of words, so each set is looked for once, and of the records with one set
+    only the least can be the answer. With words in order of rarity in the catalogue, such pairs share one of
+    the first ``n - ceil(least n) + 1`` of each, and meet at the first of them that they share."""
+    named = lambda c: F.array_join(F.array_sort(long_words(c)), " ")
+    a = titles.where(F.length(trimmed(F.col("title"))) >= 5).select("id", named(trimmed(F.col("title"))).alias("t")).where("t <> ''")
+    b = catalogue.select("record", named(F.col("title")).alias("u")).where("u <> ''").groupBy("u").agg(F.min("record").alias("record"))
+    often = b.select(F.explode(F.split("u", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("often"))
+
+    def first(rows: DataFrame, column: str, *more: str) -> DataFrame:
+        """A row for each of the rarest words of a set, with its set as an array and all of those words."""
+        words = rows.select(column, *more, F.explode(F.split(column, " ")).alias("w")).join(often, "w", "left").groupBy(column, *more)
+        words = words.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "w"))).alias("o"))
+        n = F.size("o")
+        words = words.select(column, *more, F.slice(F.transform("o", lambda x: x["w"]), F.lit(1), (n - F.ceil(F.round(n * least, 6)) + 1).cast("int")).alias("first_" + column))
+        return words.select("*", F.split(column, " ").alias("words_" + column), F.explode("first_" + column).alias("w"))
+
+    met = first(a.select("t").distinct(), "t").join(first(b, "u", "record"), "w")
+    n, m = F.size("words_t"), F.size("words_u")
+    met = met.where((F.least(n, m) >= F.round(F.greatest(n, m) * least, 6)) & (F.get(F.array_intersect("first_t", "first_u"), 0) == F.col("w")))
+    overlap = F.size(F.array_intersect("words_t", "words_u")) / F.greatest(n, m)
+    best = met.select("t", "record", overlap.alias("overlap")).where(F.col("overlap") >= least).groupBy("t").agg(F.max_by("record", F.struct("overlap", -F.col("record"))).alias("record"))
+    return a.join(best, "t").select("id", "record")
 
 
 SEARCH_KEY, SHORTEST = 80, 5

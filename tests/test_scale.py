@@ -29,3 +29,14 @@ def test_title_search_same_as_all_pairs(spark):
         if max(found)[0] >= 0.7:
             want[i] = -max(found)[1]
     assert want and {r.id: r.record for r in remote.by_title(titles, catalogue).collect()} == want
+
+
+def test_remembered_searches_with_many_copies(spark):
+    """200 kept searches over 100,000 records of 200 sets of words; each shares words with all records."""
+    begin = time.perf_counter()
+    of = lambda k: F.concat(F.lit("the great loom of weaver"), k.cast("string"))
+    requests = spark.range(200).select("id", F.col("id").alias("ord"), of(F.col("id") % 200).alias("title"))
+    catalogue = spark.range(100000).select(F.col("id").alias("record"), of(F.col("id") % 200).alias("title"))
+    got = remote.searched_once(requests, catalogue).collect()
+    assert sorted((r.id, r.record) for r in got) == [(k, k) for k in range(200)]
+    assert time.perf_counter() - begin < 30

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import layout, model_calls, pixels, records, sidecars, store
 from ..session import working_dir
-from ..sources import clicks, read
+from ..sources import clicks, read, spread
 from .library import query
 
 
@@ -50,7 +50,7 @@ SELECT p_partkey, CAST(0.5 AS DOUBLE) AS scale_w, round(sum((y - 0.485) / 0.229)
 def _(s, d):
     k, z = F.col("p_partkey"), F.col("p_size").cast("long")
     row = F.unhex(F.concat(*[two((k * (i + 5) + z * i * i) % 256) for i in range(8)]))
-    grey = read(s, d, "part").select("p_partkey", row.alias("content"), F.lit(8).alias("width"), F.lit(1).alias("height"), F.lit("DeviceGray").alias("space"))
+    grey = spread(read(s, d, "part").select("p_partkey", "p_size")).select("p_partkey", row.alias("content"), F.lit(8).alias("width"), F.lit(1).alias("height"), F.lit("DeviceGray").alias("space"))
     made = pixels.model_inputs(grey, "p_partkey", 4)
     return sums_of(made)
 
@@ -62,8 +62,10 @@ def sums_of(made):
 
     def run(batches):
         for batch in batches:
-            x = [np.frombuffer(t, "<f4").reshape(3, -1).astype(np.float64).sum(axis=1) for t in batch.column("tensor").to_pylist()]
-            sums = np.array(x).reshape(-1, 3)
+            if not batch.num_rows:
+                continue
+            x = np.frombuffer(b"".join(batch.column("tensor").to_pylist()), "<f4")  # all of one length
+            sums = x.reshape(batch.num_rows, 3, -1).astype(np.float64).sum(axis=2)
             scale = pa.array(batch.column("scale_w").to_numpy().astype(np.float64))
             yield pa.RecordBatch.from_arrays([batch.column("p_partkey"), scale, *(pa.array(np.round(sums[:, i], 1)) for i in range(3))], ["p_partkey", "scale_w", "red", "green", "blue"])
 

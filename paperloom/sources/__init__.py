@@ -10,6 +10,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the cluster's cores. A table that is small in bytes is read by few tasks, one a
+    row group at most; where each of its rows takes long, that would leave most cores idle."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def logged_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a reading session, short ones too."""
     return read(spark, sf_dir, "events").select(

@@ -40,3 +40,45 @@ def test_remembered_searches_with_many_copies(spark):
     got = remote.searched_once(requests, catalogue).collect()
     assert sorted((r.id, r.record) for r in got) == [(k, k) for k in range(200)]
     assert time.perf_counter() - begin < 30
+
+
+def test_long_rows_are_spread(spark, tmp_path):
+    """A table in one row group, of which each row takes long, is worked on by all cores."""
+    from paperloom.plans import QUERIES
+
+    spark.range(200).selectExpr("id as p_partkey", "concat('loom ', id) as p_name", "'Brand#1' as p_brand", "cast(id % 50 as int) as p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("model_input_tensors", "catalogue_record", "cite_vancouver", "cite_ieee", "cite_nlm", "cite_mla_8th", "cite_mla_9th"):
+        at = QUERIES[name](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+        assert len(at) >= spark.sparkContext.defaultParallelism, name
+
+
+def test_many_small_images(spark):
+    """Images of some sizes and spaces, beside each other in a batch, have the tensors that each has alone; 40,000 take seconds."""
+    import numpy as np
+
+    from paperloom.operators import pixels
+
+    kinds = [(3, 2, "DeviceRGB"), (2, 3, "DeviceGray"), (1, 1, "DeviceCMYK"), (2, 3, "Lab"), (9, 9, "DeviceRGB")]
+    r = np.random.default_rng(3)
+    rows = [(i, r.integers(0, 256, 24, np.uint8).tobytes(), *kinds[i % 5]) for i in range(200)] + [(200, None, 1, 1, "DeviceGray")]
+    df = spark.createDataFrame(rows, "id int, content binary, width int, height int, space string")
+    want = {i: pixels.tensor(x, 4).tobytes() for i, *image in rows if (x := pixels.to_rgb(*image)) is not None}
+    got = pixels.model_inputs(df, "id", 4).collect()
+    assert {x.id: bytes(x.tensor) for x in got} == want
+    assert {(x.scale_h, x.scale_w) for x in got if x.id % 5 == 1} == {(np.float32(4) / np.float32(3), 2.0)}
+    begin = time.perf_counter()
+    many = spark.range(40000).select("id", F.lit(bytes(8)).alias("content"), F.lit(8).alias("width"), F.lit(1).alias("height"), F.lit("DeviceGray").alias("space")).coalesce(1)
+    assert pixels.model_inputs(many, "id", 4).count() == 40000
+    assert time.perf_counter() - begin < 10
+
+
+def test_eraser_makes_points_once(spark):
+    """A stroke's points are made once, not once a use."""
+    from paperloom.operators import records
+
+    points = F.transform(F.sequence(F.lit(0), F.lit(300)), lambda i: F.struct((i / 1000 + F.col("id") / 1e9).alias("x"), (i / 1000).alias("y")))
+    shapes = spark.range(3000).select((F.col("id") % 10).alias("page"), F.col("id").alias("ord"), F.lit("pen").alias("kind"), points.alias("points"))
+    begin = time.perf_counter()
+    got = records.erased(shapes, ["page"], F.lit(0.2005), F.lit(0.2005)).collect()
+    assert sorted((r.page, r.ord) for r in got) == [(k, 2990 + k) for k in range(10)]
+    assert time.perf_counter() - begin < 20

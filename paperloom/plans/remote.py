@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations, text
 from ..operators import layout, remote
-from ..sources import read, segments
+from ..sources import read, segments, spread
 from .citing import cite_sql, cited
 from .library import WORDS, boxes, query
 
@@ -28,7 +28,7 @@ def message(k):
 def _(s, d):
     k = F.col("p_partkey")
     fields = ("title", "authors", "abstract", "journal", "journal_abbrev", "date", "volume", "issue", "doi", "issn", "keywords", "category")
-    return read(s, d, "part").select(k, remote.catalogue_record(message(k)).alias("r")).select("p_partkey", *[f"r.{c}" for c in fields])
+    return spread(read(s, d, "part").select(k)).select(k, remote.catalogue_record(message(k)).alias("r")).select("p_partkey", *[f"r.{c}" for c in fields])
 
 
 @query("preprint_record", """SELECT item_id, CASE WHEN item_id % 4 <> 0 THEN 'On looms & webs' END AS title, CASE WHEN item_id % 4 <> 0 THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS abstract, CASE WHEN item_id % 4 <> 0 THEN ['Ada Lovelace', 'Plato'] END AS authors,

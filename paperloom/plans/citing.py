@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import citations, text
-from ..sources import read
+from ..sources import read, spread
 from .library import query
 
 # Authors of the cited parts: one name alone, names of several words, and others than Latin ones.
@@ -24,7 +24,8 @@ def cited(s, d, style, output="text"):
     }
     count = F.get(F.array(*[F.lit(n) for n in HOW_MANY]), (k % len(HOW_MANY)).cast("int"))
     authors = F.slice(F.array(*[F.lit(n) for n in PEOPLE]), F.lit(1), count)
-    return read(s, d, "part").select("p_partkey", citations.cite(authors, fields, style, output).alias("citation"))
+    parts = spread(read(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_size"))
+    return parts.select("p_partkey", citations.cite(authors, fields, style, output).alias("citation"))
 
 
 def quoted(x: str) -> str:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,10 +222,27 @@ def tables(pages: DataFrame, key: str, markup: str) -> DataFrame:
     return one.unionByName(two.withColumn("label", F.concat(F.lit("T"), (F.col("tab_ord") + 1).cast("string"))))
 
 
+def large_ones(segments: DataFrame) -> DataFrame:
+    """Segments without those that are no title, as one beside them on their page is too large for that: of the
+    rows of a page that lie together, those within a tenth of the largest font size stay. So few are moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                new = [pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)), True).to_numpy(zero_copy_only=False) for c in (batch.column("file_id"), batch.column("page_index"))]
+                begins = np.r_[0, np.flatnonzero(new[0] | new[1]) + 1]
+                size = batch.column("font_size").to_numpy(zero_copy_only=False).astype(np.float64)
+                largest = np.repeat(np.maximum.reduceat(size, begins), np.diff(np.r_[begins, len(size)]))
+                yield batch.filter(pa.array(~(size < largest * 0.9)))
+
+    rows = segments.select("file_id", "page_index", "seg_ord", "text", "font_size")
+    return rows.mapInArrow(run, rows.schema)
+
+
 def title_by_font(segments: DataFrame) -> DataFrame:
     """Of each page the segments within a tenth of its largest font size, joined; none if blank."""
     part = F.array_sort(F.collect_list(F.struct("seg_ord", "text", "font_size")))
-    g = segments.groupBy("file_id", "page_index").agg(F.max("font_size").alias("largest"), part.alias("parts")).where("largest > 0")
+    g = large_ones(segments).groupBy("file_id", "page_index").agg(F.max("font_size").alias("largest"), part.alias("parts")).where("largest > 0")
     large = F.filter("parts", lambda x: x["font_size"] >= F.col("largest") * 0.9)
     title = F.trim(F.array_join(F.transform(large, lambda x: F.trim(x["text"])), " "))
     return g.select("file_id", "page_index", title.alias("title")).where("title <> ''")

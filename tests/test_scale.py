@@ -110,3 +110,14 @@ def test_paragraphs_of_a_long_page():
         found = layout.paragraphs([f"w{i}" for i in range(320)], box)
     assert time.perf_counter() - begin < 0.9
     assert found[0][0].startswith("w0w1w2w3w4w5w6w7\nw8") and found[1][0][:2].tolist() == [0.0, 0.0] and found[1][-1][3] == 556.0
+
+
+def test_small_fonts_do_not_move(spark):
+    """Before the shuffle a page keeps its large segments only; pages in pieces and odd sizes lose nothing."""
+    from paperloom.operators import metadata
+
+    rows = [(1, 0, 0, "a", 8.0), (1, 0, 1, "B", 12.0), (1, 0, 2, "C", 11.0), (2, 0, 0, "x", -1.0), (2, 0, 1, "y", -3.0), (1, 0, 3, "d", 8.0), (3, 0, 0, "n", None), (3, 0, 1, "M", 5.0)]
+    seg = spark.createDataFrame(rows, "file_id long, page_index long, seg_ord long, text string, font_size double").coalesce(1)
+    kept = {r.text for r in metadata.large_ones(seg).collect()}
+    assert {"B", "C", "M"} <= kept and "a" not in kept
+    assert sorted(tuple(r) for r in metadata.title_by_font(seg).collect()) == [(1, 0, "B C"), (3, 0, "M")]

@@ -22,7 +22,7 @@ from .common import dropped, stored, table
 
 
 #: Neighbours that a node of a local join is told of in a round.
-JOINED = 6
+JOINED = 8
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -129,12 +129,12 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield joins(*last)
 
 
-def build_graph(nodes: DataFrame, k: int = 24, still: float = 0.1, projections: int = 8, reach: int = 4, seed: int = 5) -> DataFrame:
+def build_graph(nodes: DataFrame, k: int = 40, still: float = 0.1, projections: int = 8, reach: int = 4, seed: int = 5) -> DataFrame:
     """The neighbour graph: node, nbr, d; ``k`` neighbours a node (all others, if fewer). The rounds
     end when one brings less than ``still`` of all neighbours anew.
 
     The graph is approximate by its method: a round compares all of a node's neighbours, its own ``k`` and the
-    ``k // 2`` nearest that have it as theirs, and passes on to each of them the 6 nearest of these (JOINED).
+    ``k // 2`` nearest that have it as theirs, and passes on to each of them the 8 nearest of these (JOINED).
     The search looks at edges both ways, whatever their number."""
     graph = stored(nearest(projected_edges(nodes, projections, reach, seed), k).withColumn("born", F.lit(0)), "graph")
     short = nodes.select(F.col("node").alias("v"), F.col("vec").cast("array<float>").alias("vec"))
@@ -204,8 +204,9 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int) ->
 
 
 def beam_for(rows: int) -> int:
-    """How many of the nearest nodes a search goes on from: more in larger tables."""
-    return max(64, math.ceil(1.8 * math.sqrt(rows)))
+    """How many of the nearest nodes a search goes on from: with the logarithm of the table, so that
+    what a query meets hardly grows."""
+    return max(64, math.ceil(10 * math.log2(max(2, rows))))
 
 
 def self_search(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:

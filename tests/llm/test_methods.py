@@ -279,3 +279,11 @@ def test_clashing_columns(spark):
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == [0, 1, 2]
     assert quality.encode(*utf8(pa.array([""])))[0].shape[0] == 0
+
+
+def test_search_meets_hardly_more_in_larger_tables():
+    """The beam grows with the logarithm of the table: with five times the vectors, and so five times
+    the queries, the rows that the searches make are not eleven times as many."""
+    assert neighbours.beam_for(51_282) < 1.3 * neighbours.beam_for(10_256)
+    assert neighbours.beam_for(51_282_000) < 2 * neighbours.beam_for(51_282)
+    assert neighbours.beam_for(1) >= 64

@@ -589,6 +589,14 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return probes.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(tidy(walked), "a binary, b binary")
 
 
+def still_mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The prefix rows with the component of each set, without those of tokens whose sets all are in one:
+    components only merge, so such a token gives no pair in any later round."""
+    named = rows.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    mixed = named.groupBy("token").agg(F.min("component").alias("from"), F.max("component").alias("to")).where("`from` <> `to`").select("token")
+    return named.join(mixed, "token", "left_semi")
+
+
 def able_texts(survey: DataFrame, own: DataFrame) -> DataFrame:
     """One text (h1, h2) of each set that may link with another, as far as the survey tells."""
     inside = survey.where("range is null and places is not null").select("block", "places")
@@ -619,13 +627,21 @@ def set_links(docs: DataFrame, chosen: DataFrame, log_ranges: int) -> DataFrame:
         pairs = stored(starred(named), "ngram-pairs")
         found = stored(linked(pairs, sets), "ngram-links")
         fresh = found.count()
-        if fresh or labels is None:
-            links = found if links is None else links.unionByName(found)
-            labels = stored(components(links, "a", "b"), "ngram-components")
-            named = rows.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         dropped(pairs)
         released(spark)
-        if not fresh:
+        if fresh:
+            links = found if links is None else links.unionByName(found)
+            labels = stored(components(links, "a", "b"), "ngram-components")
+            # later rounds read only what can still give a pair
+            named = stored(still_mixed(rows, labels), "ngram-rows")
+            few = stored(sets.join(named.select("sig").distinct(), "sig", "left_semi"), "ngram-sets")
+            for old in (rows, sets):
+                dropped(old)
+            rows, sets = named.drop("component"), few
+            released(spark)
+        else:
+            if labels is None:
+                links, labels = found, stored(components(found, "a", "b"), "ngram-components")
             break
     pairs = stored(crossed(named), "ngram-pairs")
     released(spark)

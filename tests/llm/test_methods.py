@@ -287,3 +287,11 @@ def test_search_meets_hardly_more_in_larger_tables():
     assert neighbours.beam_for(51_282) < 1.3 * neighbours.beam_for(10_256)
     assert neighbours.beam_for(51_282_000) < 2 * neighbours.beam_for(51_282)
     assert neighbours.beam_for(1) >= 64
+
+
+def test_later_rounds_read_mixed_tokens_only(spark):
+    rows = [(1, b"a", 9, 0, 0, 1, 0), (1, b"b", 9, 0, 0, 1, 0), (2, b"b", 9, 0, 1, 1, 0), (2, b"c", 9, 0, 0, 1, 0), (3, b"c", 9, 0, 1, 1, 0), (3, b"d", 9, 0, 0, 1, 0)]
+    rows = spark.createDataFrame(rows, "token long, sig binary, n int, alone int, pos int, salts int, salt int")
+    labels = spark.createDataFrame([(b"a", b"a"), (b"b", b"a"), (b"c", b"a")], "node binary, component binary")
+    got = ngram_join.still_mixed(rows, labels)
+    assert sorted((r.token, bytes(r.sig), bytes(r.component)) for r in got.collect()) == [(3, b"c", b"a"), (3, b"d", b"d")]

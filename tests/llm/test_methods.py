@@ -295,3 +295,61 @@ def test_later_rounds_read_mixed_tokens_only(spark):
     labels = spark.createDataFrame([(b"a", b"a"), (b"b", b"a"), (b"c", b"a")], "node binary, component binary")
     got = ngram_join.still_mixed(rows, labels)
     assert sorted((r.token, bytes(r.sig), bytes(r.component)) for r in got.collect()) == [(3, b"c", b"a"), (3, b"d", b"d")]
+
+
+def exact_neighbours(x, q):
+    d = neighbours.distances(np.repeat(x[q][None], len(x), axis=0), x)
+    d[q] = np.inf
+    return np.lexsort((np.arange(len(x)), d))[:10], d
+
+
+def test_searches_are_few_jobs_over_shards(spark):
+    """Rounds and hops run inside the shards, so that a search is the same few jobs for any table; tight and
+    far clusters are found from everywhere, and no partitioning of the table changes a row."""
+    r = np.random.default_rng(44)
+    x = (r.normal(size=(100, 1, 16)) * 50 + r.normal(size=(100, 50, 16))).reshape(-1, 16)
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert neighbours.shards_for(len(x)) == 3
+    spark.sparkContext.setJobGroup("op6", "op6")
+    got = neighbours.self_search(data).toPandas()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("op6"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 60
+    hit = 0
+    for q in range(0, len(x), 100):
+        mine = got[got.query_id == q].sort_values("rank")
+        want, d = exact_neighbours(x, q)
+        assert mine.score.tolist() == d[mine.vec_id].tolist()
+        hit += len(set(want) & set(mine.vec_id))
+    assert hit >= 0.97 * 500
+    again = neighbours.self_search(data.repartition(7)).toPandas()
+    order = ["query_id", "rank"]
+    assert again.sort_values(order).values.tolist() == got.sort_values(order).values.tolist()
+
+
+def test_shards_are_bounded_and_grow_with_the_root():
+    assert neighbours.shards_for(0) == neighbours.shards_for(1000) == 1
+    assert neighbours.shards_for(615_384) < 4 * neighbours.shards_for(51_282)
+    assert all(n / neighbours.shards_for(n) <= neighbours.SHARD for n in (1, 10**5, 10**7, 10**9))
+
+
+def test_neighbour_graph_of_odd_tables():
+    r = np.random.default_rng(45)
+    x = r.normal(size=(900, 8))
+    near = np.argsort(((x[:, None] - x[None]) ** 2).sum(axis=2), axis=1, kind="stable")[:, 1:11]
+    nbr = neighbours.descent(x)
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(near, nbr)]) > 9
+    assert all(len(set(a)) == 40 and i not in a for i, a in enumerate(nbr))
+    assert neighbours.descent(x[:1]).shape == (1, 0) and sorted(neighbours.descent(x[:3])[1]) == [0, 2]
+    line = neighbours.descent(np.arange(200.0)[:, None] * [1.0, 2.0])  # along all projections the same neighbours
+    assert {99, 101} <= set(line[100])
+
+
+def test_search_of_extreme_vectors(spark):
+    r = np.random.default_rng(46)
+    x = r.normal(size=(1500, 3)) * 10.0 ** r.choice([-200, 0, 200], size=(1500, 1))
+    got = neighbours.self_search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    assert got.groupby("query_id").size().tolist() == [10] * 15
+    for q in range(0, 1500, 100):
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine.score.tolist() == sorted(exact_neighbours(x, q)[1][mine.vec_id].tolist())

@@ -121,3 +121,33 @@ def test_small_fonts_do_not_move(spark):
     kept = {r.text for r in metadata.large_ones(seg).collect()}
     assert {"B", "C", "M"} <= kept and "a" not in kept
     assert sorted(tuple(r) for r in metadata.title_by_font(seg).collect()) == [(1, 0, "B C"), (3, 0, "M")]
+
+
+def test_many_sidecar_files(spark, tmp_path):
+    """Files of documents in one row group are written by all cores, without a process for each."""
+    from paperloom.operators import sidecars
+
+    docs = spark.range(3000).select("id", F.concat(F.lit('{\n"a": '), F.col("id").cast("string"), F.lit("}")).alias("text")).coalesce(1)
+    begin = time.perf_counter()
+    sidecars.written(docs, "id", F.col("text"), str(tmp_path / "s"))
+    assert time.perf_counter() - begin < 15
+    got = spark.read.schema("id long, a long").option("multiLine", "true").json(str(tmp_path / "s"))
+    assert got.where("id = a").count() == got.count() == 3000
+
+
+def test_sidecar_folders_as_spark_writes_them(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from paperloom.operators import sidecars
+
+    odd = "".join(map(chr, range(1, 128)))
+    keys = ["a b", "x=y:z", "50%", "ä/ö\\", "[1]{2}^3", "", None, "'q\"", "__HIVE_DEFAULT_PARTITION__", "same", "same", odd]
+    docs = spark.createDataFrame([(k, None if i == 3 else f'{{"i": {i},\n "ü": "\\r\r\n"}}') for i, k in enumerate(keys)], "`the key` string, text string")
+    sidecars.written(docs, "the key", F.col("text"), str(tmp_path / "own"))
+    monkeypatch.setattr(sidecars, "local_path", lambda *_: None)
+    sidecars.written(docs, "the key", F.col("text"), str(tmp_path / "spark"))
+    texts = lambda top: {p.name: sorted(b"".join(f.read_bytes() for f in p.glob("part-*")).split(b"\n")) for p in top.iterdir() if p.is_dir()}
+    assert texts(tmp_path / "own") == texts(tmp_path / "spark") and len(texts(tmp_path / "own")) == 9  # null, empty and default keys share one
+    monkeypatch.undo()
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sidecars.written(docs, "the key", F.col("text"), str(tmp_path / "own"))

@@ -141,13 +141,17 @@ def test_sidecar_folders_as_spark_writes_them(spark, tmp_path, monkeypatch):
     from paperloom.operators import sidecars
 
     odd = "".join(map(chr, range(1, 128)))
-    keys = ["a b", "x=y:z", "50%", "ä/ö\\", "[1]{2}^3", "", None, "'q\"", "__HIVE_DEFAULT_PARTITION__", "same", "same", odd]
-    docs = spark.createDataFrame([(k, None if i == 3 else f'{{"i": {i},\n "ü": "\\r\r\n"}}') for i, k in enumerate(keys)], "`the key` string, text string")
+    keys = ["a b", "x=y:z", "50%+%41", "ä/ö\\", "[1]{2}^3", "", None, "'q\"", "__HIVE_DEFAULT_PARTITION__", "same", "same", odd]
+    docs = spark.createDataFrame([(k, None if i == 9 else f'{{"i": {i},\n "ü": "\\r\r\n"}}') for i, k in enumerate(keys)], "`the key` string, text string")
     sidecars.written(docs, "the key", F.col("text"), str(tmp_path / "own"))
     monkeypatch.setattr(sidecars, "local_path", lambda *_: None)
     sidecars.written(docs, "the key", F.col("text"), str(tmp_path / "spark"))
     texts = lambda top: {p.name: sorted(b"".join(f.read_bytes() for f in p.glob("part-*")).split(b"\n")) for p in top.iterdir() if p.is_dir()}
     assert texts(tmp_path / "own") == texts(tmp_path / "spark") and len(texts(tmp_path / "own")) == 9  # null, empty and default keys share one
+    for top in ("own", "spark"):
+        given = spark.read.schema("value string, `the key` string").text(str(tmp_path / top)).select("the key").distinct().collect()
+        got = sidecars.read(spark, str(tmp_path / top), "the key", "string", "i int").select("the key").distinct().collect()
+        assert {r[0] for r in got} == {r[0] for r in given} and len(got) == 9
     monkeypatch.undo()
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         sidecars.written(docs, "the key", F.col("text"), str(tmp_path / "own"))
